@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -113,7 +112,3 @@ def diagnosis_rules() -> list[Rule]:
     """The rules the diagnosis re-derives, in listing order."""
     by_kind = {rule.kind: rule for rule in ROW_RULES if rule.kind}
     return [by_kind[kind] for kind in FINDING_ORDER]
-
-
-def violations(rules: Iterable[Rule], nan_is_null: bool) -> dict[Rule, Column]:
-    return {rule: rule.violated(nan_is_null) for rule in rules}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelog.functions.rules import NOT_NULL, WARN, diagnosis_rules, violations
+from statelog.functions.rules import NOT_NULL, WARN, diagnosis_rules
 from statelog.operators.reads import page_order
 
 EXAMPLES = 5
@@ -39,12 +39,6 @@ DEFAULT_REMEDIATION = "investigate the affected rows and correct the source"
 PROPOSAL = "PROPOSED (requires human approval; not applied): %s."
 
 _RULES = diagnosis_rules()
-_BROKEN = violations(_RULES, nan_is_null=False)
-
-FINDING_SCHEMA = (
-    "position int, kind string, severity string, count bigint, detail string, "
-    "examples array<struct<icao24: string, value: string>>"
-)
 
 
 def _value(rule) -> Column:
@@ -57,7 +51,7 @@ def anomaly_counts(rows: DataFrame) -> DataFrame:
 
     One aggregate without a key counts every rule; its single row is then turned to rows.
     """
-    totals = rows.agg(*[F.count_if(broken).alias(r.kind) for r, broken in _BROKEN.items()])
+    totals = rows.agg(*[F.count_if(rule.violated(nan_is_null=False)).alias(rule.kind) for rule in _RULES])
     entries = [
         F.struct(
             F.lit(position).alias("position"),
@@ -79,11 +73,11 @@ def finding_examples(rows: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     """
     tags = [
         F.when(
-            broken,
+            rule.violated(nan_is_null=False),
             F.struct(F.lit(position).alias("position"), F.lit(rule.kind).alias("kind"),
                      _value(rule).alias("value")),
         )
-        for position, (rule, broken) in enumerate(_BROKEN.items())
+        for position, rule in enumerate(_RULES)
     ]
     order = page_order(rows)
     tagged = rows.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))

@@ -13,10 +13,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelog.functions.rules import DUPLICATE_CHECK, FAIL, ROW_RULES, WARN, violations
+from statelog.functions.rules import DUPLICATE_CHECK, FAIL, ROW_RULES, WARN
 from statelog.schema import STATE_KEY
 
-_BROKEN = violations(ROW_RULES, nan_is_null=True)
 CASE_LIMIT = 10
 BATCH = ("ingest_batch_id",)
 
@@ -51,7 +50,7 @@ def duplicate_batches(
 
 def _tallies(rows: DataFrame, batch: Sequence[str]) -> DataFrame:
     """One row per batch: row count, violations per rule and the ingest lag."""
-    counts = [F.count_if(broken).alias(rule.name) for rule, broken in _BROKEN.items()]
+    counts = [F.count_if(rule.violated(nan_is_null=True)).alias(rule.name) for rule in ROW_RULES]
     every_contact = (F.count("last_contact") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0)
     ingest_epoch = F.unix_micros(F.max("ingest_time")) / 1e6
     lag = F.when(every_contact, ingest_epoch - F.max("last_contact"))
@@ -70,8 +69,8 @@ def batch_report(
     """
     twice = duplicate_batches(rows, batch, deduplicated)
     flagged = twice.select(*_marked(batch), F.lit(True).alias("_twice"))
-    failures = sum((F.col(f"`{r.name}`") for r in _BROKEN if r.severity == FAIL), F.lit(0))
-    warnings = sum((F.col(f"`{r.name}`") for r in _BROKEN if r.severity == WARN), F.lit(0))
+    failures = sum((F.col(f"`{r.name}`") for r in ROW_RULES if r.severity == FAIL), F.lit(0))
+    warnings = sum((F.col(f"`{r.name}`") for r in ROW_RULES if r.severity == WARN), F.lit(0))
     tallies = _tallies(rows, batch)
     joined = tallies.join(flagged, _same(batch), "left")
     has_duplicates = F.col("_twice").isNotNull()
@@ -83,7 +82,7 @@ def batch_report(
         has_duplicates.alias("has_duplicates"),
         (failures == 0).alias("ok"),
         "lag_seconds",
-        *[f"`{rule.name}`" for rule in _BROKEN],
+        *[f"`{rule.name}`" for rule in ROW_RULES],
     )
 
 
@@ -99,7 +98,7 @@ def rule_counts(rows: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
             F.lit(rule.check).alias("check"),
             F.col(f"`{rule.name}`").alias("n_violations"),
         )
-        for rule in _BROKEN
+        for rule in ROW_RULES
     ]
     entries.append(
         F.struct(
@@ -123,7 +122,7 @@ def failure_cases(rows: DataFrame, index: str, batch: Sequence[str] = BATCH) ->
     """
     cases = [
         F.when(
-            broken,
+            rule.violated(nan_is_null=True),
             F.struct(
                 F.lit(rule.severity).alias("severity"),
                 F.lit(position).alias("position"),
@@ -132,7 +131,7 @@ def failure_cases(rows: DataFrame, index: str, batch: Sequence[str] = BATCH) ->
                 F.col(rule.column).cast("string").alias("failure_case"),
             ),
         )
-        for position, (rule, broken) in enumerate(_BROKEN.items(), start=1)
+        for position, rule in enumerate(ROW_RULES, start=1)
     ]
     row_cases = rows.select(
         *batch,

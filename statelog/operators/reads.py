@@ -28,7 +28,7 @@ SAMPLE_COLUMNS = (
 )
 SAMPLE_ROWS = 5
 
-# Pages past this offset first seek the time slot that holds it.
+# A page past this offset first seeks the time slot that holds it.
 DEEP_OFFSET = 20_000
 
 PAGE_KEY = ("event_time", "icao24")
@@ -95,7 +95,7 @@ def page_order(rows: DataFrame) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in (*PAGE_KEY, *_rest(rows, PAGE_KEY))]
 
 
-def _seek(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
+def _seek(rows: DataFrame, offset: int, near: int) -> tuple[DataFrame, int]:
     """Rows from the hour, or the second, that holds the offset on, and the offset left in them.
 
     The hours of the range are counted in one aggregate, then the 3600 seconds of one hour; only the
@@ -120,20 +120,22 @@ def _seek(rows: DataFrame, offset: int) -> tuple[DataFrame, int]:
         closes = F.timestamp_seconds(F.lit((found["slot"] + 1) * seconds))
         rows = rows.where((F.col("event_time") >= opens) | F.col("event_time").isNull())
         slot_rows = rows.where(F.col("event_time") < closes)
-        if offset <= DEEP_OFFSET:
+        if offset <= near:
             break
     return rows, offset
 
 
-def page(rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+def page(
+    rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, seek_from: int = DEEP_OFFSET
+) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order of event time and aircraft.
 
-    A shallow page is one top-k plan. A top-k keeps ``offset + limit`` rows per task, so a deep page
-    first moves to the time slot that holds the offset.
+    A shallow page is one top-k plan. A top-k keeps ``offset + limit`` rows per task, so a page past
+    ``seek_from`` first moves to the time slot that holds the offset.
     """
     check_page(limit, offset)
-    if offset > DEEP_OFFSET:
-        rows, offset = _seek(rows, offset)
+    if offset > seek_from:
+        rows, offset = _seek(rows, offset, seek_from)
     return rows.orderBy(*page_order(rows)).offset(offset).limit(limit)
 
 

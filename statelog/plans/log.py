@@ -32,29 +32,49 @@ from pyspark.sql import types as T
 from statelog.functions.clock import epoch_micros, to_utc, utc_day, utc_hour_number, utc_literal
 from statelog.operators.quality import batch_report
 from statelog.operators.reads import row_filter
-from statelog.schema import FACT_TYPES, REQUIRED_COLUMNS, bronze_schema
+from statelog.schema import FACT_TYPES, SPARK_TYPES, bronze_schema
 
 APPENDED, SKIPPED, ABORTED = "appended", "skipped_empty", "dq_aborted"
 
 BATCH_ID = "ingest_batch_id"
 
+# Rows of a few short columns each; beyond this many, Spark chooses the join.
+BROADCAST_BATCHES = 50_000
+
 _LAYOUT = "array<struct<spec_id: int, transform: string, first_write: bigint, last_write: bigint>>"
 
-LEDGER_COLUMNS = (
-    "batch_id string, source_name string, ingest_time timestamp, stream_batch string, "
-    "status string, rows_in bigint, rows_written bigint, n_failures bigint, n_warnings bigint, "
-    "lag_seconds double, snapshot_id bigint, sequence_number bigint, timestamp_ms bigint, "
-    "operation string, schema_json string, write_id bigint, commit_seq bigint, "
-    f"layout {_LAYOUT}, total_rows bigint, summary map<string, string>"
-)
-LEDGER_SCHEMA = T.StructType.fromDDL(LEDGER_COLUMNS + ", entry bigint")
-SETTINGS_SCHEMA = T.StructType.fromDDL(
-    "schema_json string, spec_id int, transform string, version bigint"
+LEDGER_FIELDS = (
+    ("batch_id", "string"),
+    ("source_name", "string"),
+    ("ingest_time", "timestamp"),
+    ("stream_batch", "string"),
+    ("status", "string"),
+    ("rows_in", "bigint"),
+    ("rows_written", "bigint"),
+    ("n_failures", "bigint"),
+    ("n_warnings", "bigint"),
+    ("lag_seconds", "double"),
+    ("current_snapshot_id", "bigint"),
+    ("snapshot_count", "bigint"),
+    ("snapshot_id", "bigint"),
+    ("sequence_number", "bigint"),
+    ("timestamp_ms", "bigint"),
+    ("operation", "string"),
+    ("schema_json", "string"),
+    ("write_id", "bigint"),
+    ("commit_seq", "bigint"),
+    ("layout", _LAYOUT),
+    ("total_rows", "bigint"),
+    ("summary", "map<string, string>"),
 )
-EXPIRED_SCHEMA = T.StructType.fromDDL(
-    "snapshot_id bigint, timestamp_ms bigint, sequence_number bigint, expired_at timestamp, run bigint"
+LEDGER_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LEDGER_FIELDS) + ", entry bigint"
+CHANGE_SCHEMA = "schema_json string, spec_id int, transform string"
+SETTINGS_SCHEMA = CHANGE_SCHEMA + ", version bigint"
+EXPIRED_SCHEMA = (
+    "snapshot_id bigint, timestamp_ms bigint, sequence_number bigint, expired_at timestamp, "
+    "run bigint"
 )
-BATCH_SCHEMA = T.StructType.fromDDL("batch_id string, source_name string, ingest_time timestamp")
+BATCH_SCHEMA = "batch_id string, source_name string, ingest_time timestamp"
 
 
 class AsOfConflictError(ValueError):
@@ -124,6 +144,11 @@ def expirable(snapshots: DataFrame, retain_last: int, protected: DataFrame | Non
     return gone.orderBy(*newest_first()).select("snapshot_id", "timestamp_ms", "sequence_number")
 
 
+def broadcast_if_few(batches: DataFrame, count: int) -> DataFrame:
+    """A table with a row per batch, broadcast while its counted rows are few."""
+    return F.broadcast(batches) if count <= BROADCAST_BATCHES else batches
+
+
 def must_not_be_null(column: Column, name: str) -> Column:
     """The column itself; a NULL fails the task that writes it."""
     return F.when(
@@ -141,7 +166,7 @@ class StateLog:
 
     # ------------------------------------------------------------------ metadata tables
 
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+    def _table(self, name: str, schema: str) -> DataFrame:
         """A metadata table; empty before its first row is written."""
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -201,7 +226,7 @@ class StateLog:
 
     def _change(self, schema_json: str, spec_id: int, transform: str, version: int) -> None:
         row = self.spark.createDataFrame(
-            [(schema_json, spec_id, transform)], "schema_json string, spec_id int, transform string"
+            [(schema_json, spec_id, transform)], CHANGE_SCHEMA
         )
         row.write.mode("overwrite").parquet(f"{self.root}/settings/version={version}")
 
@@ -334,7 +359,7 @@ class StateLog:
         """Committed rows of one partition layout. Each layout is a folder read on its own."""
         transform = TRANSFORMS[piece["transform"]]
         stored = _nullable(schema).add("commit_seq", T.LongType()).add("write_id", T.LongType())
-        stored = stored.add(transform.column, T.DataType.fromDDL(transform.type_name))
+        stored = stored.add(transform.column, SPARK_TYPES[transform.type_name])
         rows = (
             self.spark.read.schema(stored)
             .parquet(f"{self.root}/data/spec_id={piece['spec_id']}")
@@ -369,6 +394,7 @@ class StateLog:
         deduplicated: bool = False,
         stream_batch: str | None = None,
         gate: bool = True,
+        cache: bool = True,
     ) -> DataFrame:
         """Gate and append a set of batches; returns their new rows of the batch log.
 
@@ -378,12 +404,16 @@ class StateLog:
         snapshot, in order of ingest time and id. Nothing is visible before the batch-log rows are
         written, in one file, at the end.
 
-        ``stream_batch`` names the micro-batch; one that is in the log already is left alone.
+        ``stream_batch`` names the micro-batch; one that is in the log already is left alone. The
+        rows are read for the report and again for the write; ``cache`` keeps them in between, which
+        pays unless they are cheap to compute, as in a backfill from columnar files.
         """
         if stream_batch is not None:
             done = self.batch_log().where(F.col("stream_batch") == stream_batch)
             if not done.isEmpty():
                 return done
+        if not cache:
+            return self._ingest(rows, batches, deduplicated, stream_batch, gate)
         rows = rows.persist()
         try:
             return self._ingest(rows, batches, deduplicated, stream_batch, gate)
@@ -391,34 +421,37 @@ class StateLog:
             rows.unpersist()
 
     def _ingest(self, rows, batches, deduplicated, stream_batch, gate) -> DataFrame:
-        settings, newest = self._settings(), self._newest()
+        settings, newest, state = self._settings(), self._newest(), self.state().first()
         schema = _schema_of(settings["schema_json"])
         entry = self.batch_log().agg(F.coalesce(F.max("entry"), F.lit(0)) + 1).first()[0]
         write_id = newest["write_id"] + 1 if newest else 1
         last_commit = newest["commit_seq"] if newest else 0
         rows_before = newest["total_rows"] if newest else 0
 
-        judged = self._judge(rows, batches, deduplicated, gate).withColumn(
-            "commit_seq",
-            F.when(
-                F.col("status") == APPENDED,
-                # One row per announced batch, as many as files in a micro-batch.
-                last_commit + F.sum((F.col("status") == APPENDED).cast("bigint")).over(
-                    Window.orderBy("ingest_time", "batch_id")
-                ),
-            ),
-        ).persist()
-        try:
-            accepted = judged.where(F.col("status") == APPENDED).select(
-                F.col("batch_id").alias(BATCH_ID), "commit_seq"
+        # Windows without a partition run over one row per announced batch, not over data.
+        so_far = Window.orderBy("ingest_time", "batch_id").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        appended = F.col("status") == APPENDED
+        judged = (
+            self._judge(rows, batches, deduplicated, gate)
+            .withColumn("_appended", F.sum(appended.cast("bigint")).over(so_far))
+            .withColumn("total_rows", rows_before + F.sum("rows_written").over(so_far))
+            .withColumn("commit_seq", F.when(appended, last_commit + F.col("_appended")))
+            .withColumn("snapshot_count", state["snapshot_count"] + F.col("_appended"))
+            .withColumn(
+                "current_snapshot_id", F.nullif(last_commit + F.col("_appended"), F.lit(0))
             )
-            wrote = not accepted.isEmpty()
-            if wrote:
+            .persist()
+        )
+        try:
+            accepted = judged.where(appended).select(F.col("batch_id").alias(BATCH_ID), "commit_seq")
+            n_accepted = accepted.count()
+            if n_accepted:
+                accepted = broadcast_if_few(accepted, n_accepted)
                 self._write_rows(rows.join(accepted, BATCH_ID), schema, settings, write_id)
             layout = _extended(newest["layout"] if newest else [], settings, write_id)
-            ledger = self._ledger_rows(
-                judged, settings, layout, write_id, rows_before, stream_batch
-            )
+            ledger = _ledger_rows(judged, settings, layout, write_id, stream_batch)
             ledger.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/entry={entry}")
         finally:
             judged.unpersist()
@@ -453,17 +486,17 @@ class StateLog:
         column fails the write, and with it the batch.
         """
         transform = TRANSFORMS[settings["transform"]]
-        columns = [
-            must_not_be_null(F.col(f.name), f.name).alias(f.name)
-            if f.name in REQUIRED_COLUMNS
-            else (F.col(f.name) if f.name in rows.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema.fields
-        ]
+
+        def stored(field: T.StructField) -> Column:
+            value = F.col(field.name) if field.name in rows.columns else F.lit(None)
+            value = value.cast(field.dataType)
+            if not field.nullable:
+                value = must_not_be_null(value, field.name)
+            return value.alias(field.name)
+
         partition = transform.of(F.col("event_time")).cast(transform.type_name)
         (
-            rows.select(*columns, "commit_seq")
+            rows.select(*[stored(field) for field in schema.fields], "commit_seq")
             .withColumn(transform.column, partition)
             .hint("rebalance", transform.column)
             .sortWithinPartitions(transform.column, "icao24", "event_time")
@@ -472,42 +505,6 @@ class StateLog:
             .parquet(f"{self.root}/data/spec_id={settings['spec_id']}/write_id={write_id}")
         )
 
-    def _ledger_rows(
-        self, judged, settings, layout, write_id, rows_before, stream_batch
-    ) -> DataFrame:
-        appended = F.col("status") == APPENDED
-        total = rows_before + F.sum("rows_written").over(
-            Window.orderBy("ingest_time", "batch_id").rowsBetween(
-                Window.unboundedPreceding, Window.currentRow
-            )
-        )
-        derived = {
-            "stream_batch": F.lit(stream_batch),
-            "snapshot_id": F.col("commit_seq"),
-            "sequence_number": F.col("commit_seq"),
-            "timestamp_ms": F.when(appended, F.unix_millis("ingest_time")),
-            "operation": F.when(appended, F.lit("append")),
-            "schema_json": F.when(appended, F.lit(settings["schema_json"])),
-            "write_id": F.when(appended, F.lit(write_id)),
-            "layout": F.when(appended, layout),
-            "total_rows": F.when(appended, F.col("total_rows")),
-            "summary": F.when(
-                appended,
-                F.create_map(
-                    F.lit("added-records"), F.col("rows_written").cast("string"),
-                    F.lit("total-records"), F.col("total_rows").cast("string"),
-                ),
-            ),
-        }
-        counted = judged.withColumn("total_rows", total)
-        return counted.select(
-            *[
-                derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
-                for f in LEDGER_SCHEMA.fields
-                if f.name != "entry"
-            ]
-        )
-
     def append(
         self, rows: DataFrame, batch_id: str, source_name: str, ingest_time: datetime
     ) -> DataFrame:
@@ -541,6 +538,32 @@ class StateLog:
         )
 
 
+def _ledger_rows(judged, settings, layout, write_id, stream_batch) -> DataFrame:
+    """Judged batches as rows of the batch log; only an appended one describes a snapshot."""
+    appended = F.col("status") == APPENDED
+    snapshot = {
+        "snapshot_id": F.col("commit_seq"),
+        "sequence_number": F.col("commit_seq"),
+        "timestamp_ms": F.unix_millis("ingest_time"),
+        "operation": F.lit("append"),
+        "schema_json": F.lit(settings["schema_json"]),
+        "write_id": F.lit(write_id),
+        "layout": layout,
+        "total_rows": F.col("total_rows"),
+        "summary": F.create_map(
+            F.lit("added-records"), F.col("rows_written").cast("string"),
+            F.lit("total-records"), F.col("total_rows").cast("string"),
+        ),
+    }
+    columns = {name: F.when(appended, value) for name, value in snapshot.items()}
+    columns["stream_batch"] = F.lit(stream_batch)
+    return judged.select(
+        *[
+            columns.get(name, F.col(name)).cast(kind).alias(name) for name, kind in LEDGER_FIELDS
+        ]
+    )
+
+
 def _schema_of(text: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(text))
 

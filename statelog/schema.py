@@ -29,6 +29,16 @@ BRONZE_FIELDS = (
     ("source_name", "string", True),
 )
 
+SPARK_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "date": T.DateType(),
+}
+
 # The type names table facts report, by Spark type name.
 FACT_TYPES = {
     "string": "string",
@@ -48,5 +58,5 @@ def bronze_schema() -> T.StructType:
     """The bronze columns as a Spark schema; required columns are not nullable."""
     schema = T.StructType()
     for name, type_name, required in BRONZE_FIELDS:
-        schema.add(name, T.DataType.fromDDL(type_name), not required)
+        schema.add(name, SPARK_TYPES[type_name], not required)
     return schema

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The 18 positions of a state, in payload order, with their bronze types.
 POSITIONS = (
@@ -34,9 +33,9 @@ POSITIONS = (
     ("category", "int"),
 )
 
-PAYLOAD_SCHEMA = "time bigint, seq bigint, states array<array<string>>"
-LANDING_SCHEMA = T.StructType.fromDDL("value string, poll_id bigint")
-ARRIVAL_SCHEMA = T.StructType.fromDDL("poll_id bigint, source_name string, ingest_time timestamp")
+PAYLOAD_SCHEMA = "seq bigint, states array<array<string>>, _unreadable string"
+LANDING_SCHEMA = "value string, poll_id bigint"
+ARRIVAL_SCHEMA = "poll_id bigint, source_name string, ingest_time timestamp"
 
 # Order of records within a poll: document number, then position in its states.
 RECORD_ORDER = ("seq", "pos")
@@ -80,16 +79,24 @@ def _typed(text: Column, type_name: str) -> Column:
 def decode_states(documents: DataFrame, value: str = "value") -> DataFrame:
     """One named record per state; a missing or unreadable position is NULL.
 
-    ``documents`` keeps its other columns. ``states`` null or absent gives no records. ``sensors``
-    is dropped. Adds ``seq`` and ``pos``, the record's place in its poll.
+    ``documents`` keeps its other columns. ``states`` null or absent gives no records. An unreadable
+    document gives one record of NULLs, for the gate to reject its poll. ``sensors`` is dropped.
+    Adds ``seq`` and ``pos``, the record's place in its poll.
     """
     kept = [name for name in documents.columns if name != value]
+    payload = F.from_json(value, PAYLOAD_SCHEMA, {"columnNameOfCorruptRecord": "_unreadable"})
+    no_positions = F.array(F.array().cast("array<string>"))
     states = (
-        documents.select(*kept, F.from_json(value, PAYLOAD_SCHEMA).alias("payload"))
+        documents.where(F.trim(value) != "")
+        .select(*kept, payload.alias("payload"))
         .select(
             *kept,
-            F.coalesce(F.col("payload.seq"), F.lit(0)).cast("bigint").alias("seq"),
-            F.posexplode("payload.states").alias("pos", "state"),
+            F.coalesce("payload.seq", F.lit(0)).cast("bigint").alias("seq"),
+            F.posexplode(
+                F.when(F.col("payload._unreadable").isNotNull(), no_positions).otherwise(
+                    F.col("payload.states")
+                )
+            ).alias("pos", "state"),
         )
     )
     fields = [

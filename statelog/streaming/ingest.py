@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from statelog.operators.bronze import to_bronze
 from statelog.operators.dedupe import first_per_state_key
-from statelog.plans.log import StateLog
+from statelog.plans.log import StateLog, broadcast_if_few
 from statelog.sources.payload import (
     RECORD_ORDER,
     decode_states,
@@ -29,11 +29,7 @@ def batch_name(poll_id):
 
 
 def polls_to_bronze(documents: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Deduplicated bronze rows of the announced polls.
-
-    ``documents`` are landed lines with their ``poll_id``. The announcements are a row per poll, so
-    Spark broadcasts them as long as their measured size allows.
-    """
+    """Deduplicated bronze rows of the announced polls; ``documents`` are lines with ``poll_id``."""
     records = decode_states(documents.join(arrived, "poll_id"))
     first = first_per_state_key(records, RECORD_ORDER, batch=("poll_id",))
     return to_bronze(
@@ -52,13 +48,15 @@ def ingest_polls(
     announced = arrived.groupBy("poll_id").agg(
         F.min(F.struct("ingest_time", "source_name")).alias("_a")
     ).select("poll_id", "_a.ingest_time", "_a.source_name")
-    span = announced.agg(F.min("poll_id"), F.max("poll_id")).first()
-    documents = read_landed(log.spark, landing).where(F.col("poll_id").between(span[0], span[1]))
+    first, last, count = announced.agg(
+        F.min("poll_id"), F.max("poll_id"), F.count(F.lit(1))
+    ).first()
+    documents = read_landed(log.spark, landing).where(F.col("poll_id").between(first, last))
     batches = announced.select(
         batch_name(F.col("poll_id")).alias("batch_id"), "source_name", "ingest_time"
     )
     return log.ingest(
-        polls_to_bronze(documents, announced),
+        polls_to_bronze(documents, broadcast_if_few(announced, count)),
         batches,
         deduplicated=True,
         stream_batch=stream_batch,

@@ -52,7 +52,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]
 def _build_batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
     log = StateLog(spark, new_folder(spark, "batch-log"))
     for rows, announced in _parts(spark, sf_dir):
-        log.ingest(rows, announced)
+        log.ingest(rows, announced, cache=False)
     return log
 
 
@@ -64,7 +64,7 @@ def batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
 def _build_expired_log(spark: SparkSession, sf_dir: str) -> StateLog:
     log = StateLog(spark, new_folder(spark, "expired-log"))
     rows = view.bronze(spark, sf_dir)
-    log.ingest(rows.select(*BRONZE_COLUMNS), _announced(rows))
+    log.ingest(rows.select(*BRONZE_COLUMNS), _announced(rows), cache=False)
     log.expire_snapshots(retain_last=RETAINED)
     return log
 
@@ -77,14 +77,14 @@ def expired_log(spark: SparkSession, sf_dir: str) -> StateLog:
 def _build_evolved_log(spark: SparkSession, sf_dir: str) -> tuple[StateLog, int]:
     log = StateLog(spark, new_folder(spark, "evolved-log"))
     parts = _parts(spark, sf_dir)
-    log.ingest(*parts[0])
+    log.ingest(*parts[0], cache=False)
     before = log.snapshot_id_of()
     log.add_column(EVOLVED_COLUMN, "string")
     rows, announced = parts[1]
-    log.ingest(rows.withColumn(EVOLVED_COLUMN, F.lit("B")), announced)
+    log.ingest(rows.withColumn(EVOLVED_COLUMN, F.lit("B")), announced, cache=False)
     log.repartition_by("hour")
     rows, announced = parts[2]
-    log.ingest(rows.withColumn(EVOLVED_COLUMN, F.lit("A")), announced)
+    log.ingest(rows.withColumn(EVOLVED_COLUMN, F.lit("A")), announced, cache=False)
     return log, before
 
 

@@ -145,22 +145,24 @@ def _stats(rows: str, interval: str, country: bool = False, where: str = "true")
     )
 
 
-def _results(rows_before_expiry: str = "") -> str:
+def _results() -> str:
     """Batch log: every poll of the report, its status and its snapshot."""
     return """select 'poll-' || r.poll_id as batch_id,
   case when r.poll_id % 2 = 0 then 'feed_a' else 'feed_b' end as source_name,
   make_timestamp(((r.poll_id + 1) * 86400 + 5) * 1000000) as ingest_time,
   case when r.ok then 'appended' else 'dq_aborted' end as status, r.n_rows as rows_in,
   case when r.ok then r.n_rows else 0 end as rows_written, r.n_failures, r.n_warnings,
-  cast(r.lag_seconds as double) as lag_seconds, c.commit_seq as snapshot_id,
+  cast(r.lag_seconds as double) as lag_seconds,
+  nullif(count(c.commit_seq) over (order by r.poll_id), 0) as current_snapshot_id,
+  count(c.commit_seq) over (order by r.poll_id) as snapshot_count, c.commit_seq as snapshot_id,
   case when r.ok then cast(sum(case when r.ok then r.n_rows else 0 end)
     over (order by r.poll_id) as bigint) end as total_rows
   from report r left join commits c using (poll_id)"""
 
 
 _EMPTY_POLL = """ union all select 'poll-' || p, case when p % 2 = 0 then 'feed_a' else 'feed_b' end,
-  make_timestamp(((p + 1) * 86400 + 5) * 1000000), 'skipped_empty', 0, 0, 0, 0, null, null, null
-  from (select max(poll_id) + 1 as p from rec)"""
+  make_timestamp(((p + 1) * 86400 + 5) * 1000000), 'skipped_empty', 0, 0, 0, 0, null, n, n, null, null
+  from (select max(poll_id) + 1 as p from rec), (select count(*) as n from commits)"""
 
 
 def _rule_counts() -> str:
@@ -388,6 +390,9 @@ ORACLE_SQL: dict[str, str] = {
     "flights_page": _log(
         f"select {COLUMNS} from log where {FROM_START} order by {PAGE_ORDER} limit 200 offset 150"
     ),
+    "flights_deep_page": _log(
+        f"select {COLUMNS} from log order by {PAGE_ORDER} limit 300 offset 500"
+    ),
     "flights_all_filters": _log(
         f"select {COLUMNS} from log where icao24 = '000005' and callsign = 'VIE5' and {FROM_START} "
         f"and event_time <= timestamp '2024-01-30' order by {PAGE_ORDER} limit 100"

@@ -124,7 +124,8 @@ def _results(ledger: DataFrame) -> DataFrame:
     return _zoneless(
         ledger.select(
             "batch_id", "source_name", "ingest_time", "status", "rows_in", "rows_written",
-            "n_failures", "n_warnings", "lag_seconds", "snapshot_id", "total_rows",
+            "n_failures", "n_warnings", "lag_seconds", "current_snapshot_id", "snapshot_count",
+            "snapshot_id", "total_rows",
         )
     )
 
@@ -153,6 +154,11 @@ def flights_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bronze_only(reads.page(rows, **PAGE))
 
 
+def flights_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.batch_log(spark, sf_dir).scan()
+    return _bronze_only(reads.page(rows, limit=300, offset=500, seek_from=5))
+
+
 def flights_all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs.batch_log(spark, sf_dir).scan(
         icao24=AIRCRAFT, callsign=CALLSIGN, start=WINDOW_START, end=LAST_DAY
@@ -471,6 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flights_by_callsign,
         flights_time_window,
         flights_page,
+        flights_deep_page,
         flights_all_filters,
         bbox_page,
         bbox_all,
