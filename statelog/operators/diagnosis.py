@@ -80,7 +80,7 @@ def finding_examples(rows: DataFrame, limit: int = EXAMPLES) -> DataFrame:
         for position, rule in enumerate(_RULES)
     ]
     order = page_order(rows)
-    tagged = rows.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))
+    tagged = rows.withColumn("_tag", F.explode(F.array(*tags))).where("_tag is not null")
     window = Window.partitionBy("_tag.position").orderBy(*order)
     return (
         tagged.withColumn("rank", F.row_number().over(window))

@@ -133,11 +133,12 @@ def failure_cases(rows: DataFrame, index: str, batch: Sequence[str] = BATCH) ->
         )
         for position, rule in enumerate(ROW_RULES, start=1)
     ]
+    # Empty entries are dropped after the explode; a filter on the array would run interpreted.
     row_cases = rows.select(
         *batch,
         F.col(index).cast("bigint").alias("index"),
-        F.explode(F.array_compact(F.array(*cases))).alias("_c"),
-    ).select(*batch, "_c.*", "index")
+        F.explode(F.array(*cases)).alias("_c"),
+    ).where("_c is not null").select(*batch, "_c.*", "index")
     batch_cases = duplicate_batches(rows, batch).select(
         *batch,
         F.lit(WARN).alias("severity"),
@@ -159,10 +160,13 @@ def case_summary(
         "position", F.col("index").asc_nulls_first()
     )
     head = cases.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
-    totals = cases.groupBy(*batch, "severity").agg(F.count(F.lit(1)).alias("n_cases"))
-    names = [*batch, "severity"]
-    totals = totals.select(*_marked(names), "n_cases")
-    return head.join(totals, _same(names)).select(
+    # Every violation is a case, so the report already counts them.
+    totals = batch_report(rows, batch).select(*_marked(batch), "n_failures", "n_warnings")
+    head = head.join(totals, _same(batch)).withColumn(
+        "n_cases",
+        F.when(F.col("severity") == FAIL, F.col("n_failures")).otherwise(F.col("n_warnings")),
+    )
+    return head.select(
         *batch,
         "severity",
         "rank",

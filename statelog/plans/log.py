@@ -315,6 +315,16 @@ class StateLog:
     def _newest(self):
         return self.commits().orderBy(F.col("sequence_number").desc()).limit(1).first()
 
+    def _head(self):
+        """Last entry of the batch log, number of commits and the newest of them, in one lookup."""
+        committed = F.when(F.col("status") == APPENDED, F.col("sequence_number"))
+        carried = F.struct("write_id", "commit_seq", "total_rows", "layout")
+        return self.batch_log().agg(
+            F.coalesce(F.max("entry"), F.lit(0)).alias("entry"),
+            F.count(committed).alias("n_commits"),
+            F.max_by(carried, committed).alias("newest"),
+        ).first()
+
     def scan(
         self,
         as_of_snapshot_id: int | None = None,
@@ -421,9 +431,10 @@ class StateLog:
             rows.unpersist()
 
     def _ingest(self, rows, batches, deduplicated, stream_batch, gate) -> DataFrame:
-        settings, newest, state = self._settings(), self._newest(), self.state().first()
+        settings, head = self._settings(), self._head()
         schema = _schema_of(settings["schema_json"])
-        entry = self.batch_log().agg(F.coalesce(F.max("entry"), F.lit(0)) + 1).first()[0]
+        newest, entry = head["newest"], head["entry"] + 1
+        snapshots_before = head["n_commits"] - self.expired().count()
         write_id = newest["write_id"] + 1 if newest else 1
         last_commit = newest["commit_seq"] if newest else 0
         rows_before = newest["total_rows"] if newest else 0
@@ -438,7 +449,7 @@ class StateLog:
             .withColumn("_appended", F.sum(appended.cast("bigint")).over(so_far))
             .withColumn("total_rows", rows_before + F.sum("rows_written").over(so_far))
             .withColumn("commit_seq", F.when(appended, last_commit + F.col("_appended")))
-            .withColumn("snapshot_count", state["snapshot_count"] + F.col("_appended"))
+            .withColumn("snapshot_count", snapshots_before + F.col("_appended"))
             .withColumn(
                 "current_snapshot_id", F.nullif(last_commit + F.col("_appended"), F.lit(0))
             )

@@ -45,22 +45,30 @@ def ingest_polls(
 ) -> DataFrame:
     """Ingest the announced polls into the log; returns their batch-log rows."""
     # A poll announced twice in one go is one poll.
-    announced = arrived.groupBy("poll_id").agg(
-        F.min(F.struct("ingest_time", "source_name")).alias("_a")
-    ).select("poll_id", "_a.ingest_time", "_a.source_name")
-    first, last, count = announced.agg(
-        F.min("poll_id"), F.max("poll_id"), F.count(F.lit(1))
-    ).first()
-    documents = read_landed(log.spark, landing).where(F.col("poll_id").between(first, last))
-    batches = announced.select(
-        batch_name(F.col("poll_id")).alias("batch_id"), "source_name", "ingest_time"
-    )
-    return log.ingest(
-        polls_to_bronze(documents, broadcast_if_few(announced, count)),
-        batches,
-        deduplicated=True,
-        stream_batch=stream_batch,
+    announced = (
+        arrived.groupBy("poll_id")
+        .agg(F.min(F.struct("ingest_time", "source_name")).alias("_a"))
+        .select("poll_id", "_a.ingest_time", "_a.source_name")
+        .persist()
     )
+    try:
+        first, last, count = announced.agg(
+            F.min("poll_id"), F.max("poll_id"), F.count(F.lit(1))
+        ).first()
+        if not count:
+            return log.batch_log().limit(0)
+        documents = read_landed(log.spark, landing).where(F.col("poll_id").between(first, last))
+        batches = announced.select(
+            batch_name(F.col("poll_id")).alias("batch_id"), "source_name", "ingest_time"
+        )
+        return log.ingest(
+            polls_to_bronze(documents, broadcast_if_few(announced, count)),
+            batches,
+            deduplicated=True,
+            stream_batch=stream_batch,
+        )
+    finally:
+        announced.unpersist()
 
 
 def start_ingest_stream(
@@ -80,8 +88,7 @@ def start_ingest_stream(
     """
 
     def take(arrived: DataFrame, number: int) -> None:
-        if not arrived.isEmpty():
-            ingest_polls(log, landing, arrived, stream_batch=f"{name}/{number}")
+        ingest_polls(log, landing, arrived, stream_batch=f"{name}/{number}")
 
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return (

@@ -74,3 +74,10 @@ def test_naive_moments_mean_utc():
     naive = datetime(2026, 6, 14, 12)
     assert to_utc(naive) == naive.replace(tzinfo=UTC)
     assert epoch_micros(naive) == 1781438400 * 10**6
+
+
+def test_blanks_are_those_of_python(spark):
+    points = [p for p in range(1, 0x3100) if not 0xD800 <= p < 0xE000]
+    frame = spark.createDataFrame([(chr(p) + "A" + chr(p),) for p in points], "c string")
+    got = [r[0] for r in frame.select(clean_callsign(F.col("c"))).collect()]
+    assert got == [(chr(p) + "A" + chr(p)).strip() for p in points]
