@@ -60,6 +60,13 @@ def check_box(min_lat: float, max_lat: float, min_lon: float, max_lon: float) ->
             raise ValueError(f"{name} must be within -{bound}..{bound}, got {value}")
 
 
+def check_stats(interval: str, group_by: str | None) -> None:
+    if interval not in INTERVALS:
+        raise ValueError(f"interval must be one of {tuple(INTERVALS)}, got {interval!r}")
+    if group_by is not None and group_by not in GROUPINGS:
+        raise ValueError(f"group_by must be one of {GROUPINGS}, got {group_by!r}")
+
+
 def row_filter(
     icao24: str | None = None,
     callsign: str | None = None,
@@ -125,15 +132,41 @@ def _seek(rows: DataFrame, offset: int, near: int) -> tuple[DataFrame, int]:
     return rows, offset
 
 
+def _days_of_page(rows: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
+    """Rows of the days that hold the page, and the offset left in them.
+
+    Days are counted from the partitions, with no more columns than the filters need, and the page
+    is then read from its own days only. One row of bounds reaches the driver.
+    """
+    counted = rows.groupBy("event_day").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("event_day")) - F.col("n")
+    bounds = (
+        counted.withColumn("before", before)
+        .where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+        .agg(F.min("event_day"), F.max("event_day"), F.min("before"))
+        .first()
+    )
+    if bounds[0] is None:
+        return rows.limit(0), 0
+    return rows.where(F.col("event_day").between(*bounds[:2])), offset - bounds[2]
+
+
 def page(
-    rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, seek_from: int = DEEP_OFFSET
+    rows: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    offset: int = 0,
+    seek_from: int = DEEP_OFFSET,
+    by_day: bool = False,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order of event time and aircraft.
 
     A shallow page is one top-k plan. A top-k keeps ``offset + limit`` rows per task, so a page past
-    ``seek_from`` first moves to the time slot that holds the offset.
+    ``seek_from`` first moves to the time slot that holds the offset. ``by_day``, for scans of a
+    large log, first finds the page's days and reads no others.
     """
     check_page(limit, offset)
+    if by_day:
+        rows, offset = _days_of_page(rows, limit, offset)
     if offset > seek_from:
         rows, offset = _seek(rows, offset, seek_from)
     return rows.orderBy(*page_order(rows)).offset(offset).limit(limit)
@@ -201,10 +234,7 @@ def stats_per_interval(
     Where the scan offers its partition day, whole-range daily counts group by that and read no
     event times from the files.
     """
-    if interval not in INTERVALS:
-        raise ValueError(f"interval must be one of {tuple(INTERVALS)}, got {interval!r}")
-    if group_by is not None and group_by not in GROUPINGS:
-        raise ValueError(f"group_by must be one of {GROUPINGS}, got {group_by!r}")
+    check_stats(interval, group_by)
     if interval == "day" and "event_day" in rows.columns:
         bucket = F.timestamp_seconds(F.unix_date("event_day").cast("bigint") * INTERVALS["day"])
     else:

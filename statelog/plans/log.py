@@ -23,6 +23,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -310,91 +311,49 @@ class StateLog:
                 moment = to_utc(as_of_timestamp).isoformat()
                 raise SnapshotNotFoundError(f"no snapshot at or before {moment}")
             return found
-        return self._newest()
-
-    def _newest(self):
         return self.commits().orderBy(F.col("sequence_number").desc()).limit(1).first()
 
-    def _head(self):
-        """Last entry of the batch log, number of commits and the newest of them, in one lookup."""
-        committed = F.when(F.col("status") == APPENDED, F.col("sequence_number"))
-        carried = F.struct("write_id", "commit_seq", "total_rows", "layout")
-        return self.batch_log().agg(
-            F.coalesce(F.max("entry"), F.lit(0)).alias("entry"),
-            F.count(committed).alias("n_commits"),
-            F.max_by(carried, committed).alias("newest"),
-        ).first()
+    def at(
+        self, as_of_snapshot_id: int | None = None, as_of_timestamp: datetime | None = None
+    ) -> Snapshot:
+        """The snapshot with an id, the newest at or before a time, or the current one.
+
+        A read as of a snapshot has that snapshot's columns, a current read those in force now.
+        """
+        row = self.resolve(as_of_snapshot_id, as_of_timestamp)
+        current = as_of_snapshot_id is None and as_of_timestamp is None
+        schema = self.schema() if current else _schema_of(row["schema_json"])
+        return Snapshot(self, row, schema, current)
 
     def scan(
         self,
         as_of_snapshot_id: int | None = None,
         as_of_timestamp: datetime | None = None,
-        icao24: str | None = None,
-        callsign: str | None = None,
-        start: datetime | None = None,
-        end: datetime | None = None,
+        **filters,
     ) -> DataFrame:
-        """Rows of a snapshot that pass the filters, plus ``event_day`` from the partition.
-
-        The filters go to the Parquet scan, and a time window also to the partition column. A read
-        as of a snapshot has that snapshot's columns, a current read those in force now.
-        """
-        snapshot = self.resolve(as_of_snapshot_id, as_of_timestamp)
-        as_of = as_of_snapshot_id is not None or as_of_timestamp is not None
-        schema = (
-            _schema_of(snapshot["schema_json"]) if as_of and snapshot is not None else self.schema()
-        )
-        wanted = row_filter(icao24, callsign, start, end)
-        parts = [
-            self._scan_layout(schema, piece, snapshot["commit_seq"] if as_of else None, start, end)
-            .where(wanted)
-            for piece in (snapshot["layout"] if snapshot is not None else [])
-        ]
-        if not parts:
-            empty = T.StructType(list(schema.fields)).add("event_day", T.DateType())
-            return self.spark.createDataFrame([], _nullable(empty))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows
-
-    def _scan_layout(
-        self,
-        schema: T.StructType,
-        piece,
-        commit_seq: int | None,
-        start: datetime | None,
-        end: datetime | None,
-    ) -> DataFrame:
-        """Committed rows of one partition layout. Each layout is a folder read on its own."""
-        transform = TRANSFORMS[piece["transform"]]
-        stored = _nullable(schema).add("commit_seq", T.LongType()).add("write_id", T.LongType())
-        stored = stored.add(transform.column, SPARK_TYPES[transform.type_name])
-        rows = (
-            self.spark.read.schema(stored)
-            .parquet(f"{self.root}/data/spec_id={piece['spec_id']}")
-            .where(F.col("write_id").between(piece["first_write"], piece["last_write"]))
-            .where(transform.prune(start, end))
-        )
-        if commit_seq is not None:
-            rows = rows.where(F.col("commit_seq") <= commit_seq)
-        if transform.column == "event_day":
-            day = F.col("event_day")
-        else:
-            day = F.date_from_unix_date(F.floor(F.col(transform.column) / 24).cast("int"))
-        return rows.select(*schema.names, day.alias("event_day"))
+        """Rows of a snapshot, see :meth:`Snapshot.scan`."""
+        return self.at(as_of_snapshot_id, as_of_timestamp).scan(**filters)
 
     def snapshot_id_of(
         self, as_of_snapshot_id: int | None = None, as_of_timestamp: datetime | None = None
     ) -> int | None:
         """Id of the snapshot that answers a read."""
-        snapshot = self.resolve(as_of_snapshot_id, as_of_timestamp)
-        return None if snapshot is None else snapshot["snapshot_id"]
+        return self.at(as_of_snapshot_id, as_of_timestamp).snapshot_id
 
     def create_view(self, name: str, **selector) -> None:
         """Offer a scan to SQL under a name."""
         self.scan(**selector).createOrReplaceTempView(name)
 
+    def _head(self):
+        """Last entry of the batch log, number of commits and the newest of them, in one lookup."""
+        committed = F.when(F.col("status") == APPENDED, F.col("sequence_number"))
+        carried = F.struct("write_id", "commit_seq", "total_rows", "layout")
+        return self.batch_log().agg(
+            F.coalesce(F.max("entry"), F.lit(0)).alias("entry"),
+            F.count(committed).alias("n_commits"),
+            F.max_by(carried, committed).alias("newest"),
+        ).first()
+
     # ------------------------------------------------------------------ writes
 
     def ingest(
@@ -549,6 +508,55 @@ class StateLog:
         )
 
 
+class Snapshot:
+    """One readable state of a log."""
+
+    def __init__(self, log: StateLog, row, schema: T.StructType, current: bool):
+        self.spark, self.root, self.schema = log.spark, log.root, schema
+        self.snapshot_id = row["snapshot_id"] if row is not None else None
+        self.total_rows = row["total_rows"] if row is not None else 0
+        self._layout = row["layout"] if row is not None else []
+        # All rows of a committed write belong to the current state.
+        self._last_commit = None if current else row["commit_seq"]
+
+    def scan(
+        self,
+        icao24: str | None = None,
+        callsign: str | None = None,
+        start: datetime | None = None,
+        end: datetime | None = None,
+    ) -> DataFrame:
+        """Rows that pass the filters, plus ``event_day`` from the partition.
+
+        The filters go to the Parquet scan, and a time window also to the partition column.
+        """
+        wanted = row_filter(icao24, callsign, start, end)
+        parts = [self._scan_layout(piece, start, end).where(wanted) for piece in self._layout]
+        if not parts:
+            with_day = T.StructType(list(self.schema.fields)).add("event_day", T.DateType())
+            return self.spark.createDataFrame([], _nullable(with_day))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _scan_layout(self, piece, start: datetime | None, end: datetime | None) -> DataFrame:
+        """Committed rows of one partition layout. Each layout is a folder read on its own."""
+        transform = TRANSFORMS[piece["transform"]]
+        stored = _nullable(self.schema).add("commit_seq", T.LongType()).add("write_id", T.LongType())
+        stored = stored.add(transform.column, SPARK_TYPES[transform.type_name])
+        rows = (
+            self.spark.read.schema(stored)
+            .parquet(f"{self.root}/data/spec_id={piece['spec_id']}")
+            .where(F.col("write_id").between(piece["first_write"], piece["last_write"]))
+            .where(transform.prune(start, end))
+        )
+        if self._last_commit is not None:
+            rows = rows.where(F.col("commit_seq") <= self._last_commit)
+        if transform.column == "event_day":
+            day = F.col("event_day")
+        else:
+            day = F.date_from_unix_date(F.floor(F.col(transform.column) / 24).cast("int"))
+        return rows.select(*self.schema.names, day.alias("event_day"))
+
+
 def _ledger_rows(judged, settings, layout, write_id, stream_batch) -> DataFrame:
     """Judged batches as rows of the batch log; only an appended one describes a snapshot."""
     appended = F.col("status") == APPENDED

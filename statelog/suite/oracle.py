@@ -390,6 +390,9 @@ ORACLE_SQL: dict[str, str] = {
     "flights_page": _log(
         f"select {COLUMNS} from log where {FROM_START} order by {PAGE_ORDER} limit 200 offset 150"
     ),
+    "flights_page_by_day": _log(
+        f"select {COLUMNS} from log where {FROM_START} order by {PAGE_ORDER} limit 200 offset 150"
+    ),
     "flights_deep_page": _log(
         f"select {COLUMNS} from log order by {PAGE_ORDER} limit 300 offset 500"
     ),

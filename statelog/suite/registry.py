@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from statelog.operators import diagnosis, quality, reads
 from statelog.operators.bronze import to_bronze
 from statelog.operators.dedupe import first_per_state_key
+from statelog.plans import answers
 from statelog.plans.log import snapshot_at
 from statelog.schema import BRONZE_COLUMNS
 from statelog.sources.payload import RECORD_ORDER, decode_states
@@ -134,13 +135,12 @@ def _results(ledger: DataFrame) -> DataFrame:
 
 
 def flights_by_icao24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(icao24=AIRCRAFT)
-    return _bronze_only(reads.page(rows, reads.clamp_limit(None)))
+    return _bronze_only(answers.flights(logs.batch_log(spark, sf_dir), icao24=AIRCRAFT).rows)
 
 
 def flights_by_callsign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(callsign=CALLSIGN)
-    return _bronze_only(reads.page(rows, reads.clamp_limit(5000)))
+    found = answers.flights(logs.batch_log(spark, sf_dir), callsign=CALLSIGN, limit=5000)
+    return _bronze_only(found.rows)
 
 
 def flights_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,13 @@ def flights_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = answers.flights(logs.batch_log(spark, sf_dir), start=WINDOW_START, **PAGE)
+    return _bronze_only(found.rows)
+
+
+def flights_page_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs.batch_log(spark, sf_dir).scan(start=WINDOW_START)
-    return _bronze_only(reads.page(rows, **PAGE))
+    return _bronze_only(reads.page(rows, **PAGE, by_day=True))
 
 
 def flights_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +165,15 @@ def flights_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights_all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(
-        icao24=AIRCRAFT, callsign=CALLSIGN, start=WINDOW_START, end=LAST_DAY
+    found = answers.flights(
+        logs.batch_log(spark, sf_dir), AIRCRAFT, CALLSIGN, WINDOW_START, LAST_DAY
     )
-    return _bronze_only(reads.page(rows))
+    return _bronze_only(found.rows)
 
 
 def bbox_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(start=WINDOW_START)
-    return _bronze_only(reads.bounding_box(rows, **BOX, **PAGE))
+    log = logs.batch_log(spark, sf_dir)
+    return _bronze_only(answers.bounding_box(log, **BOX, start=WINDOW_START, **PAGE).rows)
 
 
 def bbox_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +186,13 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_state_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan()
-    return _bronze_only(reads.latest_state(rows, limit=50, offset=3))
+    found = answers.latest_state(logs.batch_log(spark, sf_dir), limit=50, offset=3)
+    return _bronze_only(found.rows)
 
 
 def latest_state_of_aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(icao24=AIRCRAFT)
-    return _bronze_only(reads.latest_state(rows))
+    found = answers.latest_state(logs.batch_log(spark, sf_dir), icao24=AIRCRAFT)
+    return _bronze_only(found.rows)
 
 
 def latest_state_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,16 +208,24 @@ def stats_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_day_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(logs.batch_log(spark, sf_dir).scan(), "day", group_by="origin_country")
+    found = answers.stats_per_interval(
+        logs.batch_log(spark, sf_dir), "day", group_by="origin_country"
+    )
+    return _counts(found.rows)
 
 
 def stats_hour_by_country_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(start=WINDOW_START, end=WINDOW_END)
-    return _stats(rows, "hour", group_by="origin_country")
+    found = answers.stats_per_interval(
+        logs.batch_log(spark, sf_dir), "hour", WINDOW_START, WINDOW_END, "origin_country"
+    )
+    return _counts(found.rows)
 
 
 def _stats(rows: DataFrame, interval: str, group_by: str | None = None) -> DataFrame:
-    counts = reads.stats_per_interval(rows, interval, group_by=group_by)
+    return _counts(reads.stats_per_interval(rows, interval, group_by=group_by))
+
+
+def _counts(counts: DataFrame) -> DataFrame:
     return _zoneless(counts.withColumnsRenamed({"group": "grp", "count": "cnt"}))
 
 
@@ -283,17 +296,17 @@ def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.batch_log(spark, sf_dir)
-    rows = reads.row_count(log.scan(as_of_timestamp=AS_OF_TIME))
-    answered = F.lit(log.snapshot_id_of(as_of_timestamp=AS_OF_TIME)).cast("bigint")
-    return rows.select(answered.alias("snapshot_id"), "n_rows")
+    snapshot = logs.batch_log(spark, sf_dir).at(as_of_timestamp=AS_OF_TIME)
+    answered = F.lit(snapshot.snapshot_id).cast("bigint")
+    return reads.row_count(snapshot.scan()).select(answered.alias("snapshot_id"), "n_rows")
 
 
 def flights_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(
-        as_of_timestamp=AS_OF_TIME, start=WINDOW_START, end=LAST_DAY
+    found = answers.flights(
+        logs.batch_log(spark, sf_dir),
+        start=WINDOW_START, end=LAST_DAY, as_of_timestamp=AS_OF_TIME, **PAGE,
     )
-    return _bronze_only(reads.page(rows, **PAGE))
+    return _bronze_only(found.rows)
 
 
 def bbox_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,16 +430,18 @@ def remediation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnose_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.batch_log(spark, sf_dir)
-    return _diagnosis(diagnosis.diagnose(log.scan(), log.snapshot_id_of()))
+    snapshot = logs.batch_log(spark, sf_dir).at()
+    return _diagnosis(diagnosis.diagnose(snapshot.scan(), snapshot.snapshot_id))
 
 
 def diagnose_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs.batch_log(spark, sf_dir)
     limit = diagnosis.sample_limit(SAMPLE_LIMIT, reads.MAX_LIMIT)
-    sample = reads.page(log.scan(start=WINDOW_START, as_of_snapshot_id=AS_OF_SNAPSHOT), limit)
+    sample = answers.flights(
+        log, start=WINDOW_START, limit=limit, as_of_snapshot_id=AS_OF_SNAPSHOT
+    )
     return _diagnosis(
-        diagnosis.diagnose(sample, AS_OF_SNAPSHOT, requested_limit=limit)
+        diagnosis.diagnose(sample.rows, sample.snapshot_id, requested_limit=limit)
     )
 
 
@@ -477,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flights_by_callsign,
         flights_time_window,
         flights_page,
+        flights_page_by_day,
         flights_deep_page,
         flights_all_filters,
         bbox_page,

@@ -7,6 +7,7 @@ from rows import T0, announce, at, frame, row
 
 from statelog import AsOfConflictError, SnapshotNotFoundError, StateLog
 from statelog.operators import reads
+from statelog.plans import answers
 from statelog.plans.log import ABORTED, APPENDED, SKIPPED, expirable, snapshot_at
 
 
@@ -270,3 +271,35 @@ def test_views_for_sql(spark, log):
     two_snapshots(spark, log)
     log.create_view("sv", as_of_snapshot_id=1)
     assert spark.sql("select count(*) from sv").first()[0] == 20
+
+
+@pytest.mark.parametrize("offset", [0, 17, 23, 24, 60, 95, 96, 500])
+def test_pages_by_day_equal_plain_ones(spark, log, offset):
+    log.append(frame(spark, [at(i * 3600, icao24=f"a{i % 5}") for i in range(96)]), "b1", "feed", T0)
+    rows = log.scan()
+    by_day = reads.page(rows, 10, offset, by_day=True)
+    assert by_day.collect() == reads.page(rows, 10, offset).collect()
+    if offset == 17:
+        formatted = spark._jvm.PythonSQLUtils.explainString(by_day._jdf.queryExecution(), "formatted")
+        assert "(event_day#" in formatted and "<= 2026-06-15)" in formatted
+
+
+def test_answers_say_which_snapshot_they_are_from(spark, log):
+    assert answers.flights(log).snapshot_id is None
+    assert answers.flights(log).rows.count() == 0
+    two_snapshots(spark, log)
+    found = answers.flights(log, icao24="a3", as_of_snapshot_id=1)
+    assert (found.snapshot_id, found.rows.count()) == (1, 1)
+    assert answers.flights(log, limit=5, offset=30).rows.count() == 5
+    assert answers.bounding_box(log, -90, 90, -180, 180, as_of_timestamp=T0).rows.count() == 20
+    assert answers.latest_state(log, limit=3).rows.count() == 3
+    assert answers.stats_per_interval(log, "day").rows.first()["count"] == 35
+    assert answers.stats_per_interval(log, "day", as_of_snapshot_id=1).rows.first()["count"] == 20
+    for wrong in (
+        lambda: answers.flights(log, limit=0),
+        lambda: answers.bounding_box(log, -91, 0, 0, 0),
+        lambda: answers.stats_per_interval(log, "week"),
+        lambda: answers.latest_state(log, as_of_snapshot_id=1, as_of_timestamp=T0),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
