@@ -24,6 +24,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -282,15 +283,26 @@ class StateLog:
         )
 
     def files(self) -> DataFrame:
-        """Path and layout of each data file; the listing is a table, no file is opened."""
+        """Path, layout and size of each committed data file; only the listing is read."""
+        newest = self.resolve()
+        if newest is None:
+            return self.spark.createDataFrame([], "path string, spec_id int, length bigint")
         listed = (
             self.spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.parquet")
             .load(f"{self.root}/data")
         )
-        spec = F.regexp_extract("path", r"/spec_id=(\d+)/", 1).cast("int")
-        return listed.select("path", spec.alias("spec_id"), "length")
+        spec_id = F.regexp_extract("path", r"/spec_id=(\d+)/", 1).cast("int")
+        write_id = F.regexp_extract("path", r"/write_id=(\d+)/", 1).cast("bigint")
+        committed = [
+            (spec_id == piece["spec_id"])
+            & write_id.between(piece["first_write"], piece["last_write"])
+            for piece in newest["layout"]
+        ]
+        return listed.where(reduce(or_, committed)).select(
+            "path", spec_id.alias("spec_id"), "length"
+        )
 
     # ------------------------------------------------------------------ reads
 
@@ -370,7 +382,7 @@ class StateLog:
         ``rows`` are bronze rows whose ``ingest_batch_id`` names their batch, ``batches`` announces
         each batch once as ``batch_id, source_name, ingest_time``. A batch with a FAIL-rule
         violation is not written at all, one without rows is skipped, and every other one becomes a
-        snapshot, in order of ingest time and id. Nothing is visible before the batch-log rows are
+        snapshot, in order of ingest time and id. Rows of no announced batch are left out. Nothing is visible before the batch-log rows are
         written, in one file, at the end.
 
         ``stream_batch`` names the micro-batch; one that is in the log already is left alone. The

@@ -8,6 +8,9 @@ announced by one JSON line in the arrivals folder with its provenance.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +44,31 @@ ARRIVAL_SCHEMA = "poll_id bigint, source_name string, ingest_time timestamp"
 RECORD_ORDER = ("seq", "pos")
 
 
-def read_landed(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
-    """Documents of all landed polls as ``(value, poll_id)``; ``whole_files`` for multi-line ones."""
-    return (
+def read_landed(
+    spark: SparkSession,
+    folder: str,
+    whole_files: bool = False,
+    polls: Sequence[int] | None = None,
+) -> DataFrame:
+    """Documents of landed polls as ``(value, poll_id)``; ``whole_files`` for multi-line ones.
+
+    With ``polls`` only their folders are listed, however many polls have been landed before.
+    """
+    reader = (
         spark.read.format("text")
         .schema(LANDING_SCHEMA)
         .option("wholetext", whole_files)
-        .load(folder)
+        .option("basePath", folder)
     )
+    if polls is None:
+        return reader.load(folder)
+    try:
+        return reader.load(f"{folder}/poll_id={{{','.join(str(poll) for poll in polls)}}}")
+    except AnalysisException as error:
+        # Polls that were announced without any document.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LANDING_SCHEMA)
 
 
 def read_arrivals_stream(

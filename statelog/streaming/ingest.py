@@ -8,7 +8,7 @@ the stream. Many polls per micro-batch cost one pass, so catching up does not go
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,7 +23,11 @@ from statelog.sources.payload import (
 )
 
 
-def batch_name(poll_id):
+# Up to this many polls are read by name; beyond, the landing folder is listed.
+LISTED_POLLS = 500
+
+
+def batch_name(poll_id: Column) -> Column:
     """The batch id of a poll; the same on every replay."""
     return F.concat(F.lit("poll-"), poll_id.cast("string"))
 
@@ -40,6 +44,17 @@ def polls_to_bronze(documents: DataFrame, arrived: DataFrame) -> DataFrame:
     )
 
 
+def _documents(
+    spark: SparkSession, landing: str, announced: DataFrame, count: int
+) -> DataFrame:
+    """Documents of the announced polls, and of others in their range when there are many."""
+    if count <= LISTED_POLLS:
+        polls = [row["poll_id"] for row in announced.select("poll_id").collect()]
+        return read_landed(spark, landing, polls=polls)
+    first, last = announced.agg(F.min("poll_id"), F.max("poll_id")).first()
+    return read_landed(spark, landing).where(F.col("poll_id").between(first, last))
+
+
 def ingest_polls(
     log: StateLog, landing: str, arrived: DataFrame, stream_batch: str | None = None
 ) -> DataFrame:
@@ -52,12 +67,10 @@ def ingest_polls(
         .persist()
     )
     try:
-        first, last, count = announced.agg(
-            F.min("poll_id"), F.max("poll_id"), F.count(F.lit(1))
-        ).first()
+        count = announced.count()
         if not count:
             return log.batch_log().limit(0)
-        documents = read_landed(log.spark, landing).where(F.col("poll_id").between(first, last))
+        documents = _documents(log.spark, landing, announced, count)
         batches = announced.select(
             batch_name(F.col("poll_id")).alias("batch_id"), "source_name", "ingest_time"
         )

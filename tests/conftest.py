@@ -18,6 +18,9 @@ def spark():
         SparkSession.builder.master("local[8]")
         .appName("statelog-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        # Compiling code costs more than running it on a few literal rows; the comparison with SQL
+        # turns it on.
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
@@ -40,6 +43,14 @@ def zone(spark):
     spark.conf.set("spark.sql.session.timeZone", before)
 
 
+@pytest.fixture
+def compiled(spark):
+    """Whole-stage code generation, as sessions have it by default."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture
 def log(spark):
     from statelog import StateLog

@@ -1,4 +1,5 @@
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -47,7 +48,7 @@ def test_an_empty_log(spark, log):
     assert tuple(log.state().first()) == (None, 0)
     assert log.snapshot_id_of() is None
     assert log.scan().count() == 0 and len(log.scan().columns) == 22
-    assert log.list_snapshots().count() == 0
+    assert log.list_snapshots().count() == 0 and log.files().count() == 0
     with pytest.raises(SnapshotNotFoundError):
         log.scan(as_of_timestamp=T0)
 
@@ -166,7 +167,8 @@ def test_what_a_failed_write_left_is_never_read(spark, log, monkeypatch):
         patch.setattr(module, "_ledger_rows", crash)
         with pytest.raises(RuntimeError):
             log.append(lost, "b3", "feed", T0 + timedelta(hours=1))
-    assert log.files().where(F.col("path").contains("write_id=3")).count() > 0
+    assert list(Path(log.root).glob("data/spec_id=0/write_id=3/*/*.parquet"))
+    assert log.files().where(F.col("path").contains("write_id=3")).count() == 0
     assert log.scan().count() == 35
     # Neither after the layout changed, nor after a rejected batch, nor after the next good one.
     log.repartition_by("hour")

@@ -122,6 +122,17 @@ def test_a_crash_before_the_batch_log_is_made_good_by_the_replay(feed, log, monk
     assert got["poll-0"]["status"] == APPENDED and log.scan().count() == 2
 
 
+def test_many_polls_at_once_are_read_from_their_range(feed, log, monkeypatch):
+    import statelog.streaming.ingest as module
+
+    feed.land(1, {"states": [state("unannounced", 1)]}, announce=False)
+    for poll in (0, 2):
+        feed.land(poll, {"states": [state(f"a{poll}", 1)]})
+    monkeypatch.setattr(module, "LISTED_POLLS", 1)
+    feed.run()
+    assert sorted(r["icao24"] for r in log.scan().collect()) == ["a0", "a2"]
+
+
 def test_polls_per_trigger_does_not_change_the_rows(spark, feed, log):
     from statelog import StateLog
 

@@ -16,7 +16,7 @@ def duck():
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_query_equals_sql(spark, duck, zone, name):
+def test_query_equals_sql(spark, duck, zone, compiled, name):
     zone("UTC")
     frame = contract.queries()[name](spark, SF_DIR)
     assert spark_rows(frame) == duck_rows(duck, contract.oracle_sql()[name])
