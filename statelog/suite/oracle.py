@@ -207,7 +207,8 @@ def _case_summary() -> str:
 
 # Kind, severity, detail, test and shown column of each diagnosis rule, in listing order.
 KINDS = (
-    ("over_speed", "WARN", "velocity outside (0.0, 1500.0) m/s", "velocity not between 0 and 1500", "velocity"),
+    ("over_speed", "WARN", "velocity outside (0.0, 1500.0) m/s",
+     "velocity not between 0 and 1500", "velocity"),
     ("unknown_position_source", "WARN", "position_source not in (0, 1, 2, 3)",
      "position_source not in (0, 1, 2, 3)", "position_source"),
     ("geo_altitude_out_of_range", "WARN", "geo_altitude outside (-1000.0, 80000.0) m",
