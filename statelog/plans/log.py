@@ -385,14 +385,15 @@ class StateLog:
         snapshot, in order of ingest time and id. Rows of no announced batch are left out. Nothing is visible before the batch-log rows are
         written, in one file, at the end.
 
-        ``stream_batch`` names the micro-batch; one that is in the log already is left alone. The
-        rows are read for the report and again for the write; ``cache`` keeps them in between, which
+        ``stream_batch`` names the micro-batch of a stream. A batch that a stream has logged before is
+        left alone, also when a lost checkpoint brings it back together with new ones. The rows are read for the report and again for the write; ``cache`` keeps them in between, which
         pays unless they are cheap to compute, as in a backfill from columnar files.
         """
         if stream_batch is not None:
-            done = self.batch_log().where(F.col("stream_batch") == stream_batch)
-            if not done.isEmpty():
-                return done
+            logged = self.batch_log().where("stream_batch is not null").select("batch_id")
+            batches = batches.join(logged, "batch_id", "left_anti")
+            if batches.isEmpty():
+                return self.batch_log().limit(0)
         if not cache:
             return self._ingest(rows, batches, deduplicated, stream_batch, gate)
         rows = rows.persist()

@@ -3,6 +3,8 @@ import pytest
 from compare import duck_rows, register_tables, spark_rows
 
 import __spark_entry__ as contract
+from pyspark.sql import functions as F
+from statelog.suite import view
 from statelog.suite.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,6 +32,14 @@ def test_every_query_has_sql():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
+def test_polls_follow_each_other_in_time(spark, zone):
+    zone("UTC")
+    spans = view.bronze(spark, SF_DIR).groupBy("poll_id").agg(
+        F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+    spans = spans.orderBy("poll_id").collect()
+    assert all(a["last"] < b["first"] for a, b in zip(spans, spans[1:]))
+
+
 def test_entry(spark, zone):
     zone("UTC")
     assert contract.entry(spark).count() > 0
