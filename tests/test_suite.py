@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, duck, zone, compiled, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) <= set(contract.oracle_sql())
 
 
 def test_polls_follow_each_other_in_time(spark, zone):
