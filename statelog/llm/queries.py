@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statelog.llm import suffix_dedup
+from statelog.llm import fertility, near_dup, packing, suffix_dedup
 from statelog.llm.common import table
 
 
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_tokeniser_fertility": op4_tokeniser_fertility,
+    "op5_minhash_hamming_join": op5_minhash_hamming_join,
+    "op6_residual_packing": op6_residual_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
