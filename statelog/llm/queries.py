@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statelog.llm import fertility, near_dup, packing, suffix_dedup
+from statelog.llm import decontaminate, fertility, hmm, near_dup, packing, suffix_dedup
 from statelog.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_hidden_markov_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_minhash_hamming_join": op5_minhash_hamming_join,
     "op6_residual_packing": op6_residual_packing,
+    "op8_minhash_containment": op8_minhash_containment,
+    "op9_hidden_markov_model": op9_hidden_markov_model,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_minhash_containment": decontaminate.SQL}
