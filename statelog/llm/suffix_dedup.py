@@ -12,8 +12,8 @@ distances, so nothing is missed.
    the first and last keys of buckets are compared across boundaries.
 2. Runs equal as a whole repeat as a whole. Runs that only share ``k1`` are cut into blocks of 16
    windows, sorted in the same way by the bytes that all windows of a block have in common. Blocks
-   with equal cores are compared window by window by the 15 bytes on either side. A core whose rows
-   span buckets has its windows dealt out once more, one by one.
+   with equal cores are compared window by window by the 15 bytes on either side. Where the rows of
+   a core span buckets, the windows of its distinct blocks are dealt out once more, one by one.
 3. The repeated windows of a document are joined with it, and their bytes are cut out.
 
 Hashes have 64 bits besides the leading bytes; only equal content meets in a group.
@@ -345,8 +345,8 @@ def _block_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for name in ("same1", "same2", "lead", "many", "edge"):
         rows = rows.append_column(name, pa.array(found[name][keep]))
     rows = rows.append_column("bits", pa.array(bits.astype(np.int32)))
-    # Margins are needed again only where the bucket may not hold all of a core.
-    edge = rows.column("edge")
+    # Margins are needed again only where the bucket may not hold all of a core, once each.
+    edge = pc.and_(rows.column("edge"), rows.column("lead"))
     place = rows.schema.get_field_index("margin")
     empty = pa.array([b""] * len(rows), pa.binary())
     margins = pc.if_else(edge, rows.column("margin"), empty)
@@ -355,7 +355,7 @@ def _block_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each own window of the blocks."""
+    """A row for each own window of the blocks, by a hash of the window's bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -365,7 +365,7 @@ def _split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             mine = np.flatnonzero((own >> i) & 1)
             key = _window_keys(core[mine], margin[mine], i).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core[mine]), pa.array(key), batch.column("id").take(pa.array(mine)),
+                [pa.array(key), pa.array(core[mine]), batch.column("id").take(pa.array(mine)),
                  pa.array((batch.column("start").to_numpy()[mine] + i).astype(np.int32)),
                  batch.column("wanted").take(pa.array(mine))],
                 names=["k1", "k2", "id", "start", "wanted"],
@@ -431,10 +431,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         packed.join(places, "id").mapInArrow(_block_rows, _BLOCK),
         _block_bucket, f"{_BLOCK}, {_GROUPED}, bits int", "suffix-blocks",
     )
+    # Blocks that are equal as a whole repeat as a whole, and one of them stands for all.
+    bits = F.when(F.col("same2"), F.col("own")).otherwise(F.col("bits")).alias("bits")
     sure.append(
-        blocks.where("wanted and bits != 0").select("id", "start", "bits").mapInArrow(_bit_spans, span)
+        blocks.where("wanted and (same2 or bits != 0)").select("id", "start", bits).mapInArrow(_bit_spans, span)
     )
-    single = blocks.where("spans").select("k1", "id", "start", "own", "wanted", "margin")
+    single = blocks.where("spans and lead").select(
+        "k1", "id", "start", "own", F.expr("wanted and not same2").alias("wanted"), "margin")
     each = _compared(
         single.mapInArrow(_split_windows, "k1 long, k2 long, id long, start int, wanted boolean"),
         _sorted_bucket, f"k1 long, k2 long, id long, start int, wanted boolean, {_GROUPED}",
