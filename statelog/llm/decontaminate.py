@@ -85,7 +85,11 @@ def _candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, doc_id, item_id, n_shingles, n_shared) of documents, numbered as read, and their items."""
+    """(id, doc_id, item_id, n_shingles, n_shared) of documents and the items they contain.
+
+    Rows are numbered as they are read: ``docs`` must give the same rows in the same order whenever
+    it is read, as a table in files does.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text")
     items = stored(_items(benchmark), "leak-items")
     candidates = stored(_candidates(rows, _sketches(items)), "leak-candidates")

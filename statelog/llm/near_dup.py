@@ -227,7 +227,11 @@ class _Join:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, n_shingles, component_id, survivor) of each row; ``id`` numbers rows as read."""
+    """(id, doc_id, n_shingles, component_id, survivor) of each row.
+
+    ``id`` numbers the rows as they are read: ``docs`` must give the same rows in the same order
+    whenever it is read, as a table in files does.
+    """
     join = _Join(docs)
     roots = join.components()
     classes = join.classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(

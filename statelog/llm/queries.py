@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statelog.llm import decontaminate, fertility, hmm, near_dup, packing, suffix_dedup
+from statelog.llm import (
+    decontaminate,
+    fertility,
+    hmm,
+    near_dup,
+    packing,
+    site_templates,
+    suffix_dedup,
+)
 from statelog.llm.common import table
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_templates": op1_site_templates,
     "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_minhash_hamming_join": op5_minhash_hamming_join,
     "op6_residual_packing": op6_residual_packing,
