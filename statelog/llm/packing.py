@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,6 +35,7 @@ CACHED_WORDS = 700_000
 _PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokeniser's parts of an ASCII word without an apostrophe.
 _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+_MARKS = b".,;:!?()[]{}#*$%&|-+=/"
 
 
 class Words:
@@ -54,8 +56,8 @@ class Words:
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.parts: dict[bytes, list[int]] = {}
-        self.start, self.flat = [0], []
-        self._start, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        # Arrays grow in place and are read without a copy.
+        self.start, self.flat = array("q", [0]), array("I")
 
     def _part(self, part: bytes) -> list[int]:
         ids = self.parts.get(part)
@@ -69,9 +71,19 @@ class Words:
         # Printable ASCII stands for itself in the byte-level alphabet.
         if word.isascii() and b"'" not in word and word.decode().isprintable():
             return [i for part in _PARTS(word.lower()) for i in self._part(part)]
-        text = self.whole.normalizer.normalize_str(word.decode())
-        parts = self.whole.pre_tokenizer.pre_tokenize_str(text)
-        return [t.id for part, _ in parts for t in self.tokenize(part)]
+        # ASCII marks after a letter are a part of their own.
+        stem = word.rstrip(_MARKS)
+        text = stem.decode()
+        if len(stem) < len(word) and text[-1:].isalpha():
+            return self._stem(stem, text) + [i for part in _PARTS(word[len(stem) :]) for i in self._part(part)]
+        return self._stem(word, word.decode())
+
+    def _stem(self, stem: bytes, text: str) -> list[int]:
+        ids = self.parts.get(stem)
+        if ids is None:
+            parts = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
+            ids = self.parts[stem] = [t.id for part, _ in parts for t in self.tokenize(part)]
+        return ids
 
     def ids(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -86,17 +98,11 @@ class Words:
                     flat.extend(self._word(word))
                     start.append(len(flat))
             found = list(map(index.__getitem__, words))
-            if len(start) > len(self._start) + 50_000 or len(start) < len(self._start):
-                self._grow()
         at = np.array(found, np.int64)
-        if len(at) and at.max() + 1 >= len(self._start):
-            self._grow()
-        first, count = self._start[at], self._start[at + 1] - self._start[at]
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat or b"", np.uint32)
+        first, count = start[at], start[at + 1] - start[at]
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return self._flat[np.repeat(first, count) + step]
-
-    def _grow(self) -> None:
-        self._flat, self._start = np.array(self.flat, np.uint32), np.array(self.start)
+        return flat[np.repeat(first, count) + step]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
