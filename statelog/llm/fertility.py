@@ -8,6 +8,7 @@ word once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,8 +76,8 @@ class Pieces:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.start, self.flat = [0], []
-        self._start, self._flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        # Arrays grow in place and are read without a copy.
+        self.start, self.flat = array("q", [0]), array("i")
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.index.get, words))
@@ -89,11 +90,11 @@ class Pieces:
                 self.flat.extend(ids)
                 self.start.append(len(self.flat))
             found = list(map(self.index.__getitem__, words))
-            self._flat, self._start = np.array(self.flat, np.int32), np.array(self.start)
         at = np.array(found, np.int64)
-        first, count = self._start[at], self._start[at + 1] - self._start[at]
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat or b"", np.int32)
+        first, count = start[at], start[at + 1] - start[at]
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return self._flat[np.repeat(first, count) + step]
+        return flat[np.repeat(first, count) + step]
 
 
 def repeated_words(words: list[bytes]) -> int:
