@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statelog.llm import (
+    byte_quality,
     decontaminate,
     fertility,
     hmm,
@@ -14,6 +15,7 @@ from statelog.llm import (
     packing,
     site_templates,
     suffix_dedup,
+    toxicity,
 )
 from statelog.llm.common import table
 
@@ -22,6 +24,10 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_word_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,9 +58,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
+    "op2_word_convolution": op2_word_convolution,
     "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_minhash_hamming_join": op5_minhash_hamming_join,
     "op6_residual_packing": op6_residual_packing,
+    "op7_byte_convolution": op7_byte_convolution,
     "op8_minhash_containment": op8_minhash_containment,
     "op9_hidden_markov_model": op9_hidden_markov_model,
     "op10_suffix_dedup": op10_suffix_dedup,
