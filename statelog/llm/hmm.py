@@ -1,7 +1,7 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents.
 
 Documents are read once, as blocks of word numbers with the words of the block. Counts of words are
-summed over all blocks. The ``TOP`` most frequent words are classes of their own; all others fall
+summed over all blocks. The most frequent words, ``TOP`` at most, are classes of their own; all others fall
 into ``ENDINGS`` classes by their last bytes, and unseen words are one class. The probability of a
 word is that of its class in the state times its smoothed share of the class, so the model sums to
 one over the words and the unseen one, and its size does not grow with the corpus.
@@ -384,8 +384,15 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     totals = stored(totals, "hmm-words")
     types = totals.where("first and total > 0")
     tokens, distinct = types.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    # At most TOP rows.
-    top = types.orderBy(F.desc("total"), "word").limit(TOP).select("word")
+    # The words above a count that at most TOP words exceed, by steps of a sixteenth of a power of two.
+    step = F.floor(F.log2("total") * 16).cast("int")
+    top, least = 0, 0
+    for row in sorted(types.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        top += row["count"]
+        if top > TOP:
+            least = row.step + 1
+            break
+    top = types.where(step >= least).select("word")
     order = Window.orderBy("word")
     top = F.broadcast(stored(top, "hmm-top").withColumn("rank", F.row_number().over(order)))
     classed = totals.join(top, "word", "left").select(
