@@ -32,22 +32,25 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _each_shingle(words: Column, build) -> Column:
+    """An array of ``build`` of every shingle (an array of words); NULL for fewer words than SHINGLE.
+
+    The words are an element of an array, so that they are computed once and not for each shingle.
+    """
+
+    def of(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found) - (SHINGLE - 1))
+        return F.when(F.size(found) >= SHINGLE, F.transform(starts, lambda i: build(F.slice(found, i, SHINGLE))))
+
+    return F.transform(F.array(words), of)[0]
+
+
 def _shingles(words: Column) -> Column:
-    """The shingles as arrays of words; none for fewer words than SHINGLE or NULL."""
-    return F.when(
-        F.size(words) >= SHINGLE,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.slice(words, i, SHINGLE)),
-    )
+    return _each_shingle(words, lambda s: s)
 
 
 def _hashes(words: Column) -> Column:
-    return F.when(
-        F.size(words) >= SHINGLE,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)),
-            lambda i: F.xxhash64(F.slice(words, i, SHINGLE)),
-        ),
-    )
+    return _each_shingle(words, F.xxhash64)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
