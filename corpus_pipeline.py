@@ -1,24 +1,47 @@
-"""The training-data pipeline: each stage works on what the one before it kept.
-
-Stages are added as their operators are; ``run`` writes what a stage returns to the shared folder
-and reads it back as the next one's documents.
-"""
+"""The training-data pipeline: each stage works on what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statelog.llm import suffix_dedup
+from statelog.llm import decontaminate, fertility, near_dup, packing, suffix_dedup
 from statelog.llm.common import stored, table
 
 
-def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return fertility.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dup.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur again are cut out of the texts."""
     return suffix_dedup.remove_repeats(docs)
 
 
-STAGES = [("suffix_dedup", suffix_stage)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and places."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("sequences", sequences),
+]
 
+#: Tokenisers, signatures and packing are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

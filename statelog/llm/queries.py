@@ -11,6 +11,7 @@ from statelog.llm import (
     decontaminate,
     fertility,
     hmm,
+    licences,
     near_dup,
     packing,
     site_templates,
@@ -28,6 +29,10 @@ def op2_word_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_word_convolution": op2_word_convolution,
+    "op3_licence_classifier": op3_licence_classifier,
     "op4_tokeniser_fertility": op4_tokeniser_fertility,
     "op5_minhash_hamming_join": op5_minhash_hamming_join,
     "op6_residual_packing": op6_residual_packing,

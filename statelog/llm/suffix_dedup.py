@@ -451,10 +451,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return together.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
-def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """The bytes outside the spans, how many are inside, and how many maximal spans there are."""
+def cut(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int, int]:
+    """The parts outside the spans, how many bytes are inside, and how many maximal spans there are."""
     if not spans:
-        return text, 0, 0
+        return [text], 0, 0
     ends = np.array([(s["low"], s["high"]) for s in spans], np.int64)
     low, high = merged(ends[:, 0], ends[:, 1])
     kept, at = [], 0
@@ -462,7 +462,7 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return b"".join(kept), int((high - low).sum()), len(low)
+    return kept, int((high - low).sum()), len(low)
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             text = expand(text) if text is not None else b""
             rest, removed, count = cut(text, spans)
-            rows.append((len(text), removed, count, hashlib.sha256(rest).hexdigest()))
+            rows.append((len(text), removed, count, hashlib.sha256(b"".join(rest)).hexdigest()))
         size, removed, count, digest = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, count)),
@@ -512,8 +512,8 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            rest = None if text is None else cut(expand(text), spans)[0]
-            texts.append(None if rest is None else rest.decode("utf-8", "replace"))
+            parts = None if text is None else cut(expand(text), spans)[0]
+            texts.append(None if parts is None else "".join(p.decode("utf-8", "ignore") for p in parts))
         names = [n for n in batch.schema.names if n not in ("text", "spans")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
@@ -522,7 +522,7 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of ``text``; all other columns stay.
 
-    A cut inside a character leaves U+FFFD for what remains of it. NULL texts stay NULL.
+    What a cut leaves of a character goes as well. NULL texts stay NULL.
     """
     ready = _with_spans(docs)
     schema = ready.select("rest").schema.add("text", "string")
