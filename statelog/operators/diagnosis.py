@@ -189,8 +189,11 @@ def diagnose(
     endpoint: str = "flights",
     requested_limit: int | None = None,
     extra: Sequence[DataFrame] = (),
+    returned: int | None = None,
 ) -> DataFrame:
-    """One record: rows examined, findings, proposals, statement of limits, ``ok``.
+    """One record: rows examined and returned, findings, proposals, statement of limits, ``ok``.
+
+    ``returned`` is the count that the read reported, the rows examined unless it is given.
 
     Findings and proposals are at most one per kind, so gathering them is bounded. ``extra`` adds
     findings of other checks, such as a coverage gap. Without ``requested_limit`` the rows are the
@@ -226,6 +229,7 @@ def diagnose(
         F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
         F.lit(endpoint).alias("endpoint"),
         "rows_examined",
+        F.coalesce(F.lit(returned).cast("bigint"), "rows_examined").alias("returned"),
         F.lit(requested_limit).cast("bigint").alias("requested_limit"),
         "findings",
         "proposals",

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelog.functions.clock import INTERVALS, utc_bucket, utc_literal
+from statelog.functions.clock import INTERVALS, utc_bucket, utc_day, utc_literal
 from statelog.schema import BRONZE_COLUMNS
 
 # Page sizes, groupings and the columns of a sample.
@@ -28,9 +28,6 @@ SAMPLE_COLUMNS = (
 )
 SAMPLE_ROWS = 5
 
-# A page past this offset first seeks the time slot that holds it.
-DEEP_OFFSET = 20_000
-
 PAGE_KEY = ("event_time", "icao24")
 LATEST_KEY = ("last_contact", "event_time", "ingest_time")
 
@@ -102,73 +99,44 @@ def page_order(rows: DataFrame) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in (*PAGE_KEY, *_rest(rows, PAGE_KEY))]
 
 
-def _seek(rows: DataFrame, offset: int, near: int) -> tuple[DataFrame, int]:
-    """Rows from the hour, or the second, that holds the offset on, and the offset left in them.
-
-    The hours of the range are counted in one aggregate, then the 3600 seconds of one hour; only the
-    slot that holds the offset reaches the driver.
-    """
-    slot_rows = rows
-    for seconds in (INTERVALS["hour"], 1):
-        slot = F.floor(F.unix_seconds("event_time") / seconds)
-        counted = slot_rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-        by_slot = Window.orderBy(F.col("slot").asc_nulls_last())
-        found = (
-            counted.withColumn("before", F.sum("n").over(by_slot) - F.col("n"))
-            .where((F.col("before") <= offset) & (F.col("before") + F.col("n") > offset))
-            .first()
-        )
-        if found is None:
-            return rows.limit(0), 0
-        offset -= found["before"]
-        if found["slot"] is None:
-            return rows.where("event_time is null"), offset
-        opens = F.timestamp_seconds(F.lit(found["slot"] * seconds))
-        closes = F.timestamp_seconds(F.lit((found["slot"] + 1) * seconds))
-        rows = rows.where((F.col("event_time") >= opens) | F.col("event_time").isNull())
-        slot_rows = rows.where(F.col("event_time") < closes)
-        if offset <= near:
-            break
-    return rows, offset
-
-
-def _days_of_page(rows: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
-    """Rows of the days that hold the page, and the offset left in them.
-
-    Days are counted from the partitions, with no more columns than the filters need, and the page
-    is then read from its own days only. One row of bounds reaches the driver.
-    """
-    counted = rows.groupBy("event_day").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("event_day")) - F.col("n")
-    bounds = (
-        counted.withColumn("before", before)
-        .where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
-        .agg(F.min("event_day"), F.max("event_day"), F.min("before"))
-        .first()
-    )
-    if bounds[0] is None:
-        return rows.limit(0), 0
-    return rows.where(F.col("event_day").between(*bounds[:2])), offset - bounds[2]
+def _beyond(rows: DataFrame, row) -> Column:
+    """Rows after ``row`` in page order; NULLs come last in every column."""
+    later, equal = F.lit(False), F.lit(True)
+    for name in (*PAGE_KEY, *_rest(rows, PAGE_KEY)):
+        value, column = row[name], F.col(name)
+        if value is None:
+            equal = equal & column.isNull()
+            continue
+        held = utc_literal(value) if isinstance(value, datetime) else F.lit(value)
+        later = later | (equal & (column.isNull() | (column > held)))
+        equal = equal & (column == held)
+    return later
+
+
+def _from_day_of(rows: DataFrame, row) -> DataFrame:
+    """Without the days and moments before ``row``, as filters that reach the scan."""
+    moment = row["event_time"]
+    if moment is None:
+        return rows.where("event_time is null")
+    held = utc_literal(moment)
+    rows = rows.where((F.col("event_time") >= held) | F.col("event_time").isNull())
+    if "event_day" in rows.columns:
+        rows = rows.where((F.col("event_day") >= utc_day(held)) | F.col("event_day").isNull())
+    return rows
 
 
 def page(
-    rows: DataFrame,
-    limit: int = DEFAULT_LIMIT,
-    offset: int = 0,
-    seek_from: int = DEEP_OFFSET,
-    by_day: bool = False,
+    rows: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, after=None
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order of event time and aircraft.
 
-    A shallow page is one top-k plan. A top-k keeps ``offset + limit`` rows per task, so a page past
-    ``seek_from`` first moves to the time slot that holds the offset. ``by_day``, for scans of a
-    large log, first finds the page's days and reads no others.
+    One top-k plan for every page; it keeps ``offset + limit`` rows per task. ``after`` is a row of
+    an earlier page, usually its last: the page then starts behind it, reads nothing from before its
+    day and needs no offset, however deep it is. A row equal to it in all columns counts as read.
     """
     check_page(limit, offset)
-    if by_day:
-        rows, offset = _days_of_page(rows, limit, offset)
-    if offset > seek_from:
-        rows, offset = _seek(rows, offset, seek_from)
+    if after is not None:
+        rows = _from_day_of(rows, after).where(_beyond(rows, after))
     return rows.orderBy(*page_order(rows)).offset(offset).limit(limit)
 
 

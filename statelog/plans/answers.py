@@ -7,24 +7,22 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from statelog.operators import reads
-from statelog.plans.log import Snapshot, StateLog
-
-# Snapshots with more rows than this are paged by day.
-PAGE_BY_DAY_ROWS = 5_000_000
+from statelog.operators import diagnosis, reads
+from statelog.plans.log import StateLog
 
 
 @dataclass(frozen=True)
 class Answer:
-    """Result rows, and the id of the snapshot they come from; None for an empty log."""
+    """Result rows, the id of the snapshot they come from (None for an empty log), and the limit in
+    force (None where there is no page)."""
 
     snapshot_id: int | None
     rows: DataFrame
+    limit: int | None = None
 
-
-def _page(snapshot: Snapshot, rows: DataFrame, limit: int, offset: int) -> Answer:
-    by_day = snapshot.total_rows > PAGE_BY_DAY_ROWS
-    return Answer(snapshot.snapshot_id, reads.page(rows, limit, offset, by_day=by_day))
+    def count(self) -> int:
+        """Rows returned; counts them."""
+        return self.rows.count()
 
 
 def flights(
@@ -37,12 +35,16 @@ def flights(
     offset: int = 0,
     as_of_snapshot_id: int | None = None,
     as_of_timestamp: datetime | None = None,
+    maximum: int = reads.MAX_LIMIT,
+    after=None,
 ) -> Answer:
-    """A page of the rows that pass the filters."""
-    limit = reads.clamp_limit(limit)
+    """A page of the rows that pass the filters, of ``maximum`` rows at most; for ``after`` see
+    :func:`statelog.operators.reads.page`."""
+    limit = reads.clamp_limit(limit, maximum=maximum)
     reads.check_page(limit, offset)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
-    return _page(snapshot, snapshot.scan(icao24, callsign, start, end), limit, offset)
+    rows = snapshot.scan(icao24, callsign, start, end)
+    return Answer(snapshot.snapshot_id, reads.page(rows, limit, offset, after), limit)
 
 
 def bounding_box(
@@ -57,14 +59,17 @@ def bounding_box(
     offset: int = 0,
     as_of_snapshot_id: int | None = None,
     as_of_timestamp: datetime | None = None,
+    maximum: int = reads.MAX_LIMIT,
+    after=None,
 ) -> Answer:
     """A page of the rows inside a box and a time window; an inverted box is empty."""
-    limit = reads.clamp_limit(limit)
+    limit = reads.clamp_limit(limit, maximum=maximum)
     reads.check_page(limit, offset)
     reads.check_box(min_lat, max_lat, min_lon, max_lon)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
     inside = reads.box_filter(min_lat, max_lat, min_lon, max_lon)
-    return _page(snapshot, snapshot.scan(start=start, end=end).where(inside), limit, offset)
+    rows = snapshot.scan(start=start, end=end).where(inside)
+    return Answer(snapshot.snapshot_id, reads.page(rows, limit, offset, after), limit)
 
 
 def latest_state(
@@ -74,14 +79,14 @@ def latest_state(
     offset: int = 0,
     as_of_snapshot_id: int | None = None,
     as_of_timestamp: datetime | None = None,
+    maximum: int = reads.MAX_LIMIT,
 ) -> Answer:
     """A page, by aircraft, of each aircraft's newest row."""
-    limit = reads.clamp_limit(limit)
+    limit = reads.clamp_limit(limit, maximum=maximum)
     reads.check_page(limit, offset)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
-    return Answer(
-        snapshot.snapshot_id, reads.latest_state(snapshot.scan(icao24), limit=limit, offset=offset)
-    )
+    newest = reads.latest_state(snapshot.scan(icao24), limit=limit, offset=offset)
+    return Answer(snapshot.snapshot_id, newest, limit)
 
 
 def stats_per_interval(
@@ -98,3 +103,21 @@ def stats_per_interval(
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
     rows = snapshot.scan(start=start, end=end)
     return Answer(snapshot.snapshot_id, reads.stats_per_interval(rows, interval, group_by=group_by))
+
+
+def diagnose_flights(
+    log: StateLog,
+    icao24: str | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    sample_limit: int | None = None,
+    as_of_snapshot_id: int | None = None,
+    max_rows: int = reads.MAX_LIMIT,
+) -> DataFrame:
+    """The diagnosis record of a bounded sample: the first rows that pass the filters."""
+    limit = diagnosis.sample_limit(sample_limit, max_rows)
+    sample = flights(
+        log, icao24, start=start, end=end, limit=limit, as_of_snapshot_id=as_of_snapshot_id,
+        maximum=max_rows,
+    )
+    return diagnosis.diagnose(sample.rows, sample.snapshot_id, requested_limit=sample.limit)

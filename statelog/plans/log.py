@@ -37,6 +37,8 @@ from statelog.operators.reads import row_filter
 from statelog.schema import FACT_TYPES, SPARK_TYPES, bronze_schema
 
 APPENDED, SKIPPED, ABORTED = "appended", "skipped_empty", "dq_aborted"
+# Announced without a document; the batch is taken when it is announced again.
+MISSING = "missing_documents"
 
 BATCH_ID = "ingest_batch_id"
 
@@ -230,7 +232,7 @@ class StateLog:
         row = self.spark.createDataFrame(
             [(schema_json, spec_id, transform)], CHANGE_SCHEMA
         )
-        row.write.mode("overwrite").parquet(f"{self.root}/settings/version={version}")
+        _overwrite(row).parquet(f"{self.root}/settings/version={version}")
 
     def schema(self) -> T.StructType:
         return _schema_of(self._settings()["schema_json"])
@@ -359,7 +361,7 @@ class StateLog:
     def _head(self):
         """Last entry of the batch log, number of commits and the newest of them, in one lookup."""
         committed = F.when(F.col("status") == APPENDED, F.col("sequence_number"))
-        carried = F.struct("write_id", "commit_seq", "total_rows", "layout")
+        carried = F.struct("write_id", "commit_seq", "total_rows", "timestamp_ms", "layout")
         return self.batch_log().agg(
             F.coalesce(F.max("entry"), F.lit(0)).alias("entry"),
             F.count(committed).alias("n_commits"),
@@ -382,15 +384,22 @@ class StateLog:
         ``rows`` are bronze rows whose ``ingest_batch_id`` names their batch, ``batches`` announces
         each batch once as ``batch_id, source_name, ingest_time``. A batch with a FAIL-rule
         violation is not written at all, one without rows is skipped, and every other one becomes a
-        snapshot, in order of ingest time and id. Rows of no announced batch are left out. Nothing is visible before the batch-log rows are
+        snapshot, in order of ingest time and id. A snapshot's time is its batch's ingest time, or
+        that of the newest earlier snapshot if a batch comes late: time never runs backwards. Rows
+        of no announced batch are left out. Nothing is visible before the batch-log rows are
         written, in one file, at the end.
 
-        ``stream_batch`` names the micro-batch of a stream. A batch that a stream has logged before is
-        left alone, also when a lost checkpoint brings it back together with new ones. The rows are read for the report and again for the write; ``cache`` keeps them in between, which
-        pays unless they are cheap to compute, as in a backfill from columnar files.
+        ``batches`` may say in ``landed`` that a batch has no document; it is logged as missing.
+        ``stream_batch`` names the micro-batch of a stream. A batch that a stream has logged before
+        is left alone, also when a lost checkpoint brings it back together with new ones; a missing
+        one is not. The rows are read for the report and again for the write; ``cache`` keeps them
+        in between, which pays unless they are cheap to compute, as in a backfill from columnar
+        files.
         """
         if stream_batch is not None:
-            logged = self.batch_log().where("stream_batch is not null").select("batch_id")
+            logged = self.batch_log().where(
+                F.col("stream_batch").isNotNull() & (F.col("status") != MISSING)
+            ).select("batch_id")
             batches = batches.join(logged, "batch_id", "left_anti")
             if batches.isEmpty():
                 return self.batch_log().limit(0)
@@ -410,6 +419,7 @@ class StateLog:
         write_id = newest["write_id"] + 1 if newest else 1
         last_commit = newest["commit_seq"] if newest else 0
         rows_before = newest["total_rows"] if newest else 0
+        time_before = newest["timestamp_ms"] if newest else None
 
         # Windows without a partition run over one row per announced batch, not over data.
         so_far = Window.orderBy("ingest_time", "batch_id").rowsBetween(
@@ -419,6 +429,8 @@ class StateLog:
         judged = (
             self._judge(rows, batches, deduplicated, gate)
             .withColumn("_appended", F.sum(appended.cast("bigint")).over(so_far))
+            # Batches are in order of ingest time, so one bound holds for all of them.
+            .withColumn("timestamp_ms", F.greatest(F.unix_millis("ingest_time"), F.lit(time_before).cast("bigint")))
             .withColumn("total_rows", rows_before + F.sum("rows_written").over(so_far))
             .withColumn("commit_seq", F.when(appended, last_commit + F.col("_appended")))
             .withColumn("snapshot_count", snapshots_before + F.col("_appended"))
@@ -435,7 +447,7 @@ class StateLog:
                 self._write_rows(rows.join(accepted, BATCH_ID), schema, settings, write_id)
             layout = _extended(newest["layout"] if newest else [], settings, write_id)
             ledger = _ledger_rows(judged, settings, layout, write_id, stream_batch)
-            ledger.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/entry={entry}")
+            _overwrite(ledger.coalesce(1)).parquet(f"{self.root}/ledger/entry={entry}")
         finally:
             judged.unpersist()
         return self.batch_log().where(F.col("entry") == entry)
@@ -448,7 +460,13 @@ class StateLog:
         )
         n_rows = F.coalesce("n_rows", F.lit(0))
         passes = F.col("ok") if gate else F.lit(True)
-        status = F.when(n_rows == 0, SKIPPED).when(passes, APPENDED).otherwise(ABORTED)
+        landed = F.col("landed") if "landed" in batches.columns else F.lit(True)
+        status = (
+            F.when(~landed, MISSING)
+            .when(n_rows == 0, SKIPPED)
+            .when(passes, APPENDED)
+            .otherwise(ABORTED)
+        )
         return batches.join(report, "batch_id", "left").select(
             "batch_id",
             "source_name",
@@ -478,27 +496,32 @@ class StateLog:
             return value.alias(field.name)
 
         partition = transform.of(F.col("event_time")).cast(transform.type_name)
-        (
+        ready = (
             rows.select(*[stored(field) for field in schema.fields], "commit_seq")
             .withColumn(transform.column, partition)
             .hint("rebalance", transform.column)
             .sortWithinPartitions(transform.column, "icao24", "event_time")
-            .write.mode("overwrite")
-            .partitionBy(transform.column)
-            .parquet(f"{self.root}/data/spec_id={settings['spec_id']}/write_id={write_id}")
         )
+        folder = f"{self.root}/data/spec_id={settings['spec_id']}/write_id={write_id}"
+        _overwrite(ready).partitionBy(transform.column).parquet(folder)
 
     def append(
-        self, rows: DataFrame, batch_id: str, source_name: str, ingest_time: datetime
+        self,
+        rows: DataFrame,
+        batch_id: str,
+        source_name: str,
+        ingest_time: datetime,
+        cache: bool = True,
     ) -> DataFrame:
-        """Append one batch without the gate, under the schema in force."""
+        """Append one batch without the gate, under the schema in force; for ``cache`` see
+        :meth:`ingest`."""
         announced = self.spark.createDataFrame([(batch_id, source_name, ingest_time)], BATCH_SCHEMA)
         stamped = (
             rows.withColumn("ingest_time", utc_literal(ingest_time))
             .withColumn(BATCH_ID, F.lit(batch_id))
             .withColumn("source_name", F.lit(source_name))
         )
-        return self.ingest(stamped, announced, gate=False)
+        return self.ingest(stamped, announced, gate=False, cache=cache)
 
     def expire_snapshots(
         self, retain_last: int, protected: DataFrame | None = None, now: datetime | None = None
@@ -510,7 +533,7 @@ class StateLog:
         gone = expirable(self.snapshots(), retain_last, protected)
         run = self.expired().agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
         expired_at = utc_literal(now or datetime.now(UTC))
-        gone.withColumn("expired_at", expired_at).coalesce(1).write.mode("overwrite").parquet(
+        _overwrite(gone.withColumn("expired_at", expired_at).coalesce(1)).parquet(
             f"{self.root}/expired/run={run}"
         )
         return (
@@ -570,13 +593,18 @@ class Snapshot:
         return rows.select(*self.schema.names, day.alias("event_day"))
 
 
+def _overwrite(rows: DataFrame):
+    """A writer that replaces a whole folder, what a failed write left in other partitions too."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+
+
 def _ledger_rows(judged, settings, layout, write_id, stream_batch) -> DataFrame:
     """Judged batches as rows of the batch log; only an appended one describes a snapshot."""
     appended = F.col("status") == APPENDED
     snapshot = {
         "snapshot_id": F.col("commit_seq"),
         "sequence_number": F.col("commit_seq"),
-        "timestamp_ms": F.unix_millis("ingest_time"),
+        "timestamp_ms": F.col("timestamp_ms"),
         "operation": F.lit("append"),
         "schema_json": F.lit(settings["schema_json"]),
         "write_id": F.lit(write_id),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +13,10 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; on a local master without one, a temporary folder."""
+    """The shared folder the session names.
+
+    A local master without one gets a temporary folder, removed when the program ends.
+    """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
@@ -26,7 +30,8 @@ _LOCAL: list[str] = []
 
 def _local_root() -> str:
     if not _LOCAL:
-        _LOCAL.append(os.path.join(tempfile.gettempdir(), f"statelog-{uuid.uuid4().hex}"))
+        _LOCAL.append(tempfile.mkdtemp(prefix="statelog-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return _LOCAL[0]
 
 

@@ -1,6 +1,6 @@
 """Landed poll payloads: JSON documents whose ``states`` are positional, mixed-type arrays.
 
-A poll is landed under ``poll_id=<number>/`` as one or more text files. A line is one document
+A poll is landed under ``source_name=<feed>/poll_id=<number>/`` as one or more text files. A line is one document
 ``{"time": ..., "seq": ..., "states": [[...], ...]}``; a poll too large for one document is landed
 as several, numbered by ``seq``, so that no task has to hold a whole poll. A finished poll is
 announced by one JSON line in the arrivals folder with its provenance.
@@ -8,8 +8,6 @@ announced by one JSON line in the arrivals folder with its provenance.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,35 +35,23 @@ POSITIONS = (
 )
 
 PAYLOAD_SCHEMA = "seq bigint, states array<array<string>>, _unreadable string"
-LANDING_SCHEMA = "value string, poll_id bigint"
+LANDING_SCHEMA = "value string, source_name string, poll_id bigint"
 ARRIVAL_SCHEMA = "poll_id bigint, source_name string, ingest_time timestamp"
 
 # Order of records within a poll: document number, then position in its states.
 RECORD_ORDER = ("seq", "pos")
 
 
-def read_landed(
-    spark: SparkSession,
-    folder: str,
-    whole_files: bool = False,
-    polls: Sequence[int] | None = None,
-) -> DataFrame:
-    """Documents of landed polls as ``(value, poll_id)``; ``whole_files`` for multi-line ones.
+def read_landed(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
+    """Documents of landed polls as ``(value, source_name, poll_id)``; none before the first lands.
 
-    With ``polls`` only their folders are listed, however many polls have been landed before.
+    ``whole_files`` is for multi-line documents. Spark lists the folders, on the executors where
+    there are many, and filters on the poll prune them; how a number is padded does not matter.
     """
-    reader = (
-        spark.read.format("text")
-        .schema(LANDING_SCHEMA)
-        .option("wholetext", whole_files)
-        .option("basePath", folder)
-    )
-    if polls is None:
-        return reader.load(folder)
+    reader = spark.read.format("text").schema(LANDING_SCHEMA).option("wholetext", whole_files)
     try:
-        return reader.load(f"{folder}/poll_id={{{','.join(str(poll) for poll in polls)}}}")
+        return reader.load(folder)
     except AnalysisException as error:
-        # Polls that were announced without any document.
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LANDING_SCHEMA)

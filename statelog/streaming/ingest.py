@@ -22,60 +22,57 @@ from statelog.sources.payload import (
     read_landed,
 )
 
+# Feeds number their polls on their own.
+POLL = ("source_name", "poll_id")
 
-# Up to this many polls are read by name; beyond, the landing folder is listed.
-LISTED_POLLS = 500
 
-
-def batch_name(poll_id: Column) -> Column:
-    """The batch id of a poll; the same on every replay."""
-    return F.concat(F.lit("poll-"), poll_id.cast("string"))
+def batch_name(source_name: Column, poll_id: Column) -> Column:
+    """The batch id of a feed's poll; the same on every replay."""
+    return F.concat(source_name, F.lit("/poll-"), poll_id.cast("string"))
 
 
 def polls_to_bronze(documents: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Deduplicated bronze rows of the announced polls; ``documents`` are lines with ``poll_id``."""
-    records = decode_states(documents.join(arrived, "poll_id"))
-    first = first_per_state_key(records, RECORD_ORDER, batch=("poll_id",))
+    """Deduplicated bronze rows of the announced polls; ``documents`` are lines with their poll."""
+    records = decode_states(documents.join(arrived, list(POLL)))
+    first = first_per_state_key(records, RECORD_ORDER, batch=POLL)
     return to_bronze(
         first,
         ingest_time=F.col("ingest_time"),
-        ingest_batch_id=batch_name(F.col("poll_id")),
+        ingest_batch_id=batch_name(F.col("source_name"), F.col("poll_id")),
         source_name=F.col("source_name"),
     )
 
 
-def _documents(
-    spark: SparkSession, landing: str, announced: DataFrame, count: int
-) -> DataFrame:
-    """Documents of the announced polls, and of others in their range when there are many."""
-    if count <= LISTED_POLLS:
-        polls = [row["poll_id"] for row in announced.select("poll_id").collect()]
-        return read_landed(spark, landing, polls=polls)
-    first, last = announced.agg(F.min("poll_id"), F.max("poll_id")).first()
-    return read_landed(spark, landing).where(F.col("poll_id").between(first, last))
-
-
 def ingest_polls(
     log: StateLog, landing: str, arrived: DataFrame, stream_batch: str | None = None
 ) -> DataFrame:
-    """Ingest the announced polls into the log; returns their batch-log rows."""
+    """Ingest the announced polls into the log; returns their batch-log rows.
+
+    A poll is a pair of source and number. One without a landed document is logged as missing, and a
+    later announcement of it is taken.
+    """
     # A poll announced twice in one go is one poll.
-    announced = (
-        arrived.groupBy("poll_id")
-        .agg(F.min(F.struct("ingest_time", "source_name")).alias("_a"))
-        .select("poll_id", "_a.ingest_time", "_a.source_name")
-        .persist()
-    )
+    announced = arrived.groupBy(*POLL).agg(F.min("ingest_time").alias("ingest_time")).persist()
     try:
-        count = announced.count()
-        if not count:
+        bounds = announced.agg(
+            F.count(F.lit(1)).alias("polls"), F.min("poll_id").alias("first"), F.max("poll_id").alias("last")
+        ).first()
+        if not bounds["polls"]:
             return log.batch_log().limit(0)
-        documents = _documents(log.spark, landing, announced, count)
-        batches = announced.select(
-            batch_name(F.col("poll_id")).alias("batch_id"), "source_name", "ingest_time"
+        announced_few = broadcast_if_few(announced, bounds["polls"])
+        documents = read_landed(log.spark, landing).where(
+            F.col("poll_id").between(bounds["first"], bounds["last"])
+        )
+        # Folder names answer this; no line is decoded for it.
+        landed = documents.join(announced_few, list(POLL), "left_semi").select(*POLL).distinct()
+        batches = announced.join(landed.withColumn("landed", F.lit(True)), list(POLL), "left").select(
+            batch_name(*(F.col(name) for name in POLL)).alias("batch_id"),
+            "source_name",
+            "ingest_time",
+            F.coalesce("landed", F.lit(False)).alias("landed"),
         )
         return log.ingest(
-            polls_to_bronze(documents, broadcast_if_few(announced, count)),
+            polls_to_bronze(documents, announced_few),
             batches,
             deduplicated=True,
             stream_batch=stream_batch,

@@ -49,7 +49,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]
     return [(part.select(*BRONZE_COLUMNS), _announced(part)) for part in parts]
 
 
-def _build_batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
+def build_batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
     log = StateLog(spark, new_folder(spark, "batch-log"))
     for rows, announced in _parts(spark, sf_dir):
         log.ingest(rows, announced, cache=False)
@@ -58,7 +58,20 @@ def _build_batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
 
 def batch_log(spark: SparkSession, sf_dir: str) -> StateLog:
     """Gated batches in three writes, duplicates kept, partitioned by day."""
-    return _on(spark, _once(spark, sf_dir, "batch", _build_batch_log))
+    return _on(spark, _once(spark, sf_dir, "batch", build_batch_log))
+
+
+def _build_late_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    log = StateLog(spark, new_folder(spark, "late-log"))
+    first, late, last = _parts(spark, sf_dir)
+    for rows, announced in (first, last, late):
+        log.ingest(rows, announced, cache=False)
+    return log
+
+
+def late_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    """The same batches, the middle third of them committed after all others."""
+    return _on(spark, _once(spark, sf_dir, "late", _build_late_log))
 
 
 def _build_expired_log(spark: SparkSession, sf_dir: str) -> StateLog:
@@ -97,23 +110,57 @@ def evolved_log(spark: SparkSession, sf_dir: str) -> tuple[StateLog, int]:
     return _on(spark, log), before
 
 
-def _build_stream_log(spark: SparkSession, sf_dir: str) -> StateLog:
-    folder = new_folder(spark, "stream")
+def _streamed(spark: SparkSession, purpose: str, landed: DataFrame, *waves: DataFrame) -> StateLog:
+    """What a stream makes of landed documents that are announced in waves, one run for each."""
+    folder = new_folder(spark, purpose)
     landing, arrivals = f"{folder}/landing", f"{folder}/arrivals"
-    view.documents(spark, sf_dir).write.partitionBy("poll_id").text(landing)
-    announced = view.polls(spark, sf_dir)
-    first, last = announced.agg(F.min("poll_id"), F.max("poll_id")).first()
-    early = F.col("poll_id") <= (first + last) // 2
+    landed.write.partitionBy("source_name", "poll_id").text(landing)
     log = StateLog(spark, f"{folder}/log")
-    # Polls arrive in two waves; the second run goes on from the first one's checkpoint.
-    for wave in (early, ~early):
-        announced.where(wave).write.mode("append").partitionBy("poll_id").json(arrivals)
+    for wave in waves:
+        wave.write.mode("append").json(arrivals)
         start_ingest_stream(
             spark, arrivals, landing, log, f"{folder}/checkpoint"
         ).awaitTermination()
     return log
 
 
+def build_stream_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    announced = view.polls(spark, sf_dir)
+    first, last = announced.agg(F.min("poll_id"), F.max("poll_id")).first()
+    early = F.col("poll_id") <= (first + last) // 2
+    # The second run goes on from the first one's checkpoint.
+    return _streamed(
+        spark, "stream", view.landed(spark, sf_dir), announced.where(early), announced.where(~early)
+    )
+
+
 def stream_log(spark: SparkSession, sf_dir: str) -> StateLog:
     """What the stream made of every landed poll, deduplicated and gated."""
-    return _on(spark, _once(spark, sf_dir, "stream", _build_stream_log))
+    return _on(spark, _once(spark, sf_dir, "stream", build_stream_log))
+
+
+def _build_two_feed_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    # Days alternate between the feeds; halved, their numbers are the same in both.
+    half = F.expr("poll_id div 2")
+    return _streamed(
+        spark, "two-feeds", view.landed(spark, sf_dir).withColumn("poll_id", half),
+        view.polls(spark, sf_dir).withColumn("poll_id", half),
+    )
+
+
+def two_feed_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    """Polls of two feeds with the same numbers."""
+    return _on(spark, _once(spark, sf_dir, "two-feeds", _build_two_feed_log))
+
+
+def _build_hourly_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    documents = view.hourly(spark, sf_dir)
+    announced = documents.select("source_name", "poll_id").distinct().withColumn(
+        "ingest_time", F.timestamp_seconds((F.col("poll_id") + 1) * 3600)
+    )
+    return _streamed(spark, "hourly", documents, announced)
+
+
+def hourly_log(spark: SparkSession, sf_dir: str) -> StateLog:
+    """A poll for every hour that has events, of one feed."""
+    return _on(spark, _once(spark, sf_dir, "hourly", _build_hourly_log))

@@ -53,7 +53,7 @@ bronze as (select event_id, poll_id, icao24, nullif(trim(callsign), '') as calls
   make_timestamp(coalesce(time_position, last_contact) * 1000000) as event_time, time_position,
   last_contact, longitude, latitude, baro_altitude, geo_altitude, on_ground, velocity, true_track,
   vertical_rate, squawk, spi, position_source, category, ingest_time,
-  'poll-' || poll_id as ingest_batch_id, source_name from rec)
+  source_name || '/poll-' || poll_id as ingest_batch_id, source_name from rec)
 """
 )
 
@@ -107,6 +107,12 @@ LOG = BRONZE + _report("bronze")
 STREAM = BRONZE + FIRST + _report("dedup")
 
 
+HOURLY = BRONZE.replace("bronze as (", "daily as (") + """,
+bronze as (select d.* replace (e.ep // 3600 as poll_id, make_timestamp((e.ep // 3600 + 1) * 3600000000)
+  as ingest_time) from daily d join ev e using (event_id))
+""" + FIRST + _report("dedup")
+
+
 def _with(chain: str, query: str) -> str:
     return f"with {chain.strip()} {query}"
 
@@ -147,8 +153,8 @@ def _stats(rows: str, interval: str, country: bool = False, where: str = "true")
 
 def _results() -> str:
     """Batch log: every poll of the report, its status and its snapshot."""
-    return """select 'poll-' || r.poll_id as batch_id,
-  case when r.poll_id % 2 = 0 then 'feed_a' else 'feed_b' end as source_name,
+    return """select case when r.poll_id % 2 = 0 then 'feed_a' else 'feed_b' end || '/poll-' || r.poll_id
+    as batch_id, case when r.poll_id % 2 = 0 then 'feed_a' else 'feed_b' end as source_name,
   make_timestamp(((r.poll_id + 1) * 86400 + 5) * 1000000) as ingest_time,
   case when r.ok then 'appended' else 'dq_aborted' end as status, r.n_rows as rows_in,
   case when r.ok then r.n_rows else 0 end as rows_written, r.n_failures, r.n_warnings,
@@ -160,7 +166,8 @@ def _results() -> str:
   from report r left join commits c using (poll_id)"""
 
 
-_EMPTY_POLL = """ union all select 'poll-' || p, case when p % 2 = 0 then 'feed_a' else 'feed_b' end,
+_EMPTY_POLL = """ union all select case when p % 2 = 0 then 'feed_a' else 'feed_b' end || '/poll-' || p,
+  case when p % 2 = 0 then 'feed_a' else 'feed_b' end,
   make_timestamp(((p + 1) * 86400 + 5) * 1000000), 'skipped_empty', 0, 0, 0, 0, null, n, n, null, null
   from (select max(poll_id) + 1 as p from rec), (select count(*) as n from commits)"""
 
@@ -293,9 +300,12 @@ def _proposals() -> str:
   join ({actions}) using (key) group by key"""
 
 
-def _diagnosis(rows: str, snapshot_id: str) -> str:
+def _diagnosis(rows: str, snapshot_id: str, bounded: str) -> str:
     return f"""select cast({snapshot_id} as bigint) as snapshot_id,
-  (select count(*) from {rows}) as rows_examined, false as ok,
+  (select count(*) from {rows}) as rows_examined, (select count(*) from {rows}) as returned,
+  false as ok, 'Examined ' || (select count(*) from {rows}) || ' row(s) from flights at snapshot '
+  || {snapshot_id} || '; bounded by {bounded}. Rule results are re-derived from the stored rows, '
+  || 'not read from a history.' as limitations,
   count(*) over () as n_proposals, kind, severity, n from ({_findings(rows)})"""
 
 
@@ -307,6 +317,16 @@ graded as (select l.*, (l.poll_id - lo) * 3 // (hi - lo + 1) as part from log l,
 
 
 EVOLVED = LOG + _thirds()
+#: The middle third is committed last; a snapshot is never older than the one before it.
+LATE = (
+    EVOLVED
+    + """,
+parted as (select c.*, (poll_id - lo) * 3 // (hi - lo + 1) as part from commits c, span),
+late as (select *, row_number() over turn as seq, max(timestamp_ms) over turn as at_ms from parted
+  window turn as (order by case part when 1 then 2 when 2 then 1 else 0 end, poll_id
+    rows unbounded preceding))
+"""
+)
 GRADE = "case part when 1 then 'B' when 2 then 'A' end"
 
 FIELDS = (
@@ -397,6 +417,10 @@ ORACLE_SQL: dict[str, str] = {
     "flights_deep_page": _log(
         f"select {COLUMNS} from log order by {PAGE_ORDER} limit 300 offset 500"
     ),
+    "flights_clamped": _log(
+        f"select {COLUMNS}, cast(1000 as integer) as page_limit from log where {FROM_START} "
+        f"order by {PAGE_ORDER} limit 1000"
+    ),
     "flights_all_filters": _log(
         f"select {COLUMNS} from log where icao24 = '000005' and callsign = 'VIE5' and {FROM_START} "
         f"and event_time <= timestamp '2024-01-30' order by {PAGE_ORDER} limit 100"
@@ -457,6 +481,20 @@ ORACLE_SQL: dict[str, str] = {
         "row_number() over (order by timestamp_ms desc, commit_seq desc) > 10 as is_expired from commits"
     ),
     "rows_after_expiry": _log(_stats("log", "day")),
+    "as_of_timestamp_late_batch": _with(
+        LATE,
+        " union all ".join(
+            f"select '{name}' as read_at, max(seq) as snapshot_id, cast(sum(n_rows) as bigint) as n_rows "
+            f"from late where at_ms <= epoch_ms(timestamp '{moment}')"
+            for name, moment in (("during", "2024-01-17 12:00:00"), ("after", "2024-06-01"))
+        ),
+    ),
+    "expire_with_late_batch": _with(
+        LATE,
+        "select seq as snapshot_id, case when poll_id % 2 = 0 then 'feed_a' else 'feed_b' end || "
+        "'/poll-' || poll_id as batch_id, at_ms as timestamp_ms, "
+        "seq <= (select count(*) from late) - 10 as is_expired from late",
+    ),
     "schema_evolution_counts": _with(EVOLVED, _EVOLUTION_COUNTS),
     "evolved_rows": _with(EVOLVED, f"select {COLUMNS}, {GRADE} as data_quality_grade from graded"),
     "partition_layout": _with(
@@ -480,14 +518,27 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "missing_aircraft": _log(MISSING),
     "remediation_proposals": _log(_proposals()),
-    "diagnose_snapshot": _log(_diagnosis("log", "(select max(commit_seq) from commits)")),
+    "diagnose_snapshot": _log(_diagnosis("log", "(select max(commit_seq) from commits)", "the whole snapshot")),
     "diagnose_sample": _with(
         LOG
         + f""",
 sample as (select * from log where {AS_OF_ID} and {FROM_START} order by {PAGE_ORDER} limit 500)""",
-        _diagnosis("sample", "11"),
+        _diagnosis("sample", "11", "the queried window and the row limit (500)"),
     ),
     "stream_batch_log": _with(STREAM, _results() + _EMPTY_POLL),
+    "stream_two_feeds": _with(
+        STREAM,
+        "select source_name || '/poll-' || (poll_id // 2) as batch_id, source_name, status, "
+        "rows_written, snapshot_id from (select *, cast(regexp_extract(batch_id, '\\d+$') as bigint) "
+        f"as poll_id from ({_results() + _EMPTY_POLL}))",
+    ),
+    "stream_many_polls": _with(
+        HOURLY,
+        "select 'feed_h/poll-' || r.poll_id as batch_id, "
+        "case when ok then 'appended' else 'dq_aborted' end as status, r.n_rows as rows_in, "
+        "case when ok then r.n_rows else 0 end as rows_written, c.commit_seq as snapshot_id "
+        "from report r left join commits c using (poll_id)",
+    ),
     "stream_bronze": _with(STREAM, f"select {COLUMNS} from log"),
     "stream_interval_counts": _with(STREAM, _stats("log", "hour")),
     "stream_latest_state": _with(STREAM, _newest("log")),

@@ -16,7 +16,7 @@ from statelog.operators import diagnosis, quality, reads
 from statelog.operators.bronze import to_bronze
 from statelog.operators.dedupe import first_per_state_key
 from statelog.plans import answers
-from statelog.plans.log import snapshot_at
+from statelog.plans.log import expirable, snapshot_at
 from statelog.schema import BRONZE_COLUMNS
 from statelog.sources.payload import RECORD_ORDER, decode_states
 from statelog.streaming.ingest import batch_name
@@ -32,6 +32,7 @@ PAGE = {"limit": 200, "offset": 150}
 AS_OF_SNAPSHOT = 11
 AS_OF_TIME = datetime(2024, 1, 17, 12, tzinfo=UTC)
 LAST_DAY = datetime(2024, 1, 30, tzinfo=UTC)
+AFTER_ALL = datetime(2024, 6, 1, tzinfo=UTC)
 SAMPLE_LIMIT = 500
 
 BATCH = ("poll_id",)
@@ -72,7 +73,7 @@ def landed_polls_to_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = decode_states(view.documents(spark, sf_dir))
     first = first_per_state_key(records, RECORD_ORDER, BATCH)
     source, landed = view.provenance("poll_id")
-    rows = to_bronze(first, landed, batch_name(F.col("poll_id")), source)
+    rows = to_bronze(first, landed, batch_name(source, F.col("poll_id")), source)
     return _zoneless(rows)
 
 
@@ -155,13 +156,21 @@ def flights_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights_page_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page, from the row before it on instead of by its offset."""
     rows = logs.batch_log(spark, sf_dir).scan(start=WINDOW_START)
-    return _bronze_only(reads.page(rows, **PAGE, by_day=True))
+    before = reads.page(rows, 1, PAGE["offset"] - 1).first()
+    return _bronze_only(reads.page(rows, PAGE["limit"], after=before))
 
 
 def flights_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs.batch_log(spark, sf_dir).scan()
-    return _bronze_only(reads.page(rows, limit=300, offset=500, seek_from=5))
+    return _bronze_only(reads.page(rows, limit=300, offset=500))
+
+
+def flights_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rows match and are asked for than a page may have; the answer says what it gave."""
+    found = answers.flights(logs.batch_log(spark, sf_dir), start=WINDOW_START, limit=5000)
+    return _bronze_only(found.rows).withColumn("page_limit", F.lit(found.limit))
 
 
 def flights_all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +347,33 @@ def rows_after_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(log.scan(), "day")
 
 
+# ------------------------------------------------------------------ late batches
+
+
+def as_of_timestamp_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads as of a time when a third of the polls was still to come, and of one after all."""
+    log = logs.late_log(spark, sf_dir)
+    parts = []
+    for name, moment in (("during", AS_OF_TIME), ("after", AFTER_ALL)):
+        snapshot = log.at(as_of_timestamp=moment)
+        parts.append(
+            reads.row_count(snapshot.scan()).select(
+                F.lit(name).alias("read_at"),
+                F.lit(snapshot.snapshot_id).cast("bigint").alias("snapshot_id"), "n_rows",
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def expire_with_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs.late_log(spark, sf_dir)
+    gone = expirable(log.commits(), logs.RETAINED).select("snapshot_id", F.lit(True).alias("_gone"))
+    return log.commits().join(gone, "snapshot_id", "left").select(
+        "snapshot_id", "batch_id", "timestamp_ms",
+        F.coalesce("_gone", F.lit(False)).alias("is_expired"),
+    )
+
+
 # ------------------------------------------------------------------ evolution
 
 
@@ -435,24 +471,22 @@ def diagnose_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnose_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.batch_log(spark, sf_dir)
-    limit = diagnosis.sample_limit(SAMPLE_LIMIT, reads.MAX_LIMIT)
-    sample = answers.flights(
-        log, start=WINDOW_START, limit=limit, as_of_snapshot_id=AS_OF_SNAPSHOT
-    )
     return _diagnosis(
-        diagnosis.diagnose(sample.rows, sample.snapshot_id, requested_limit=limit)
+        answers.diagnose_flights(
+            logs.batch_log(spark, sf_dir), start=WINDOW_START, sample_limit=SAMPLE_LIMIT,
+            as_of_snapshot_id=AS_OF_SNAPSHOT,
+        )
     )
 
 
 def _diagnosis(record: DataFrame) -> DataFrame:
     """One row per finding of a diagnosis record."""
     return record.select(
-        "snapshot_id", "rows_examined", "ok", F.size("proposals").cast("bigint").alias("n_proposals"),
-        F.explode("findings").alias("f"),
+        "snapshot_id", "rows_examined", "returned", "ok", "limitations",
+        F.size("proposals").cast("bigint").alias("n_proposals"), F.explode("findings").alias("f"),
     ).select(
-        "snapshot_id", "rows_examined", "ok", "n_proposals", "f.kind", "f.severity",
-        F.col("f.count").alias("n"),
+        "snapshot_id", "rows_examined", "returned", "ok", "limitations", "n_proposals", "f.kind",
+        "f.severity", F.col("f.count").alias("n"),
     )
 
 
@@ -463,6 +497,18 @@ def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(logs.stream_log(spark, sf_dir).batch_log())
 
 
+def stream_two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds that use the same poll numbers."""
+    ledger = logs.two_feed_log(spark, sf_dir).batch_log()
+    return ledger.select("batch_id", "source_name", "status", "rows_written", "snapshot_id")
+
+
+def stream_many_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll an hour, all of them in one micro-batch."""
+    ledger = logs.hourly_log(spark, sf_dir).batch_log()
+    return ledger.select("batch_id", "status", "rows_in", "rows_written", "snapshot_id")
+
+
 def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bronze_only(logs.stream_log(spark, sf_dir).scan())
 
@@ -494,6 +540,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flights_page,
         flights_page_by_day,
         flights_deep_page,
+        flights_clamped,
         flights_all_filters,
         bbox_page,
         bbox_all,
@@ -522,6 +569,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stats_as_of,
         expire_snapshots,
         rows_after_expiry,
+        as_of_timestamp_late_batch,
+        expire_with_late_batch,
         schema_evolution_counts,
         evolved_rows,
         partition_layout,
@@ -535,6 +584,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         diagnose_snapshot,
         diagnose_sample,
         stream_batch_log,
+        stream_two_feeds,
+        stream_many_polls,
         stream_bronze,
         stream_interval_counts,
         stream_latest_state,

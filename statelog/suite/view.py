@@ -87,7 +87,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_bronze(
         records(spark, sf_dir),
         ingest_time=F.col("ingest_time"),
-        ingest_batch_id=batch_name(F.col("poll_id")),
+        ingest_batch_id=batch_name(F.col("source_name"), F.col("poll_id")),
         source_name=F.col("source_name"),
         keep=("event_id", "poll_id"),
     )
@@ -104,11 +104,21 @@ def _json_value(name: str, type_name: str | None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed documents of every poll: ``poll_id, value``, a bounded number of states in each.
+    """Landed documents of every poll: ``poll_id, value``, a bounded number of states in each."""
+    return _documents(records(spark, sf_dir))
 
-    An array whose category is NULL is one item short, as sources send it.
-    """
-    raw = records(spark, sf_dir)
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed documents of one feed whose polls are the hours: ``source_name, poll_id, value``."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.expr("unix_seconds(cast(ts as timestamp)) div 3600")
+    hours = events.select("event_id", hour.alias("hour"))
+    raw = records(spark, sf_dir).join(hours, "event_id").withColumn("poll_id", F.col("hour"))
+    return _documents(raw).select(F.lit("feed_h").alias("source_name"), "poll_id", "value")
+
+
+def _documents(raw: DataFrame) -> DataFrame:
+    """An array whose category is NULL is one item short, as sources send it."""
     values = [_json_value(name, type_name) for name, type_name in POSITIONS]
     full = F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
     short = F.concat(F.lit("["), F.concat_ws(",", *values[:-1]), F.lit("]"))
@@ -130,5 +140,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announcements of every poll, and of an empty one after the last."""
     full = records(spark, sf_dir).select("poll_id").distinct()
-    empty = full.agg((F.max("poll_id") + 1).alias("poll_id"))
-    return full.unionByName(empty).select("poll_id", *provenance("poll_id"))
+    return full.unionByName(_empty(full)).select("poll_id", *provenance("poll_id"))
+
+
+def _empty(full: DataFrame) -> DataFrame:
+    return full.agg((F.max("poll_id") + 1).alias("poll_id"))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every poll as they are landed, the empty one's without states."""
+    full = documents(spark, sf_dir)
+    empty = _empty(full.select("poll_id")).withColumn("value", F.lit('{"states": null}'))
+    source, _ = provenance("poll_id")
+    return full.unionByName(empty).select(source, "poll_id", "value")

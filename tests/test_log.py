@@ -275,15 +275,50 @@ def test_views_for_sql(spark, log):
     assert spark.sql("select count(*) from sv").first()[0] == 20
 
 
-@pytest.mark.parametrize("offset", [0, 17, 23, 24, 60, 95, 96, 500])
-def test_pages_by_day_equal_plain_ones(spark, log, offset):
+def test_a_page_after_a_row_reads_from_its_day_on(spark, log):
     log.append(frame(spark, [at(i * 3600, icao24=f"a{i % 5}") for i in range(96)]), "b1", "feed", T0)
     rows = log.scan()
-    by_day = reads.page(rows, 10, offset, by_day=True)
-    assert by_day.collect() == reads.page(rows, 10, offset).collect()
-    if offset == 17:
-        formatted = spark._jvm.PythonSQLUtils.explainString(by_day._jdf.queryExecution(), "formatted")
-        assert "(event_day#" in formatted and "<= 2026-06-15)" in formatted
+    before = reads.page(rows, 1, 59).first()
+    after = reads.page(rows, 10, after=before)
+    assert after.collect() == reads.page(rows, 10, 60).collect()
+    formatted = spark._jvm.PythonSQLUtils.explainString(after._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters" in formatted and "event_day#" in formatted.split("PartitionFilters")[1][:300]
+
+
+def test_time_never_runs_backwards(spark, log):
+    hour = timedelta(hours=1)
+    log.append(frame(spark, [at(n) for n in range(10)]), "a", "feed", T0 + hour)
+    log.append(frame(spark, [at(20 + n) for n in range(5)]), "late", "feed", T0)
+    with pytest.raises(SnapshotNotFoundError):
+        log.scan(as_of_timestamp=T0 + hour / 2)
+    for moment in (T0 + hour, T0 + 2 * hour):
+        assert log.scan(as_of_timestamp=moment).count() == log.scan().count() == 15
+    log.append(frame(spark, [at(40)]), "c", "feed", T0 + 2 * hour)
+    assert [r["snapshot_id"] for r in log.expire_snapshots(2).collect()] == [1]
+
+
+def test_a_crash_leaves_nothing_under_dynamic_overwrite(spark, log, monkeypatch):
+    import statelog.plans.log as module
+
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        with monkeypatch.context() as patch:
+            patch.setattr(module, "_ledger_rows", lambda *args: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                log.append(frame(spark, [at(n * 86400) for n in range(10)]), "a", "feed", T0)
+        log.append(frame(spark, [at(n) for n in range(4)]), "b", "feed", T0, cache=False)
+        assert log.scan().count() == log.resolve()["total_rows"] == 4
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_answers_report_their_limit(spark, log):
+    two_snapshots(spark, log)
+    found = answers.flights(log, limit=500, maximum=7)
+    assert (found.limit, found.count()) == (7, 7)
+    assert answers.flights(log, limit=3).limit == 3
+    record = answers.diagnose_flights(log, sample_limit=500, max_rows=9).first()
+    assert (record["requested_limit"], record["returned"], record["rows_examined"]) == (9, 9, 9)
 
 
 def test_answers_say_which_snapshot_they_are_from(spark, log):

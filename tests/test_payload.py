@@ -63,9 +63,11 @@ def test_an_unreadable_document_is_one_record_of_nulls(spark):
 def test_landed_folder_has_the_poll_and_may_hold_multi_line_documents(spark):
     folder = new_folder(spark, "landing")
     lines = spark.createDataFrame(
-        [(7, json.dumps({"states": [FULL]}, indent=1))], "poll_id bigint, value string"
+        [("feed", 7, json.dumps({"states": [FULL]}, indent=1))],
+        "source_name string, poll_id bigint, value string"
     )
-    lines.write.partitionBy("poll_id").text(folder)
+    assert read_landed(spark, folder).count() == 0
+    lines.write.partitionBy("source_name", "poll_id").text(folder)
     whole = decode_states(read_landed(spark, folder, whole_files=True))
     assert [(r["poll_id"], r["icao24"]) for r in whole.collect()] == [(7, "3c6444")]
     assert read_landed(spark, folder).where(F.col("poll_id") == 8).count() == 0

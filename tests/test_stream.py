@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rows import T0
 
 from statelog.operators import reads
-from statelog.plans.log import ABORTED, APPENDED, SKIPPED
+from statelog.plans.log import ABORTED, APPENDED, MISSING, SKIPPED
 from statelog.plans.scratch import new_folder
 from statelog.streaming.ingest import start_ingest_stream
 
@@ -17,17 +17,17 @@ class Feed:
     def __init__(self, spark, log):
         self.spark, self.log, self.folder = spark, log, new_folder(spark, "feed")
 
-    def land(self, poll_id, *documents, announce=True):
+    def land(self, poll_id, *documents, announce=True, source="feed", folder=None):
         lines = self.spark.createDataFrame(
-            [(poll_id, json.dumps(d) if isinstance(d, dict) else d) for d in documents],
-            "poll_id bigint, value string")
-        lines.write.mode("append").partitionBy("poll_id").text(f"{self.folder}/landing")
+            [(json.dumps(d) if isinstance(d, dict) else d,) for d in documents], "value string")
+        lines.write.mode("append").text(
+            f"{self.folder}/landing/source_name={source}/poll_id={folder or poll_id}")
         if announce:
-            self.announce(poll_id)
+            self.announce(poll_id, source)
 
-    def announce(self, poll_id):
+    def announce(self, poll_id, source="feed"):
         arrived = self.spark.createDataFrame(
-            [(poll_id, "feed", T0 + timedelta(seconds=poll_id))],
+            [(poll_id, source, T0 + timedelta(seconds=poll_id))],
             "poll_id bigint, source_name string, ingest_time timestamp")
         arrived.coalesce(1).write.mode("append").json(f"{self.folder}/arrivals")
 
@@ -57,20 +57,20 @@ def test_each_poll_becomes_a_snapshot(feed, log):
         rows = [state(f"00000{a}", poll * 60) for a in range(3)]
         feed.land(poll, {"states": rows + [state("000000", poll * 60, "DUP")]})
     got = feed.run()
-    assert [got[f"poll-{p}"]["status"] for p in range(3)] == [APPENDED] * 3
-    assert [got[f"poll-{p}"]["rows_written"] for p in range(3)] == [3, 3, 3]
-    assert [got[f"poll-{p}"]["snapshot_count"] for p in range(3)] == [1, 2, 3]
+    assert [got[f"feed/poll-{p}"]["status"] for p in range(3)] == [APPENDED] * 3
+    assert [got[f"feed/poll-{p}"]["rows_written"] for p in range(3)] == [3, 3, 3]
+    assert [got[f"feed/poll-{p}"]["snapshot_count"] for p in range(3)] == [1, 2, 3]
     assert log.scan().where("callsign = 'DUP'").count() == 0
     assert reads.latest_state(log.scan()).count() == 3
-    assert got["poll-2"]["lag_seconds"] == 2.0 - 120
+    assert got["feed/poll-2"]["lag_seconds"] == 2.0 - 120
 
 
 def test_empty_polls_make_no_snapshot(feed, log):
     feed.land(0, {"states": None})
     feed.land(1, {"time": 5})
-    feed.announce(2)
+    feed.land(2, {"states": []})
     got = feed.run()
-    assert [got[f"poll-{p}"]["status"] for p in range(3)] == [SKIPPED] * 3
+    assert [got[f"feed/poll-{p}"]["status"] for p in range(3)] == [SKIPPED] * 3
     assert log.snapshot_id_of() is None
 
 
@@ -80,8 +80,8 @@ def test_a_rejected_or_unreadable_poll_does_not_stop_the_stream(feed, log):
     feed.land(2, {"states": [state("c", 1, on_ground=None)]})
     feed.land(3, {"states": [state("d", 1)]})
     got = feed.run()
-    assert [got[f"poll-{p}"]["status"] for p in range(4)] == [ABORTED, ABORTED, ABORTED, APPENDED]
-    assert got["poll-0"]["n_failures"] == 1 and got["poll-0"]["rows_written"] == 0
+    assert [got[f"feed/poll-{p}"]["status"] for p in range(4)] == [ABORTED, ABORTED, ABORTED, APPENDED]
+    assert got["feed/poll-0"]["n_failures"] == 1 and got["feed/poll-0"]["rows_written"] == 0
     assert [r["icao24"] for r in log.scan().collect()] == ["d"]
 
 
@@ -123,20 +123,39 @@ def test_a_crash_before_the_batch_log_is_made_good_by_the_replay(feed, log, monk
             feed.run()
     assert log.scan().count() == 0
     got = feed.run()
-    assert got["poll-0"]["status"] == APPENDED and log.scan().count() == 2
+    assert got["feed/poll-0"]["status"] == APPENDED and log.scan().count() == 2
 
 
-def test_many_polls_at_once_are_read_from_their_range(feed, log, monkeypatch):
-    import statelog.streaming.ingest as module
-
+def test_only_announced_polls_are_read(feed, log):
     feed.land(1, {"states": [state("unannounced", 1)]}, announce=False)
     for poll in (0, 2):
         feed.land(poll, {"states": [state(f"a{poll}", 1)]})
-    monkeypatch.setattr(module, "LISTED_POLLS", 1)
     feed.run()
     assert sorted(r["icao24"] for r in log.scan().collect()) == ["a0", "a2"]
 
 
+def test_padded_numbers_and_two_feeds(feed, log):
+    feed.land(7, {"states": [state("a", 1)]}, folder="007")
+    feed.land(7, {"states": [state("b", 1), state("c", 1)]}, source="other")
+    got = feed.run()
+    assert got["feed/poll-7"]["status"] == got["other/poll-7"]["status"] == APPENDED
+    assert {(r["icao24"], r["source_name"]) for r in log.scan().collect()} == {
+        ("a", "feed"), ("b", "other"), ("c", "other")}
+    # The same number of a third feed comes later.
+    feed.land(7, {"states": [state("d", 1)]}, source="third")
+    assert feed.run()["third/poll-7"]["status"] == APPENDED and log.scan().count() == 4
+
+
+def test_a_poll_without_documents_is_reported_and_taken_later(feed, log):
+    feed.announce(0)
+    assert feed.run()["feed/poll-0"]["status"] == MISSING
+    feed.land(0, {"states": [state("a", 1)]})
+    feed.run()
+    assert [r["icao24"] for r in log.scan().collect()] == ["a"]
+    statuses = [r["status"] for r in log.batch_log().orderBy("entry").collect()]
+    assert statuses == [MISSING, APPENDED]
+
+
 def test_polls_per_trigger_does_not_change_the_rows(spark, feed, log):
     from statelog import StateLog
 
@@ -177,6 +196,6 @@ def test_a_crowded_poll_is_whole(spark, feed, log):
         feed.land(0, {"seq": part, "states": rows}, announce=part == 3)
     feed.land(1, {"states": [state("b", 1)]})
     got = feed.run()
-    assert got["poll-0"]["status"] == APPENDED
-    assert got["poll-0"]["rows_written"] == 1 + 4 * 600
+    assert got["feed/poll-0"]["status"] == APPENDED
+    assert got["feed/poll-0"]["rows_written"] == 1 + 4 * 600
     assert [r["callsign"] for r in log.scan().where("icao24 = 'hot'").collect()] == ["C0"]
