@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelog.llm.common import as_bytes, stored, worker_cache
+from statelog.llm import windows
+from statelog.llm.common import as_bytes, batched, stored, worker_cache
+from statelog.llm.shingles import word_bounds, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -30,7 +32,8 @@ END = 1
 SLACK = 8
 FAN_IN = 8
 CARRIED = 4096
-CACHED_WORDS = 700_000
+#: Distinct words and parts of words that a worker keeps, at most; then it starts anew.
+CACHED_WORDS, CACHED_PARTS = 4_000_000, 300_000
 
 _PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokeniser's parts of an ASCII word without an apostrophe.
@@ -39,10 +42,12 @@ _MARKS = b".,;:!?()[]{}#*$%&|-+=/"
 
 
 class Words:
-    """Token ids of blank-separated words by the public vocabulary, each part looked up once.
+    """Token ids of texts by the public vocabulary, each distinct word looked up once.
 
     The vocabulary's normaliser and pre-tokeniser keep no token across a blank, so the ids of a text
-    are those of its words in a row.
+    are those of its words in a row. Words are known by a 64-bit hash of their bytes, A-Z in lower
+    case as the normaliser has them; a text that may hold one of the special marks is tokenised as
+    a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,68 +55,105 @@ class Words:
 
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.tokenize = self.whole.model.tokenize
-        self.marks = [str(t.content).encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.powers = windows.Powers()
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        # Arrays grow in place and are read without a copy.
-        self.start, self.flat = array("q", [0]), array("I")
+        self.parts: dict[bytes, tuple[int, ...]] = {}
+        self.keys, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        # Grows in place and is read without a copy.
+        self.flat = array("I")
 
-    def _part(self, part: bytes) -> list[int]:
+    def _part(self, part: bytes) -> tuple[int, ...]:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = [t.id for t in self.tokenize(part.decode())]
+            if len(self.parts) > CACHED_PARTS:
+                self.parts.clear()
+            ids = self.parts[part] = tuple([t.id for t in self.tokenize(part.decode())])
         return ids
 
-    def _word(self, word: bytes) -> list[int]:
-        if b"<|" in word and any(m in word for m in self.marks):
-            return self.whole.encode(word.decode(), add_special_tokens=False).ids
+    def _word(self, word: bytes) -> tuple[int, ...]:
+        # Most words are ASCII letters, with a mark behind them or not.
+        if word.isalpha():
+            return tuple([t.id for t in self.tokenize(word.decode())])
+        if word[:-1].isalpha() and word[-1:] in _MARKS:
+            return self._part(word[:-1]) + self._part(word[-1:])
         # Printable ASCII stands for itself in the byte-level alphabet.
         if word.isascii() and b"'" not in word and word.decode().isprintable():
-            return [i for part in _PARTS(word.lower()) for i in self._part(part)]
+            return self._parts(word)
         # ASCII marks after a letter are a part of their own.
         stem = word.rstrip(_MARKS)
         text = stem.decode()
         if len(stem) < len(word) and text[-1:].isalpha():
-            return self._stem(stem, text) + [i for part in _PARTS(word[len(stem) :]) for i in self._part(part)]
+            return self._stem(stem, text) + self._parts(word[len(stem) :])
         return self._stem(word, word.decode())
 
-    def _stem(self, stem: bytes, text: str) -> list[int]:
+    def _parts(self, text: bytes) -> tuple[int, ...]:
+        return tuple([i for part in _PARTS(text) for i in self._part(part)])
+
+    def _stem(self, stem: bytes, text: str) -> tuple[int, ...]:
         ids = self.parts.get(stem)
         if ids is None:
+            if len(self.parts) > CACHED_PARTS:
+                self.parts.clear()
             parts = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
-            ids = self.parts[stem] = [t.id for part, _ in parts for t in self.tokenize(part)]
+            ids = self.parts[stem] = tuple([t.id for part, _ in parts for t in self.tokenize(part)])
         return ids
 
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        found = list(map(self.index.get, words))
-        if None in found:
-            if len(self.index) > CACHED_WORDS:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Add words that are not known; ``keys`` are sorted."""
+        if len(self.keys) + len(keys) > CACHED_WORDS:
+            self._clear()
+        start = np.empty(len(keys), np.int64)
+        for i, word in enumerate(words):
+            start[i] = len(self.flat)
+            self.flat.extend(self._word(word))
+        count = np.diff(np.append(start, len(self.flat)))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        marked = {i: t for i, t in enumerate(texts) if b"<|" in t}
+        joined = b"\n".join(b"" if i in marked else t for i, t in enumerate(texts))
+        starts, ends = word_bounds(np.frombuffer(joined, np.uint8))
+        keys, first, which = np.unique(
+            word_hashes(joined, self.powers), return_index=True, return_inverse=True)
+        known = self._known(keys)
+        if not known.all():
+            if len(self.keys) + len(keys) > CACHED_WORDS:
                 self._clear()
-            index, flat, start = self.index, self.flat, self.start
-            for word in words:
-                if word not in index:
-                    index[word] = len(start) - 1
-                    flat.extend(self._word(word))
-                    start.append(len(flat))
-            found = list(map(index.__getitem__, words))
-        at = np.array(found, np.int64)
-        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat or b"", np.uint32)
-        first, count = start[at], start[at + 1] - start[at]
+                known[:] = False
+            new = first[~known]
+            self._learn(keys[~known], [joined[a:b].lower() for a, b in zip(starts[new], ends[new])])
+        at = np.searchsorted(self.keys, keys)
+        begin, count = self.start[at][which], self.count[at][which]
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return flat[np.repeat(first, count) + step]
+        flat = np.frombuffer(self.flat or b"", np.uint32)[np.repeat(begin, count) + step]
+        # Words, then tokens, up to the end of each text.
+        sizes = np.cumsum([0 if i in marked else len(t) for i, t in enumerate(texts)]) + np.arange(len(texts))
+        words = np.searchsorted(starts, sizes)
+        tokens = np.concatenate(([0], np.cumsum(count)))[words]
+        out = np.split(flat, tokens[:-1]) if texts else []
+        for i, text in marked.items():
+            found = self.whole.encode(text.decode(), add_special_tokens=False).ids
+            out[i] = np.array(found, np.uint32)
+        return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The pieces of each document: places and a checksum of the ids."""
     words = worker_cache(f"words:{path}", lambda: Words(path))
-    for batch in batches:
+    for batch in batched(batches, "text"):
         owner, rows = [], []
-        for i, text in enumerate(as_bytes(batch.column("text"))):
-            ids = np.concatenate((words.ids(text or b""), [END])).astype("<u4")
+        for i, ids in enumerate(words.ids([t or b"" for t in as_bytes(batch.column("text"))])):
+            ids = np.append(ids, np.uint32(END)).astype("<u4")
             for n, start in enumerate(range(0, len(ids), LENGTH)):
                 part = ids[start : start + LENGTH]
                 owner.append(i)

@@ -46,9 +46,10 @@ ODD = [
 
 def test_ids_are_the_tokenizers(spark):
     words_ = packing.Words(public_tokenizers.path(packing.VOCABULARY))
-    for text in ODD:
-        assert words_.ids((text or "").encode()).tolist() == TOKENIZER.encode(
-            text or "", add_special_tokens=False).ids, text
+    texts = [text or "" for text in ODD] * 2
+    for text, ids in zip(texts, words_.ids([t.encode() for t in texts])):
+        assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids, text
+    assert words_.ids([]) == [] and words_.ids([b""])[0].tolist() == []
 
 
 @settings(max_examples=300, deadline=None)
@@ -57,7 +58,19 @@ def test_ids_of_any_text(text):
     from statelog.llm.common import worker_cache
 
     words_ = worker_cache("test-words", lambda: packing.Words(public_tokenizers.path(packing.VOCABULARY)))
-    assert words_.ids(text.encode()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    found = words_.ids([text.encode(), b"", text.upper().encode()])
+    assert found[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert found[2].tolist() == TOKENIZER.encode(text.upper(), add_special_tokens=False).ids
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 10)
+    words_ = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    for i in range(8):
+        text = " ".join(words(i, 40)) + " été, " * 3
+        assert words_.ids([text.encode()])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert len(words_.keys) <= 50
 
 
 def test_best_fit():
