@@ -44,6 +44,8 @@ _NAMES = frozenset(
     "gdpr notice notices alert sidebar comment comments disqus replies respond menu nav navbar navigation breadcrumb "
     "breadcrumbs footer share sharing social related recommended newsletter subscribe subscription signup login popup "
     "modal overlay widget toolbar pagination pager skip disclaimer copyright tags search".split())
+#: What names run together may begin with.
+_BEGINNINGS = ("comment", "advert", "adsby", "sponsor", "cookie", "sidebar", "footer", "navbar")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: A paragraph ends where one of these begins.
 _ENDS_PARAGRAPH = frozenset(
@@ -86,7 +88,9 @@ def _says_gone(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in _INLINE:
             parts = {p.lower() for p in _NAME_PARTS.findall(value)}
-            if parts & _NAMES or not inside and "header" in parts:
+            if parts & _NAMES or not inside and "header" in parts or any(
+                p.startswith(_BEGINNINGS) for p in parts
+            ):
                 return True
     return False
 

@@ -26,6 +26,7 @@ CASES = [
     ("<article>a</article><div>between</div><article>b</article>", "a b"),
     ("<p>unclosed <a href='x'>link", "unclosed link"),
     ("<div class=adapter>not an ad</div>", "not an ad"),
+    ("<article>x<ol class=commentlist><li>first</ol><ins class=adsbygoogle>ad</ins></article>", "x ad"),
 ]
 
 
