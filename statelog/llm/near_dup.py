@@ -8,9 +8,11 @@ similarity of exactly 0.8 a pair differs in 16 positions on average and in more
 probability below 0.0001.
 
 Documents with the same set are one class. The members of a bucket are tested against one of them;
-links are confirmed on the full sets, and components are formed. Only members that are still in
-different components meet once more, pair by pair. No pair is left out, and a group of near copies
-costs a test for each member, not for each pair.
+links are confirmed on the full sets, and components are formed. Members that are still apart are
+tested against a neighbour in a random order of each of their buckets, which joins what is left of
+a large group of near copies. Only then do members that are in different components meet pair by
+pair, each pair in the first bucket that both share and only within the signature distance. No pair
+is left out, and a group of near copies costs a few tests for each member, not one for each pair.
 """
 
 from __future__ import annotations
@@ -65,17 +67,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(found))
             one.append(int(np.bitwise_xor.reduce(windows.mixed(found))) if len(found) else 0)
             two.append(int(windows.mixed(found * _FACTORS[0]).sum()) if len(found) else 0)
-            signatures.append(signature(found).tobytes() if len(found) else None)
+            signatures.append(signature(found).view(np.int16) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("doc_id"), pa.array(sizes, pa.int64()),
              pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-             pa.array(signatures, pa.binary())],
+             pa.array(signatures, pa.list_(pa.int16()))],
             names=["id", "doc_id", "size", "one", "two", "signature"])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, "<u2").reshape(-1, POSITIONS).astype(np.uint64)
+    return column.flatten().to_numpy().view(np.uint16).reshape(-1, POSITIONS).astype(np.uint64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +94,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             key = windows.mixed(key * _FACTORS[1] + value[:, chunk * WIDTH + i])
                     keys.append(key)
             ids = part.column("rep").to_numpy()
+            slots = np.repeat(np.arange(len(keys), dtype=np.int32), len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))],
-                names=["key", "rep"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys))), pa.array(slots)],
+                names=["key", "rep", "slot"])
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +108,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     rows = pa.Table.from_batches(parts)
-    key, rep = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
+    key, rep, slot = (rows.column(c).to_numpy() for c in ("key", "rep", "slot"))
     order = np.lexsort((rep, key))
-    key, rep = key[order], rep[order]
+    key, rep, slot = key[order], rep[order], slot[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.cumsum(new) - 1
     edge = (group == 0) | (group == group[-1])
@@ -116,7 +118,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     center = rep[np.flatnonzero(new)][group]
     count = int(keep.sum())
     table = pa.table({
-        "key": key[keep], "rep": rep[keep], "center": center[keep], "edge": edge[keep],
+        "key": key[keep], "rep": rep[keep], "slot": slot[keep], "center": center[keep], "edge": edge[keep],
         "bucket": np.full(count, TaskContext.get().partitionId(), np.int32)})
     yield from table.to_batches(max_chunksize=50_000)
 
@@ -160,7 +162,7 @@ class _Join:
     def __init__(self, docs: DataFrame) -> None:
         rows = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"id long, doc_id {kind}, size long, one long, two long, signature binary"
+        schema = f"id long, doc_id {kind}, size long, one long, two long, signature array<short>"
         self.texts = rows.select("id", "text")
         self.rows = stored(rows.mapInArrow(_sketch, schema), "near-rows")
         ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
@@ -191,10 +193,10 @@ class _Join:
 
     def components(self) -> DataFrame:
         """(node, root) of the classes that have links."""
-        keys = self.classes.mapInArrow(_keys, "key long, rep long")
+        keys = self.classes.mapInArrow(_keys, "key long, rep long, slot int")
         grouped = stored(
             keys.repartitionByRange("key", "rep").mapInArrow(
-                _bucket, "key long, rep long, center long, edge boolean, bucket int"), "near-groups")
+                _bucket, "key long, rep long, slot int, center long, edge boolean, bucket int"), "near-groups")
         star = grouped.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
         # A group that spans buckets has a centre in each; they are tested too.
         edges = grouped.where("edge").groupBy("bucket").agg(
@@ -202,27 +204,61 @@ class _Join:
         order = Window.orderBy("bucket")
         across = edges.withColumn("next", F.lead("low").over(order)).where("high.key = next.key")
         between = across.select(F.col("high.center").alias("a"), F.col("next.center").alias("b"))
-        spread = across.select("high.key").distinct()
-        first = self.links(star.union(between), "near-star")
-        roots = stored(components(first), "near-roots")
-        rest = self._apart(grouped, spread, roots)
-        if rest.isEmpty():
-            return roots
-        second = self.links(rest, "near-rest")
-        return components(first.union(second))
-
-    def _apart(self, grouped: DataFrame, spread: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of one group in different components that no test has met."""
-        placed = grouped.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left").select(
-            "key", "rep", "center", F.coalesce("root", "rep").alias("root"))
-        # Groups of two have been tested, but where they span buckets.
+        links = self.links(star.union(between), "near-star")
+        roots = stored(components(links), "near-roots")
+        for step in (self._neighbours, self._apart):
+            more = self.links(step(self._open(grouped, roots)), "near-more")
+            if not more.isEmpty():
+                # Roots stand for what they have reached.
+                links = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+                roots = stored(components(links), "near-roots")
+        return roots
+
+    def _open(self, grouped: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members of groups of three or more that are in several components. Groups of two have
+        been tested, but where they span buckets they are no group of two."""
+        placed = grouped.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", "slot", "center", F.coalesce("root", "rep").alias("root"))
         mixed = placed.groupBy("key").agg(
             F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"),
         ).where("least != most and members > 2").select("key")
-        open_ = stored(placed.join(mixed, "key", "left_semi"), "near-open")
-        other = open_.withColumnsRenamed({c: f"{c}2" for c in ("rep", "center", "root")})
-        return open_.join(other, "key").where(
-            "rep < rep2 and root != root2 and not (center = center2 and (rep = center or rep2 = center))"
+        return stored(placed.join(mixed, "key", "left_semi"), "near-open")
+
+    @staticmethod
+    def _neighbours(members: DataFrame) -> DataFrame:
+        """Each member with the one before it in a random order of its group, in half the groups."""
+        order = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"))
+        before = members.where("slot % 2 = 0").withColumns(
+            {"other": F.lag("rep").over(order), "other_root": F.lag("root").over(order)})
+        return before.where("root != other_root").select(
+            F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+
+    def _apart(self, members: DataFrame) -> DataFrame:
+        """Pairs of a group in different components, each where its signatures first meet.
+
+        A pair meets in the first chunk with one differing position at most, under the choice of
+        that position, or of the first one if none differs.
+        """
+        sides = members.join(self.classes.select("rep", "size", "signature"), "rep").drop("center")
+        other = sides.withColumnsRenamed({c: f"{c}2" for c in ("rep", "root", "size", "signature", "slot")})
+        differ = F.zip_with("signature", "signature2", lambda a, b: (a != b).cast("int"))
+        errors = lambda d, c: F.aggregate(
+            F.slice(d, c * WIDTH + 1, F.lit(WIDTH)), F.lit(0), lambda n, x: n + x)
+        chunk = F.floor(F.col("slot") / WIDTH).cast("int")
+        free = F.col("slot") % WIDTH
+
+        def first_meeting(d):
+            earlier = F.exists(
+                F.slice(F.array(*(F.lit(c) for c in range(CHUNKS))), F.lit(1), chunk), lambda c: errors(d, c) <= ERRORS)
+            here = F.slice(d, chunk * WIDTH + 1, F.lit(WIDTH))
+            return ~earlier & (F.greatest(F.array_position(here, 1) - 1, F.lit(0)) == free)
+
+        near = F.exists(
+            F.array(differ),
+            lambda d: (F.aggregate(d, F.lit(0), lambda n, x: n + x) <= DISTANCE) & first_meeting(d))
+        fits = 100 * F.least("size", "size2") >= SIMILAR * F.greatest("size", "size2")
+        return sides.join(other, "key").where(
+            (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & fits & near
         ).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 

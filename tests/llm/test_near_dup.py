@@ -69,6 +69,24 @@ def test_chain_and_large_group(spark):
     assert sorted(tuple(r) for r in found) == sorted(brute(rows))
 
 
+def test_members_that_the_centre_does_not_reach(spark, monkeypatch):
+    """Many texts near 0.8 of each other, with the neighbours' step and without it."""
+    pick, text = random.Random(6), words(11, 150)
+    rows = []
+    for i in range(90):
+        changed = list(text)
+        for _ in range(pick.randint(1, 5)):
+            changed[pick.randrange(len(text))] = f"y{pick.randint(0, 9)}"
+        rows.append((i, " ".join(changed)))
+    docs = documents(spark, rows)
+    expected = sorted(brute(rows))
+    assert 1 < len({r[2] for r in expected}) < 90
+    assert sorted(tuple(r) for r in near_dup.near_duplicate_report(docs).collect()) == expected
+    monkeypatch.setattr(near_dup._Join, "_neighbours", staticmethod(
+        lambda members: members.select(near_dup.F.col("rep").alias("a"), near_dup.F.col("rep").alias("b")).limit(0)))
+    assert sorted(tuple(r) for r in near_dup.near_duplicate_report(docs).collect()) == expected
+
+
 def test_signature_distance_is_guaranteed():
     pick = np.random.default_rng(1)
     for _ in range(300):
