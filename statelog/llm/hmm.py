@@ -186,7 +186,7 @@ class Model:
         """States that differ at random from the unigram shares and seldom change."""
         pick = np.random.default_rng(seed)
         emit = share[:, None] * np.exp(0.7 * pick.standard_normal((len(share), states)))
-        emit /= emit.sum(0)
+        emit = cls._unseen(emit, share)
         move = np.full((states, states), 0.02 / max(states - 1, 1))
         np.fill_diagonal(move, 0.98 if states > 1 else 1.0)
         even = np.full(states, 1.0 / states)
@@ -197,8 +197,16 @@ class Model:
         start = (start + 1) / (start + 1).sum()
         move = (move + 0.5) / (move + 0.5).sum(1, keepdims=True)
         mean = (mean + 1) / (mean + 1).sum()
-        emit = (emit + PRIOR * share[:, None]) / (emit.sum(0) + PRIOR)
-        return cls(start, mean, move, emit)
+        return cls(start, mean, move, cls._unseen(emit + PRIOR * share[:, None], share))
+
+    @staticmethod
+    def _unseen(emit: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Emissions that sum to one, in which the unseen class, which no training text can teach,
+        has its unigram share in every state."""
+        emit[0] = 0
+        emit *= (1 - share[0]) / np.maximum(emit.sum(0), 1e-300)
+        emit[0] = share[0]
+        return emit
 
 
 def _by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
