@@ -8,7 +8,6 @@ word once.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,16 +16,15 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from statelog.llm.common import BLANKS, as_bytes, column_or_null, worker_cache
+from statelog.llm import windows
+from statelog.llm.common import BLANKS, as_bytes, batched, column_or_null, worker_cache
+from statelog.llm.words import WordTable
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
-#: Words kept with their tokens in a worker, at most; then it starts anew.
-CACHED_WORDS = 600_000
 
-_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93],
-                    np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -63,49 +61,28 @@ class Limits:
 LIMITS = Limits()
 
 
-class Pieces:
-    """The tokens of words, each word looked up once."""
+class Pieces(WordTable):
+    """The tokens of words by the public piece vocabulary."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        # Arrays grow in place and are read without a copy.
-        self.start, self.flat = array("q", [0]), array("i")
-
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.index.get, words))
-        if None in found:
-            if len(self.index) > CACHED_WORDS:
-                self._clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.index]
-            for word, ids in zip(new, self.model.encode([w.decode() for w in new], num_threads=1)):
-                self.index[word] = len(self.start) - 1
-                self.flat.extend(ids)
-                self.start.append(len(self.flat))
-            found = list(map(self.index.__getitem__, words))
-        at = np.array(found, np.int64)
-        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat or b"", np.int32)
-        first, count = start[at], start[at + 1] - start[at]
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return flat[np.repeat(first, count) + step]
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside 5-word windows that occur twice or more in the text."""
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+
+    def tokenised(self, words: list[bytes]) -> list[list[int]]:
+        return self.model.encode([w.decode() for w in words], num_threads=1)
+
+
+def repeated_words(words: np.ndarray) -> int:
+    """Words, given by their hashes, inside 5-word windows that occur twice or more in the text."""
     count = len(words)
     if count <= GRAM:
         return 0
-    word = np.fromiter(map(hash, words), np.int64, count).view(np.uint64)
     window = np.zeros(count - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        window += (word[k : count - GRAM + 1 + k] ^ (word[k : count - GRAM + 1 + k] >> np.uint64(29))) * _FACTORS[k]
+        window = windows.mixed(window * _FACTOR + words[k : count - GRAM + 1 + k])
     order = np.argsort(window, kind="stable")
     ranked = window[order]
     equal = ranked[1:] == ranked[:-1]
@@ -155,21 +132,24 @@ def fits(lang: str | None, text: str, chars: int, tokens: np.ndarray, pieces: Pi
     return True
 
 
-def _verdict(text: bytes | None, lang: str | None, pieces: Pieces) -> tuple:
-    text = text or b""
+def _verdict(text: bytes, lang: str | None, words: np.ndarray, tokens: np.ndarray, pieces: Pieces) -> tuple:
     string = text.decode()
-    words = text.split()
     chars = len(string) - sum(map(string.count, BLANKS))
     again = repeated_words(words)
     failed = len(words) < 10 or 100 * again > 20 * len(words)
-    kept = not failed and fits(lang, string, chars, pieces.tokens(words), pieces)
+    kept = not failed and fits(lang, string, chars, tokens, pieces)
     return (len(words), chars, sum(map(string.count, SYMBOLS)), duplicate_lines(string), again, failed, kept)
 
 
 def _judge(path: str):
     def verdicts(texts: pa.Array, langs: pa.Array) -> list[tuple]:
         pieces = worker_cache(f"pieces:{path}", lambda: Pieces(path))
-        return [_verdict(t, lang, pieces) for t, lang in zip(as_bytes(texts), langs.to_pylist())]
+        whole = [t or b"" for t in as_bytes(texts)]
+        found = pieces.lookup(whole)
+        return [
+            _verdict(text, lang, found.words(i), found.tokens(i), pieces)
+            for i, (text, lang) in enumerate(zip(whole, langs.to_pylist()))
+        ]
 
     return verdicts
 
@@ -186,7 +166,7 @@ def quality_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-        for batch in batches:
+        for batch in batched(batches, "text"):
             found = judge(batch.column("text"), batch.column("lang"))
             columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
@@ -206,7 +186,7 @@ def keep_good(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     has_lang = "lang" in docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batched(batches, "text"):
             langs = batch.column("lang") if has_lang else pa.nulls(batch.num_rows)
             yield batch.filter(pa.array([v[-1] for v in judge(batch.column("text"), langs)], pa.bool_()))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelog.llm import windows
 from statelog.llm.common import as_bytes, batched, stored, worker_cache
-from statelog.llm.shingles import word_bounds, word_hashes
+from statelog.llm.words import WordTable
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -32,8 +30,8 @@ END = 1
 SLACK = 8
 FAN_IN = 8
 CARRIED = 4096
-#: Distinct words and parts of words that a worker keeps, at most; then it starts anew.
-CACHED_WORDS, CACHED_PARTS = 4_000_000, 300_000
+#: Parts of words that a worker keeps, at most; then it starts anew.
+CACHED_PARTS = 300_000
 
 _PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokeniser's parts of an ASCII word without an apostrophe.
@@ -41,29 +39,26 @@ _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
 _MARKS = b".,;:!?()[]{}#*$%&|-+=/"
 
 
-class Words:
-    """Token ids of texts by the public vocabulary, each distinct word looked up once.
+class Words(WordTable):
+    """Token ids of texts by the public vocabulary.
 
     The vocabulary's normaliser and pre-tokeniser keep no token across a blank, so the ids of a text
-    are those of its words in a row. Words are known by a 64-bit hash of their bytes, A-Z in lower
-    case as the normaliser has them; a text that may hold one of the special marks is tokenised as
-    a whole.
+    are those of its words in a row, and it lower-cases A-Z. A text that may hold one of the special
+    marks is tokenised as a whole.
     """
 
+    lower = True
+
     def __init__(self, path: str) -> None:
         import tokenizers
 
+        super().__init__()
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.tokenize = self.whole.model.tokenize
-        self.powers = windows.Powers()
-        self._clear()
-
-    def _clear(self) -> None:
         self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.keys, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        # Grows in place and is read without a copy.
-        self.flat = array("I")
+
+    def tokenised(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        return [self._word(word) for word in words]
 
     def _part(self, part: bytes) -> tuple[int, ...]:
         ids = self.parts.get(part)
@@ -101,49 +96,13 @@ class Words:
             ids = self.parts[stem] = tuple([t.id for part, _ in parts for t in self.tokenize(part)])
         return ids
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Add words that are not known; ``keys`` are sorted."""
-        if len(self.keys) + len(keys) > CACHED_WORDS:
-            self._clear()
-        start = np.empty(len(keys), np.int64)
-        for i, word in enumerate(words):
-            start[i] = len(self.flat)
-            self.flat.extend(self._word(word))
-        count = np.diff(np.append(start, len(self.flat)))
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         marked = {i: t for i, t in enumerate(texts) if b"<|" in t}
-        joined = b"\n".join(b"" if i in marked else t for i, t in enumerate(texts))
-        starts, ends = word_bounds(np.frombuffer(joined, np.uint8))
-        keys, first, which = np.unique(
-            word_hashes(joined, self.powers), return_index=True, return_inverse=True)
-        known = self._known(keys)
-        if not known.all():
-            if len(self.keys) + len(keys) > CACHED_WORDS:
-                self._clear()
-                known[:] = False
-            new = first[~known]
-            self._learn(keys[~known], [joined[a:b].lower() for a, b in zip(starts[new], ends[new])])
-        at = np.searchsorted(self.keys, keys)
-        begin, count = self.start[at][which], self.count[at][which]
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        flat = np.frombuffer(self.flat or b"", np.uint32)[np.repeat(begin, count) + step]
-        # Words, then tokens, up to the end of each text.
-        sizes = np.cumsum([0 if i in marked else len(t) for i, t in enumerate(texts)]) + np.arange(len(texts))
-        words = np.searchsorted(starts, sizes)
-        tokens = np.concatenate(([0], np.cumsum(count)))[words]
-        out = np.split(flat, tokens[:-1]) if texts else []
+        found = self.lookup([b"" if i in marked else t for i, t in enumerate(texts)])
+        out = [found.tokens(i) for i in range(len(texts))]
         for i, text in marked.items():
-            found = self.whole.encode(text.decode(), add_special_tokens=False).ids
-            out[i] = np.array(found, np.uint32)
+            out[i] = np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from statelog.llm import packing
+from statelog.llm import words as table
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
@@ -64,7 +65,7 @@ def test_ids_of_any_text(text):
 
 
 def test_a_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(table, "CACHED_WORDS", 50)
     monkeypatch.setattr(packing, "CACHED_PARTS", 10)
     words_ = packing.Words(public_tokenizers.path(packing.VOCABULARY))
     for i in range(8):
