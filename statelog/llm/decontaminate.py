@@ -126,7 +126,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(gone, "id", "left_anti").select("row.*")
 
 
-def _sql_words(text: str) -> str:
+def sql_words(text: str) -> str:
     plain = f"translate({text}, '{_UPPER}', '{_UPPER.lower()}')"
     return f"list_filter(regexp_split_to_array({plain}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -136,11 +136,11 @@ def _sql_shingles(words: str) -> str:
 
 
 SQL = f"""
-with item_words as (select distinct item_id, {_sql_words("text")} as words from benchmark),
+with item_words as (select distinct item_id, {sql_words("text")} as words from benchmark),
 items as (select distinct item_id, list_sort(list_distinct({_sql_shingles("words")})) as shingles
           from item_words where len(words) >= 5),
 item_shingles as (select item_id, len(shingles) as n, unnest(shingles) as shingle from items),
-doc_words as (select doc_id, row_number() over () as id, {_sql_words("text")} as words from documents),
+doc_words as (select doc_id, row_number() over () as id, {sql_words("text")} as words from documents),
 doc_shingles as (select doc_id, id, unnest(list_distinct({_sql_shingles("words")})) as shingle
                  from doc_words where len(words) >= 5),
 shared as (select doc_id, id, item_id, n, count(*) as n_shared

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from statelog.llm import windows
 from statelog.llm.common import as_bytes, stored, worker_cache
 from statelog.llm.components import components
+from statelog.llm.decontaminate import sql_words
 from statelog.llm.shingles import shingle_set, word_hashes
 
 SHINGLE = 4
@@ -299,3 +300,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     gone = stored(duplicates(docs.select("doc_id", "text")).where("not survivor").select("id"), "near-gone")
     return rows.join(gone, "id", "left_anti").select("row.*")
+
+
+SQL = f"""
+with recursive split as (select row_number() over () as id, doc_id, {sql_words("coalesce(text, '')")} as words from documents),
+sets as (select id, doc_id, case when len(words) = 0 then []
+  when len(words) < 4 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')))
+  end as shingles from split),
+each_shingle as (select id, len(shingles) as n, unnest(shingles) as shingle from sets),
+pairs as (select a.id as a, b.id as b from each_shingle a join each_shingle b
+  on a.shingle = b.shingle and a.id < b.id group by a.id, b.id, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reached as (select id, id as other from sets union select r.id, l.b from reached r join links l on r.other = l.a),
+lowest as (select r.id, min(s.doc_id) as component_id from reached r join sets s on s.id = r.other group by r.id)
+select doc_id, len(shingles) as n_shingles, component_id, doc_id = component_id as kept
+from sets join lowest using (id)
+"""

@@ -74,4 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_minhash_containment": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_hamming_join": near_dup.SQL,
+    "op8_minhash_containment": decontaminate.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
+}

@@ -528,3 +528,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = ready.select("rest").schema.add("text", "string")
     rests = ready.mapInArrow(_rests, schema)
     return rests.select(*(F.col("text") if c == "text" else F.col("rest").getField(c) for c in docs.columns)).toDF(*docs.columns)
+
+
+SQL = """
+with bytes as (select row_number() over () as id, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select id, unnest(range(0, len(h) // 2 - 199)) as p, h from bytes where len(h) >= 400),
+strings as (select id, p, md5_number(substr(h, 2 * p + 1, 400)) as s from starts),
+again as (select s from strings group by s having count(*) > 1),
+covered as (select id, p, lag(p) over (partition by id order by p) as before from strings semi join again using (s)),
+numbered as (select id, p, count(*) filter (where before is null or p > before + 200)
+  over (partition by id order by p) as run from covered),
+spans as (select id, min(p) as low, max(p) + 200 as high from numbered group by id, run),
+edges as (select id, low, high, lag(high, 1, 0) over (partition by id order by low) as after from spans),
+parts as (select id, string_agg(substr(h, 2 * after + 1, 2 * (low - after)), '' order by low) as head,
+  max(high) as last, sum(high - low) as n_removed, count(*) as n_spans
+  from edges join bytes using (id) group by id)
+select doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) as kept_sha256
+from bytes left join parts using (id)
+"""
