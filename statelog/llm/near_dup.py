@@ -11,8 +11,12 @@ Documents with the same set are one class. The members of a bucket are tested ag
 links are confirmed on the full sets, and components are formed. Members that are still apart are
 tested against a neighbour in a random order of each of their buckets, which joins what is left of
 a large group of near copies. Only then do members that are in different components meet pair by
-pair, each pair in the first bucket that both share and only within the signature distance. No pair
-is left out, and a group of near copies costs a few tests for each member, not one for each pair.
+pair. No pair is left out, and a group of near copies costs a few tests for each member, not one for
+each pair.
+
+Before texts are read, a map of 1024 bits of each set rules pairs out for certain: a shingle that
+only one set has changes one bit at most, so two maps never differ in more bits than the sets do in
+shingles.
 """
 
 from __future__ import annotations
@@ -40,6 +44,9 @@ POSITIONS = CHUNKS * WIDTH
 ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 
+#: Bits of the map of a set.
+BITS = 1024
+
 _RANDOM = np.random.default_rng(4_711)
 _FACTORS = _RANDOM.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64)
@@ -54,6 +61,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, several shingles a bit where they meet."""
+    found = np.zeros(BITS, bool)
+    found[(windows.mixed(shingles) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(found).view(np.int64)
+
+
 def _shingles(text: bytes | None) -> np.ndarray:
     powers = worker_cache("powers", windows.Powers)
     return shingle_set(word_hashes(text or b"", powers), SHINGLE)
@@ -62,18 +76,19 @@ def _shingles(text: bytes | None) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, two hashes and signature of each document's set."""
     for batch in batches:
-        sizes, one, two, signatures = [], [], [], []
+        sizes, one, two, signatures, maps = [], [], [], [], []
         for text in as_bytes(batch.column("text")):
             found = _shingles(text)
             sizes.append(len(found))
             one.append(int(np.bitwise_xor.reduce(windows.mixed(found))) if len(found) else 0)
             two.append(int(windows.mixed(found * _FACTORS[0]).sum()) if len(found) else 0)
             signatures.append(signature(found).view(np.int16) if len(found) else None)
+            maps.append(bit_map(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("doc_id"), pa.array(sizes, pa.int64()),
              pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-             pa.array(signatures, pa.list_(pa.int16()))],
-            names=["id", "doc_id", "size", "one", "two", "signature"])
+             pa.array(signatures, pa.list_(pa.int16())), pa.array(maps, pa.list_(pa.int64()))],
+            names=["id", "doc_id", "size", "one", "two", "signature", "bits"])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -163,28 +178,28 @@ class _Join:
     def __init__(self, docs: DataFrame) -> None:
         rows = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"id long, doc_id {kind}, size long, one long, two long, signature array<short>"
+        schema = f"id long, doc_id {kind}, size long, one long, two long, signature array<short>, bits array<long>"
         self.texts = rows.select("id", "text")
         self.rows = stored(rows.mapInArrow(_sketch, schema), "near-rows")
         ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
         self.classes = stored(
             self.rows.where("size > 0").groupBy("one", "two", "size").agg(
-                F.min("id").alias("rep"), F.min(ranked).alias("low"), F.first("signature").alias("signature")),
+                F.min("id").alias("rep"), F.min(ranked).alias("low"), F.first("signature").alias("signature"),
+                F.first("bits").alias("bits")),
             "near-classes")
 
-    def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs within the signature distance whose sizes allow a link."""
-        sides = self.classes.select("rep", "size", "signature")
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs within the signature distance that sizes and bit maps do not rule out."""
+        sides = self.classes.select("rep", "size", "signature", "bits")
         for side in ("a", "b"):
-            names = {c: f"{c}_{side}" for c in ("size", "signature")}
+            names = {c: f"{c}_{side}" for c in ("size", "signature", "bits")}
             pairs = pairs.join(sides.withColumnsRenamed({"rep": side} | names), side)
-        least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        fitting = pairs.where(100 * least >= SIMILAR * most).select("a", "b", "signature_a", "signature_b")
-        return fitting.mapInArrow(_near, "a long, b long")
+        fitting = pairs.where(_may_link("size_a", "size_b", "bits_a", "bits_b"))
+        return fitting.select("a", "b", "signature_a", "signature_b").mapInArrow(_near, "a long, b long")
 
     def links(self, pairs: DataFrame, purpose: str) -> DataFrame:
         """The pairs that the full sets confirm."""
-        pairs = stored(self._candidates(pairs.distinct()), f"{purpose}-pairs")
+        pairs = stored(pairs, f"{purpose}-pairs")
         needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         texts = stored(self.texts.mapInArrow(_packed, "rep long, text binary").join(needed, "rep", "left_semi"),
                        f"{purpose}-texts")
@@ -205,7 +220,7 @@ class _Join:
         order = Window.orderBy("bucket")
         across = edges.withColumn("next", F.lead("low").over(order)).where("high.key = next.key")
         between = across.select(F.col("high.center").alias("a"), F.col("next.center").alias("b"))
-        links = self.links(star.union(between), "near-star")
+        links = self.links(self._near(star.union(between).distinct()), "near-star")
         roots = stored(components(links), "near-roots")
         for step in (self._neighbours, self._apart):
             more = self.links(step(self._open(grouped, roots)), "near-more")
@@ -225,42 +240,33 @@ class _Join:
         ).where("least != most and members > 2").select("key")
         return stored(placed.join(mixed, "key", "left_semi"), "near-open")
 
-    @staticmethod
-    def _neighbours(members: DataFrame) -> DataFrame:
+    def _neighbours(self, members: DataFrame) -> DataFrame:
         """Each member with the one before it in a random order of its group, in half the groups."""
         order = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"))
         before = members.where("slot % 2 = 0").withColumns(
             {"other": F.lag("rep").over(order), "other_root": F.lag("root").over(order)})
-        return before.where("root != other_root").select(
+        pairs = before.where("root != other_root").select(
             F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+        return self._near(pairs.distinct())
 
     def _apart(self, members: DataFrame) -> DataFrame:
-        """Pairs of a group in different components, each where its signatures first meet.
-
-        A pair meets in the first chunk with one differing position at most, under the choice of
-        that position, or of the first one if none differs.
-        """
-        sides = members.join(self.classes.select("rep", "size", "signature"), "rep").drop("center")
-        other = sides.withColumnsRenamed({c: f"{c}2" for c in ("rep", "root", "size", "signature", "slot")})
-        differ = F.zip_with("signature", "signature2", lambda a, b: (a != b).cast("int"))
-        errors = lambda d, c: F.aggregate(
-            F.slice(d, c * WIDTH + 1, F.lit(WIDTH)), F.lit(0), lambda n, x: n + x)
-        chunk = F.floor(F.col("slot") / WIDTH).cast("int")
-        free = F.col("slot") % WIDTH
-
-        def first_meeting(d):
-            earlier = F.exists(
-                F.slice(F.array(*(F.lit(c) for c in range(CHUNKS))), F.lit(1), chunk), lambda c: errors(d, c) <= ERRORS)
-            here = F.slice(d, chunk * WIDTH + 1, F.lit(WIDTH))
-            return ~earlier & (F.greatest(F.array_position(here, 1) - 1, F.lit(0)) == free)
-
-        near = F.exists(
-            F.array(differ),
-            lambda d: (F.aggregate(d, F.lit(0), lambda n, x: n + x) <= DISTANCE) & first_meeting(d))
-        fits = 100 * F.least("size", "size2") >= SIMILAR * F.greatest("size", "size2")
+        """Pairs of a group in different components that sizes and bit maps do not rule out."""
+        sides = members.join(self.classes.select("rep", "size", "bits"), "rep").drop("center", "slot")
+        other = sides.withColumnsRenamed({c: f"{c}2" for c in ("rep", "root", "size", "bits")})
         return sides.join(other, "key").where(
-            (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2")) & fits & near
-        ).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2"))
+            & _may_link("size", "size2", "bits", "bits2")
+        ).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
+def _may_link(size: str, size2: str, bits: str, bits2: str):
+    """Whether the sizes, and the bits in which the maps differ, allow a similar pair."""
+    fits = 100 * F.least(size, size2) >= SIMILAR * F.greatest(size, size2)
+    differ = F.aggregate(
+        F.zip_with(bits, bits2, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    # intersection = (sizes - differing) / 2 and union = (sizes + differing) / 2
+    most = (100 - SIMILAR) * (F.col(size) + F.col(size2))
+    return fits & ((100 + SIMILAR) * differ <= most)
 
 
 def duplicates(docs: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def test_members_that_the_centre_does_not_reach(spark, monkeypatch):
     expected = sorted(brute(rows))
     assert 1 < len({r[2] for r in expected}) < 90
     assert sorted(tuple(r) for r in near_dup.near_duplicate_report(docs).collect()) == expected
-    monkeypatch.setattr(near_dup._Join, "_neighbours", staticmethod(
-        lambda members: members.select(near_dup.F.col("rep").alias("a"), near_dup.F.col("rep").alias("b")).limit(0)))
+    monkeypatch.setattr(near_dup._Join, "_neighbours", lambda self, members: members.select(
+        near_dup.F.col("rep").alias("a"), near_dup.F.col("rep").alias("b")).limit(0))
     assert sorted(tuple(r) for r in near_dup.near_duplicate_report(docs).collect()) == expected
 
 
@@ -98,6 +98,15 @@ def test_signature_distance_is_guaranteed():
         assert errors.min() <= near_dup.ERRORS
 
 
+def test_bit_maps_never_differ_more_than_sets():
+    pick = np.random.default_rng(3)
+    for size in (1, 30, 500, 5000):
+        one = pick.integers(0, 2**63, size, dtype=np.uint64)
+        two = np.concatenate((one[size // 5 :], pick.integers(0, 2**63, size // 7, dtype=np.uint64)))
+        bits = np.bitwise_count((near_dup.bit_map(one) ^ near_dup.bit_map(two)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(one, two))
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "other words here now"), (2, None)]
     docs = documents(spark, rows)
