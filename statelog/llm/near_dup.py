@@ -96,12 +96,12 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key for each chunk and each position of it that may differ."""
+    """A key for each chunk and each position of it that may differ, with what is held there."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             value = _signatures(part.column("signature"))
-            keys = []
+            keys, held = [], []
             for chunk in range(CHUNKS):
                 for free in range(WIDTH):
                     key = np.full(len(value), np.uint64(chunk * WIDTH + free))
@@ -109,11 +109,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if i != free:
                             key = windows.mixed(key * _FACTORS[1] + value[:, chunk * WIDTH + i])
                     keys.append(key)
+                    held.append(value[:, chunk * WIDTH + free].astype(np.int32))
             ids = part.column("rep").to_numpy()
             slots = np.repeat(np.arange(len(keys), dtype=np.int32), len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys))), pa.array(slots)],
-                names=["key", "rep", "slot"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys))), pa.array(slots),
+                 pa.array(np.concatenate(held))],
+                names=["key", "rep", "slot", "held"])
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +126,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     rows = pa.Table.from_batches(parts)
-    key, rep, slot = (rows.column(c).to_numpy() for c in ("key", "rep", "slot"))
+    key, rep, slot, held = (rows.column(c).to_numpy() for c in ("key", "rep", "slot", "held"))
     order = np.lexsort((rep, key))
-    key, rep, slot = key[order], rep[order], slot[order]
+    key, rep, slot, held = key[order], rep[order], slot[order], held[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.cumsum(new) - 1
     edge = (group == 0) | (group == group[-1])
@@ -134,7 +136,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     center = rep[np.flatnonzero(new)][group]
     count = int(keep.sum())
     table = pa.table({
-        "key": key[keep], "rep": rep[keep], "slot": slot[keep], "center": center[keep], "edge": edge[keep],
+        "key": key[keep], "rep": rep[keep], "slot": slot[keep], "held": held[keep], "center": center[keep], "edge": edge[keep],
         "bucket": np.full(count, TaskContext.get().partitionId(), np.int32)})
     yield from table.to_batches(max_chunksize=50_000)
 
@@ -209,10 +211,10 @@ class _Join:
 
     def components(self) -> DataFrame:
         """(node, root) of the classes that have links."""
-        keys = self.classes.mapInArrow(_keys, "key long, rep long, slot int")
+        keys = self.classes.mapInArrow(_keys, "key long, rep long, slot int, held int")
         grouped = stored(
             keys.repartitionByRange("key", "rep").mapInArrow(
-                _bucket, "key long, rep long, slot int, center long, edge boolean, bucket int"), "near-groups")
+                _bucket, "key long, rep long, slot int, held int, center long, edge boolean, bucket int"), "near-groups")
         star = grouped.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
         # A group that spans buckets has a centre in each; they are tested too.
         edges = grouped.where("edge").groupBy("bucket").agg(
@@ -234,7 +236,7 @@ class _Join:
         """The members of groups of three or more that are in several components. Groups of two have
         been tested, but where they span buckets they are no group of two."""
         placed = grouped.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "slot", "center", F.coalesce("root", "rep").alias("root"))
+            "key", "rep", "slot", "held", "center", F.coalesce("root", "rep").alias("root"))
         mixed = placed.groupBy("key").agg(
             F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"),
         ).where("least != most and members > 2").select("key")
@@ -250,11 +252,16 @@ class _Join:
         return self._near(pairs.distinct())
 
     def _apart(self, members: DataFrame) -> DataFrame:
-        """Pairs of a group in different components that sizes and bit maps do not rule out."""
-        sides = members.join(self.classes.select("rep", "size", "bits"), "rep").drop("center", "slot")
-        other = sides.withColumnsRenamed({c: f"{c}2" for c in ("rep", "root", "size", "bits")})
+        """Pairs of a group in different components that sizes and bit maps do not rule out.
+
+        Equal chunks meet under the choice of any position; only the first one counts then.
+        """
+        sides = members.join(self.classes.select("rep", "size", "bits"), "rep").drop("center")
+        other = sides.drop("slot").withColumnsRenamed(
+            {c: f"{c}2" for c in ("rep", "root", "size", "bits", "held")})
         return sides.join(other, "key").where(
             (F.col("rep") < F.col("rep2")) & (F.col("root") != F.col("root2"))
+            & ((F.col("slot") % WIDTH == 0) | (F.col("held") != F.col("held2")))
             & _may_link("size", "size2", "bits", "bits2")
         ).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
