@@ -1,8 +1,9 @@
 """Main text of web pages, without what a site repeats.
 
 Every page is read into elements. The subtrees of block elements are hashed and counted for each
-host in Spark; a subtree that recurs on many pages of its host is part of the site's template and
-is deleted. What is left of an ``article`` or ``main`` element is the main text; without one, it is
+host in Spark; a subtree that recurs on many different pages of its host is part of the site's
+template and is deleted. Pages of the same main text are copies and count once, so a page's own text
+is no template however often its host serves the page. What is left of an ``article`` or ``main`` element is the main text; without one, it is
 what is left of the page. Inside an article, paragraphs and headings are content even where they
 recur; containers are not. Elements that say what they are, such as ``nav`` or ``class="ad"``, go
 on any page, also on hosts with few pages.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from statelog.llm.common import stored
 
-#: A template subtree is on so many pages of its host, and on this share of them.
+#: A template subtree is on so many different pages of its host, and on this share of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.01
 
@@ -185,6 +186,10 @@ class Page:
             number = xxhash.xxh3_64_intdigest(f"{element.tag}\x1e{text}")
             self.subtrees.append((number - 2**63, element.first, len(self.pieces)))
 
+    def digest(self) -> int:
+        """A hash of the main text with all that recurs in it: copies of a page have the same."""
+        return xxhash.xxh3_64_intdigest(self._kept([False] * len(self.pieces))) - 2**63
+
     def text(self, templates: frozenset[int] | set[int]) -> str:
         """The main text without the subtrees of the host's template.
 
@@ -214,18 +219,22 @@ def host_of(url: str | None) -> str:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, host, subtree): the distinct subtrees of each page, and 0 for the page itself."""
+    """(id, host, subtree, page): the distinct subtrees of each page, and 0 for the page itself, with
+    the digest of the page."""
     for batch in batches:
-        pages, hosts, trees = [], [], []
+        pages, hosts, trees, digests = [], [], [], []
         ids = batch.column("id").to_pylist()
         for number, url, source in zip(ids, batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            found = {s[0] for s in Page(source).subtrees} if source else set()
+            page = Page(source or "")
+            found = {s[0] for s in page.subtrees}
             found.add(0)
             pages.extend([number] * len(found))
             hosts.extend([xxhash.xxh3_64_intdigest(host_of(url)) - 2**63] * len(found))
             trees.extend(found)
+            digests.extend([page.digest()] * len(found))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (pages, hosts, trees)], names=["id", "host", "subtree"])
+            [pa.array(x, pa.int64()) for x in (pages, hosts, trees, digests)],
+            names=["id", "host", "subtree", "page"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +259,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates_of(subtrees: DataFrame) -> DataFrame:
-    """(host, subtree) of the subtrees that recur on many pages of their host."""
-    counts = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+    """(host, subtree) of the subtrees that recur on many different pages of their host."""
+    # Copies meet by page, before the shuffle where they can, so no task gets a host.
+    different = subtrees.select("host", "subtree", "page").distinct()
+    counts = different.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     hosts = counts.where("subtree = 0").select("host", F.col("pages").alias("all_pages"))
     often = counts.where((F.col("subtree") != 0) & (F.col("pages") >= LEAST_PAGES))
     return often.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages")).select("host", "subtree")
@@ -262,13 +273,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     A NULL html gives an empty text, a NULL url counts as a host of its own. Character references
     are decoded, white space inside a block is one space, blocks are joined by one space. Repeated
-    rows count as pages each. An empty table gives no rows; other columns are ignored. Rows are
+    rows have a text each and count as one page. An empty table gives no rows; other columns are ignored. Rows are
     numbered as they are read: ``pages`` must give the same rows in the same order whenever it is
     read, as a table in files does.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("id"), "page_id", "url", "html")
     subtrees = stored(
-        rows.select("id", "url", "html").mapInArrow(_subtrees, "id long, host long, subtree long"), "html-subtrees")
+        rows.select("id", "url", "html").mapInArrow(
+            _subtrees, "id long, host long, subtree long, page long"), "html-subtrees")
     templates = stored(templates_of(subtrees), "html-templates")
     # The template's side may split no host's pages; a host with a third of all pages is split by
     # the join instead, since its pages meet rows, not one list.

@@ -66,6 +66,18 @@ def test_what_a_host_repeats_goes(spark):
     assert site_templates.main_texts(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    story = "<h1>T</h1><div><p>whole body</p></div><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table>"
+    rows = [page("a.com", i, f"<div>menu {i}</div><article>{story}</article>") for i in range(20)]
+    rows += [page("b.com", 100 + i, f"<h1>T</h1><div><p>plain body</p></div><p>end {i // 10}</p>") for i in range(20)]
+    rows += [page("c.com", 200 + i, f"<article><p>n{i}</p><div>read also</div></article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string").repartition(4, "page_id")
+    texts = {r.page_id: r.text for r in site_templates.main_texts(pages).collect()}
+    assert all(texts[i] == "T whole body one two a b" for i in range(20))
+    assert all(texts[100 + i] == f"T plain body end {i // 10}" for i in range(20))
+    assert all(texts[200 + i] == f"n{i}" for i in range(5))
+
+
 def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in site_templates.main_texts(pages).collect()}
