@@ -1,11 +1,12 @@
 """Main text of web pages, without what a site repeats.
 
 Every page is read into elements. The subtrees of block elements are hashed and counted for each
-host in Spark; a subtree that recurs on many different pages of its host is part of the site's
-template and is deleted. Pages of the same main text are copies and count once, so a page's own text
+host in Spark; a subtree that recurs on many different pages of its host, or of a section of it, is
+part of the site's template and is deleted. Pages of the same main text are copies and count once, so a page's own text
 is no template however often its host serves the page. What is left of an ``article`` or ``main`` element is the main text; without one, it is
-what is left of the page. Inside an article, paragraphs and headings are content even where they
-recur; containers are not. Elements that say what they are, such as ``nav`` or ``class="ad"``, go
+what is left of the page. Inside an article, a paragraph, heading, list item or table row is a
+template only if it is on half of the host's different pages, such as a notice on each, and goes where
+most of the article stays; a line that some articles share is content. Elements that say what they are, such as ``nav`` or ``class="ad"``, go
 on any page, also on hosts with few pages.
 """
 
@@ -27,6 +28,9 @@ from statelog.llm.common import stored
 #: A template subtree is on so many different pages of its host, and on this share of them.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.01
+#: Prose of articles is a template on this share of the host's different pages; on a page it goes if
+#: the article keeps as much of its text at least.
+PROSE_SHARE = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -35,8 +39,10 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span "
     "strike strong sub sup time tt u var label".split())
 _CONTENT = frozenset("article main".split())
-#: Text of an article, whether it recurs or not.
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr figcaption article main body html".split())
+#: Text of an article.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li tr figcaption".split())
+#: Values, which repeat by chance; a table's cells are judged with their row.
+_VALUES = frozenset("dd dt td th".split())
 _DROPPED = frozenset("nav footer aside form head button dialog menu fieldset".split())
 #: Part of a page's frame, but the head of an article inside one.
 _FRAME = frozenset(["header"])
@@ -102,8 +108,8 @@ class Page:
     def __init__(self, source: str) -> None:
         #: (text or None for the border of a block, dropped by name, inside an article)
         self.pieces: list[tuple[str | None, bool, bool]] = []
-        #: (hash, first piece, piece after the last, may be template)
-        self.subtrees: list[tuple[int, int, int]] = []
+        #: (hash, first piece, piece after the last, prose of an article)
+        self.subtrees: list[tuple[int, int, int, bool]] = []
         self.has_content = False
         self._open: list[Element] = [Element("", 0, False, False, False)]
         at = 0
@@ -177,14 +183,15 @@ class Page:
         if element.tag in _INLINE:
             return
         self._border()
-        if element.inside and element.tag in _PROSE:
+        if element.tag in ("html", "body") or element.tag in _CONTENT and element.inside:
             return
-        if element.tag in ("html", "body") or element.content:
+        if element.inside and element.tag in _VALUES:
             return
+        prose = element.inside and element.tag in _PROSE
         text = "\x1f".join(t for t, _, _ in self.pieces[element.first :] if t and not t.isspace())
         if text:
-            number = xxhash.xxh3_64_intdigest(f"{element.tag}\x1e{text}")
-            self.subtrees.append((number - 2**63, element.first, len(self.pieces)))
+            number = xxhash.xxh3_64_intdigest(f"{'article ' if prose else ''}{element.tag}\x1e{text}")
+            self.subtrees.append((number - 2**63, element.first, len(self.pieces), prose))
 
     def digest(self) -> int:
         """A hash of the main text with all that recurs in it: copies of a page have the same."""
@@ -197,9 +204,16 @@ class Page:
         what only the counts would delete.
         """
         gone = [False] * (len(self.pieces) + 1)
-        for number, first, last in self.subtrees if templates else ():
-            if number in templates:
+        for number, first, last, prose in self.subtrees if templates else ():
+            if number in templates and not prose:
                 gone[first:last] = [True] * (last - first)
+        less = gone.copy()
+        for number, first, last, prose in self.subtrees if templates else ():
+            if number in templates and prose:
+                less[first:last] = [True] * (last - first)
+        # An article of which little else would stay is a copy, not a story with notices.
+        if less != gone and len(self._kept(less)) >= PROSE_SHARE * len(self._kept(gone)):
+            gone = less
         return self._kept(gone) or (self._kept([False] * len(gone)) if templates else "")
 
     def _kept(self, gone: list[bool]) -> str:
@@ -218,23 +232,31 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def section_of(url: str | None) -> str:
+    """The first folder of a URL's path; empty if there is none."""
+    found = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*/([^/?#]+)/", url or "")
+    return found[1] if found else ""
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, host, subtree, page): the distinct subtrees of each page, and 0 for the page itself, with
-    the digest of the page."""
+    """(id, host, section, subtree, prose, page): the distinct subtrees of each page, and 0 for the
+    page itself, with the digest of the page."""
     for batch in batches:
-        pages, hosts, trees, digests = [], [], [], []
+        pages, hosts, sections, trees, prose, digests = [], [], [], [], [], []
         ids = batch.column("id").to_pylist()
         for number, url, source in zip(ids, batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page = Page(source or "")
-            found = {s[0] for s in page.subtrees}
-            found.add(0)
+            found = {s[0]: s[3] for s in page.subtrees}
+            found[0] = False
             pages.extend([number] * len(found))
             hosts.extend([xxhash.xxh3_64_intdigest(host_of(url)) - 2**63] * len(found))
+            sections.extend([xxhash.xxh3_64_intdigest(section_of(url)) - 2**63] * len(found))
             trees.extend(found)
+            prose.extend(found.values())
             digests.extend([page.digest()] * len(found))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (pages, hosts, trees, digests)],
-            names=["id", "host", "subtree", "page"])
+            [*(pa.array(x, pa.int64()) for x in (pages, hosts, sections, trees, digests)), pa.array(prose, pa.bool_())],
+            names=["id", "host", "section", "subtree", "page", "prose"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +281,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates_of(subtrees: DataFrame) -> DataFrame:
-    """(host, subtree) of the subtrees that recur on many different pages of their host."""
+    """(host, subtree) of the subtrees that recur on many different pages of their host or section.
+
+    A page that is in several sections counts in the first of them.
+    """
     # Copies meet by page, before the shuffle where they can, so no task gets a host.
-    different = subtrees.select("host", "subtree", "page").distinct()
-    counts = different.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    hosts = counts.where("subtree = 0").select("host", F.col("pages").alias("all_pages"))
-    often = counts.where((F.col("subtree") != 0) & (F.col("pages") >= LEAST_PAGES))
-    return often.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages")).select("host", "subtree")
+    tree = ["host", "subtree", "prose"]
+    different = subtrees.groupBy(*tree, "page").agg(F.min("section").alias("section"))
+    by_section = different.groupBy(*tree, "section").agg(F.count("*").alias("pages"))
+    by_host = by_section.groupBy(*tree).agg(F.sum("pages").alias("pages"))
+    share = F.when(F.col("prose"), PROSE_SHARE).otherwise(LEAST_SHARE)
+
+    def often(counts: DataFrame, of: list[str]) -> DataFrame:
+        every = counts.where("subtree = 0").select(*of, F.col("pages").alias("all_pages"))
+        many = counts.where((F.col("subtree") != 0) & (F.col("pages") >= LEAST_PAGES))
+        return many.join(every, of).where(F.col("pages") >= share * F.col("all_pages")).select("host", "subtree")
+
+    # A line of a language is on many pages of that language's section, so prose is judged by host.
+    sections = often(by_section.where("not prose"), ["host", "section"])
+    return often(by_host, ["host"]).union(sections).distinct()
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -280,7 +314,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.monotonically_increasing_id().alias("id"), "page_id", "url", "html")
     subtrees = stored(
         rows.select("id", "url", "html").mapInArrow(
-            _subtrees, "id long, host long, subtree long, page long"), "html-subtrees")
+            _subtrees, "id long, host long, section long, subtree long, page long, prose boolean"), "html-subtrees")
     templates = stored(templates_of(subtrees), "html-templates")
     # The template's side may split no host's pages; a host with a third of all pages is split by
     # the join instead, since its pages meet rows, not one list.

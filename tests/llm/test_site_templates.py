@@ -78,6 +78,22 @@ def test_copies_of_a_page_are_one_page(spark):
     assert all(texts[200 + i] == f"n{i}" for i in range(5))
 
 
+def test_notices_in_articles_and_templates_of_sections(spark):
+    story = lambda i: f"<p>the story of page {i} has some words more than a notice</p>"
+    notice = "<p>Get our letter</p><ul><li>each day</li></ul><table><tr><td>free</td></tr></table>"
+    rows = [page("a.com", i, f"<article>{story(i)}{notice}<p>{'often' if i % 3 else i}</p></article>") for i in range(18)]
+    rows += [page("a.com", 50 + i, f"<article>{story(i)}{'<p>some say</p>' if i < 26 else ''}</article>") for i in range(18, 36)]
+    rows += [page("b.com", 1000 + i, f"<p>page {i}</p>") for i in range(992)]
+    rows += [(2000 + i, f"https://b.com/sport/{i}", f"<div>games</div><p>match {i}</p>", "") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string").repartition(4, "page_id")
+    texts = {r.page_id: r.text for r in site_templates.main_texts(pages).collect()}
+    said = lambda i: f"the story of page {i} has some words more than a notice"
+    # The notice is on half of the host's pages; a line on fewer of them is content.
+    assert all(texts[i] == f"{said(i)} {'often' if i % 3 else i}" for i in range(18))
+    assert all(texts[50 + i] == said(i) + ' some say' * (i < 26) for i in range(18, 36))
+    assert all(texts[2000 + i] == f"match {i}" for i in range(8)) and texts[1003] == "page 3"
+
+
 def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in site_templates.main_texts(pages).collect()}
