@@ -2,12 +2,14 @@
 
 Documents are read once, as blocks of word numbers with the words of the block. Counts of words are
 summed over all blocks. The most frequent words, ``TOP`` at most, are classes of their own; all others fall
-into ``ENDINGS`` classes by their last bytes, and unseen words are one class. The probability of a
-word is that of its class in the state times its smoothed share of the class, so the model sums to
-one over the words and the unseen one, and its size does not grow with the corpus.
+into ``ENDINGS`` classes by their last bytes, and unseen words are one class. Rounds learn the classes;
+a last one gathers the expected count of every word of an ending class in each state, as a table that
+grows with the corpus. The probability of a word is that of its class in the state times its share of
+the class in the state, smoothed by its share in all states, so the model sums to one over the words
+and the unseen one.
 
 Each round, every block gives expected counts of its transitions and emissions; they are summed in
-two steps across partitions, and only the sums, of the size of the model, reach the driver. For
+two steps across partitions, and only the sums, by class, reach the driver. For
 training, documents are cut into runs of ``SEGMENT`` tokens; a run inside a document starts from the
 mean state. Scores are exact: the scaled forward recursion runs over whole documents.
 """
@@ -36,6 +38,8 @@ BLOCK_TOKENS = 2_000_000
 SMOOTH = 0.1
 #: Weight of the unigram shares in the emissions of a state.
 PRIOR = 200.0
+#: Weight of a word's share of its class in the emissions of the word by a state.
+WORD_PRIOR = 5.0
 
 #: The end of a document among word hashes.
 END = np.uint64(0x5EED0FE4D)
@@ -130,10 +134,15 @@ def _read(doc_type: pa.DataType):
 def _gather(table: pa.Table) -> pa.Table:
     """One row of a block's words: their counts and classes, by place."""
     place = table.column("place").to_numpy()
-    count, kind = np.empty(len(place), np.int64), np.empty(len(place), np.uint16)
+    count, kind, word = np.empty(len(place), np.int64), np.empty(len(place), np.uint16), np.empty(len(place), np.int64)
     count[place], kind[place] = table.column("total").to_numpy(), table.column("kind").to_numpy()
+    word[place] = table.column("word").to_numpy()
     return pa.table({"block": table.column("block")[:1], "counts": pa.array([_squeezed(count)], pa.binary()),
-                     "kinds": pa.array([_squeezed(kind)], pa.binary())})
+                     "kinds": pa.array([_squeezed(kind)], pa.binary()), "words": pa.array([_squeezed(word)], pa.binary())})
+
+
+def _by_ending(kind: np.ndarray) -> np.ndarray:
+    return (kind > 0) & (kind <= ENDINGS)
 
 
 class Unigrams:
@@ -147,26 +156,22 @@ class Unigrams:
 
 
 def _classified(unigrams: Unigrams):
-    """Blocks as sequences of classes, with what each document's words add to its scores."""
+    """Blocks with the base score of each document and its number of known words."""
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, base, within, sequences = [], [], [], []
+            known, base = [], []
             for i in range(batch.num_rows):
                 token = _expanded(batch.column("tokens")[i].as_py(), "<u4")
                 count = _expanded(batch.column("counts")[i].as_py(), "<i8")
-                kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
                 starts = np.cumsum(lengths) - lengths
                 share = np.log10((count + SMOOTH) / unigrams.total)
-                inside = np.where(kind == 0, 0.0, np.log10((count + SMOOTH) / np.maximum(unigrams.mass[kind], 1e-300)))
                 known.append(np.add.reduceat((count > 0)[token].astype(np.int64), starts))
                 base.append(np.add.reduceat(share[token], starts))
-                within.append(np.add.reduceat(inside[token], starts))
-                sequences.append(_squeezed(kind[token]))
-            columns = {c: batch.column(c) for c in ("block", "doc_ids", "held_out", "lengths")}
-            columns |= {"known": pa.array(known, pa.list_(pa.int64())), "base": pa.array(base, pa.list_(pa.float64())),
-                        "within": pa.array(within, pa.list_(pa.float64())), "classes": pa.array(sequences, pa.binary())}
+            columns = {c: batch.column(c) for c in (
+                "block", "doc_ids", "held_out", "lengths", "tokens", "counts", "kinds", "words")}
+            columns |= {"known": pa.array(known, pa.list_(pa.int64())), "base": pa.array(base, pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return classify
@@ -303,7 +308,8 @@ def _counted(model: Model):
             for i in range(batch.num_rows):
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
                 trained = np.array(batch.column("trained")[i].as_py(), bool)
-                tokens = _expanded(batch.column("classes")[i].as_py(), "<u2")
+                tokens = _expanded(batch.column("kinds")[i].as_py(), "<u2")[
+                    _expanded(batch.column("tokens")[i].as_py(), "<u4")]
                 begin, size, opening = _segments(lengths)
                 mine = np.repeat(trained, -(-lengths // SEGMENT))
                 if mine.any():
@@ -333,7 +339,7 @@ def _trained(sequences: DataFrame, share: np.ndarray, rounds: int) -> Model:
     shape = "chunk int, salt int, sums binary"
     kinds = len(share)
     for _ in range(rounds):
-        parts = sequences.select("lengths", "trained", "classes").mapInArrow(_counted(model), shape)
+        parts = sequences.select("lengths", "trained", "tokens", "kinds").mapInArrow(_counted(model), shape)
         # Two steps, so that no task holds the counts of all partitions.
         near = parts.withColumn("salt", F.col("salt") % 16).groupBy("chunk", "salt").applyInArrow(_summed, shape)
         rows = near.groupBy("chunk").applyInArrow(_summed, shape).collect()
@@ -347,14 +353,100 @@ def _trained(sequences: DataFrame, share: np.ndarray, rounds: int) -> Model:
     return model
 
 
-def _scored(model: Model, doc_type: pa.DataType, tokens: int):
+_BY_STATE = [f"s{i}" for i in range(STATES)]
+
+
+def _by_place(model: Model, batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """Expected counts by state of the words of a block in its training documents."""
+    lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
+    trained = np.array(batch.column("trained")[i].as_py(), bool)
+    kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
+    begin, size, opening = _segments(lengths)
+    mine = np.repeat(trained, -(-lengths // SEGMENT))
+    if not mine.any():
+        return np.zeros((len(kind), STATES), np.float32)
+    token = _expanded(batch.column("tokens")[i].as_py(), "<u4")
+    local = Model(model.start, model.mean, model.move, model.emit[kind])
+    return expected(local, token, begin[mine], size[mine], opening[mine])[3].astype(np.float32)
+
+
+def _by_word(model: Model):
+    """Expected counts by state in each block: of every word of an ending class that other blocks
+    hold as well, and, without a word, of its classes of endings."""
+
+    def rows(block: int, place, word, kind, sums) -> pa.RecordBatch:
+        size = len(kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, block, np.int64)), pa.array(place.astype(np.int32)) if word is not None else pa.nulls(size, pa.int32()),
+             pa.array(word) if word is not None else pa.nulls(size, pa.int64()), pa.array(kind.astype(np.int32)),
+             *(pa.array(sums[:, s].astype(np.float32)) for s in range(STATES))],
+            names=["block", "place", "word", "kind", *_BY_STATE])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
+                word = _expanded(batch.column("words")[i].as_py(), "<i8")
+                sums, block = _by_place(model, batch, i), batch.column("block")[i].as_py()
+                tail = np.flatnonzero(_by_ending(kind))
+                classes = np.stack([np.bincount(kind[tail], sums[tail, s], 1 + ENDINGS) for s in range(STATES)], 1)
+                found = np.flatnonzero(classes.any(1))
+                yield rows(block, None, None, found, classes[found])
+                place = np.flatnonzero(word)
+                for at in range(0, len(place), 50_000):
+                    part = place[at : at + 50_000]
+                    yield rows(block, part, word[part], kind[part], sums[part])
+
+    return count
+
+
+def _gather_states(table: pa.Table) -> pa.Table:
+    """One row of a block's expected counts by word, in the order of places, and state."""
+    order = np.argsort(table.column("place").to_numpy())
+    sums = np.stack([table.column(s).to_numpy() for s in _BY_STATE], 1)[order]
+    return pa.table({"block": table.column("block")[:1], "states": pa.array([_squeezed(sums)], pa.binary())})
+
+
+def _word_counts(sequences: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
+    """The expected counts over all training documents, by state, of each block's words that others
+    hold as well, and the sums by class."""
+    shape = "block long, place int, word long, kind int, " + ", ".join(f"{s} float" for s in _BY_STATE)
+    rows = stored(sequences.select("block", "lengths", "trained", "tokens", "kinds", "words").mapInArrow(
+        _by_word(model), shape), "hmm-states")
+    sums = np.zeros((_WORD_CLASSES, STATES))
+    for row in rows.where("word is null").groupBy("kind").agg(*(F.sum(s).alias(s) for s in _BY_STATE)).collect():
+        sums[row.kind] = [row[s] for s in _BY_STATE]
+    # A block lists a word once, so no word has more rows than there are blocks.
+    by_word = Window.partitionBy("word")
+    totals = rows.where("word is not null").select("block", "place", *(F.sum(s).over(by_word).cast("float").alias(s) for s in _BY_STATE))
+    return totals.groupBy("block").applyInArrow(_gather_states, "block long, states binary"), sums
+
+
+def word_emissions(model: Model, unigrams: Unigrams, sums, kind, count, states) -> np.ndarray:
+    """Emissions of words by state: the class's, times the word's share of it in the state."""
+    emit = model.emit[kind].copy()
+    tail = _by_ending(kind)
+    share = (count[tail] + SMOOTH) / np.maximum(unigrams.mass[kind[tail]], 1e-300)
+    emit[tail] *= (states + WORD_PRIOR * share[:, None]) / (sums[kind[tail]] + WORD_PRIOR)
+    return emit
+
+
+def _scored(model: Model, unigrams: Unigrams, sums: np.ndarray, doc_type: pa.DataType, tokens: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
-                classes = _expanded(batch.column("classes")[i].as_py(), "<u2")
-                found = log_likelihood(model, classes, np.cumsum(lengths) - lengths, lengths)
-                found += np.array(batch.column("within")[i].as_py())
+                token = _expanded(batch.column("tokens")[i].as_py(), "<u4")
+                kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
+                count = _expanded(batch.column("counts")[i].as_py(), "<i8")
+                states, packed = _by_place(model, batch, i), batch.column("states")[i].as_py()
+                if packed:
+                    shared = _expanded(batch.column("words")[i].as_py(), "<i8") != 0
+                    states[shared] = _expanded(packed, "<f4").reshape(-1, STATES)
+                states = states[_by_ending(kind)]
+                emit = word_emissions(model, unigrams, sums, kind, count, states)
+                found = log_likelihood(
+                    Model(model.start, model.mean, model.move, emit), token, np.cumsum(lengths) - lengths, lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(batch.column("doc_ids")[i].as_py(), doc_type),
                      pa.array(batch.column("held_out")[i].as_py(), pa.bool_()), pa.array(lengths),
@@ -388,6 +480,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     by_word = Window.partitionBy("word")
     totals = read.where("part = 1").select(
         "block", "place", "ending", "word", F.sum("used").over(by_word).alias("total"),
+        (F.count("*").over(by_word) > 1).alias("shared"),
         (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
     totals = stored(totals, "hmm-words")
     types = totals.where("first and total > 0")
@@ -404,7 +497,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     order = Window.orderBy("word")
     top = F.broadcast(stored(top, "hmm-top").withColumn("rank", F.row_number().over(order)))
     classed = totals.join(top, "word", "left").select(
-        "block", "place", "total", "first",
+        "block", "place", "word", "total", "first", "shared",
         F.when(F.col("total") == 0, 0)
         .otherwise(F.coalesce(F.col("rank") + ENDINGS, F.col("ending") + 1)).cast("int").alias("kind"))
     mass = np.zeros(_WORD_CLASSES)
@@ -413,18 +506,22 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         mass[row.kind] = row.mass
     mass[0] = SMOOTH
     unigrams = Unigrams(tokens, distinct, mass)
-    words = classed.select("block", "place", "total", "kind").groupBy("block").applyInArrow(
-        _gather, "block long, counts binary, kinds binary")
+    # Words of ending classes that other blocks hold as well are looked for by name; 0 stands for the others.
+    words = classed.select(
+        "block", "place", F.when(F.col("shared") & F.col("kind").between(1, ENDINGS), F.col("word")).otherwise(0).alias("word"),
+        "total", "kind").groupBy("block").applyInArrow(
+        _gather, "block long, counts binary, kinds binary, words binary")
     sequences = blocks.join(words, "block").mapInArrow(
         _classified(unigrams),
         f"block long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<long>, "
-        "known array<long>, base array<double>, within array<double>, classes binary")
+        "tokens binary, counts binary, kinds binary, words binary, known array<long>, base array<double>")
     sequences = stored(sequences, "hmm-sequences")
     learnt = sequences.withColumn("trained", F.transform(
         F.arrays_zip("doc_ids", "held_out"),
         lambda d: d["doc_ids"].isNotNull() & ~d["held_out"]))
     model = _trained(learnt, unigrams.share, rounds)
-    return sequences.mapInArrow(
-        _scored(model, doc_type, int(tokens)),
+    states, sums = _word_counts(learnt, model)
+    return learnt.join(states, "block", "left").mapInArrow(
+        _scored(model, unigrams, sums, doc_type, int(tokens)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")

@@ -103,6 +103,36 @@ def test_the_model_sums_to_one(spark):
     assert math.isclose((10 ** hmm.log_likelihood(model, tokens, starts, lengths)).sum(), 1)
 
 
+def test_rare_words_tell_the_state(spark, monkeypatch):
+    """Words of one ending class, which only their own counts by state tell apart."""
+    monkeypatch.setattr(hmm, "TOP", 4)
+    monkeypatch.setattr(hmm, "_WORD_CLASSES", 1 + hmm.ENDINGS + 4)
+    pick, rows = np.random.default_rng(3), []
+    for i in range(300):
+        side = "ab"[i % 2]
+        rows.append((i, " ".join(f"the{side}" if pick.random() < 0.4 else f"{side}{pick.integers(40)}xyz" for _ in range(60))))
+    mixed = " ".join(f"{'ab'[j % 2]}{j % 40}xyz" for j in range(60))
+    pure = " ".join(f"a{j % 20 * 2}xyz" for j in range(60))
+    rows += [(10_000, mixed), (10_001, pure)]
+    found = {r.doc_id: r for r in hmm.score_texts(documents(spark, rows)).collect()}
+    # Words of one kind of document follow each other more likely than words of both.
+    gain = {i: found[i].score - found[i].base_score for i in (10_000, 10_001)}
+    assert gain[10_001] > gain[10_000] + 5
+
+
+def test_word_emissions_sum_to_their_class():
+    pick = np.random.default_rng(1)
+    kind, count = np.array([0, 1, 1, 1, 2, hmm.ENDINGS + 1], np.uint16), np.array([0, 3, 5, 1, 4, 9])
+    share = np.ones(hmm.ENDINGS + 2) / (hmm.ENDINGS + 2)
+    model, mass = hmm.Model.first(share), np.bincount(kind, count + hmm.SMOOTH, hmm.ENDINGS + 2)
+    states = pick.random((4, hmm.STATES))
+    sums = np.zeros((hmm.ENDINGS + 2, hmm.STATES))
+    np.add.at(sums, kind[1:5], states)
+    emit = hmm.word_emissions(model, hmm.Unigrams(22, 5, mass), sums, kind, count, states)
+    np.testing.assert_allclose(emit[1:4].sum(0), model.emit[1])
+    np.testing.assert_allclose(emit[[0, 4, 5]], model.emit[[0, 2, hmm.ENDINGS + 1]])
+
+
 def test_odd_tables(spark):
     rows = hmm.score_texts(documents(spark, [(None, "a b"), (5, None), (5, None)]), 1).collect()
     assert sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in rows) == [(0, False, 3), (5, False, 1), (5, False, 1)]
