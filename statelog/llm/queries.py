@@ -12,6 +12,7 @@ from statelog.llm import (
     fertility,
     hmm,
     licences,
+    merkle,
     near_dup,
     packing,
     site_templates,
@@ -61,6 +62,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.without_line_ends(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_word_convolution": op2_word_convolution,
@@ -72,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_containment": op8_minhash_containment,
     "op9_hidden_markov_model": op9_hidden_markov_model,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_hamming_join": near_dup.SQL,
     "op8_minhash_containment": decontaminate.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
