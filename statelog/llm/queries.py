@@ -16,6 +16,7 @@ from statelog.llm import (
     near_dup,
     packing,
     site_templates,
+    spelling,
     suffix_dedup,
     toxicity,
 )
@@ -67,6 +68,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.without_line_ends(docs))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_word_convolution": op2_word_convolution,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hidden_markov_model": op9_hidden_markov_model,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minhash_containment": decontaminate.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
