@@ -11,6 +11,7 @@ from statelog.llm import (
     decontaminate,
     fertility,
     hmm,
+    lexical_packing,
     licences,
     merkle,
     near_dup,
@@ -68,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.without_line_ends(docs))
 
 
+def op12_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hidden_markov_model": op9_hidden_markov_model,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_packing": op12_lexical_packing,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
