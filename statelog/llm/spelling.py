@@ -4,9 +4,9 @@ Every letter is hashed to one of ``SYMBOLS`` symbols. A word that differs by one
 word that is the same or differs by one edit, so each reduced word's full one-edit neighbourhood is
 generated (deletions, replacements, insertions, and itself) and joined with the reduced vocabulary;
 the original strings confirm. With few symbols a neighbourhood is small whatever the alphabet, but
-many words share a reduced word. An edit leaves the half of a word on the other side as it is, so
-the joined key holds that half's original letters too: classes stay small and no class forms all of
-its pairs.
+many words share a reduced word. An edit lies in one of ``ZONES`` parts of a word and leaves the
+letters of the others as they are, so the joined key holds those letters too: classes stay small and
+no class forms all of its pairs.
 
 Counting goes over bytes in numpy, combines in each task and again by word in Spark. A task keeps a
 bounded table; the vocabulary is never on one machine.
@@ -29,6 +29,7 @@ from statelog.llm.common import as_bytes, batched, stored, worker_cache
 from statelog.llm.windows import PIECE, Powers, mixed
 
 SYMBOLS = 3
+ZONES = 5
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
 #: A form is at least so many times as frequent as the word.
@@ -143,7 +144,7 @@ def _batch(counts: dict[bytes, int]) -> pa.RecordBatch:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, sums = worker_cache("powers", Powers), worker_cache("checksums", _Checksums)
+    powers, sums = worker_cache("spelling: powers", Powers), worker_cache("spelling: checksums", _Checksums)
     counts: dict[bytes, int] = {}
     for batch in batched(batches, "text"):
         texts = [t or b"" for t in as_bytes(batch.column("text"))]
@@ -165,7 +166,6 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_PREFIX, _SUFFIX = np.uint64(0x51ED27), np.uint64(0x2545F5)
 
 
 def reduced(letters: np.ndarray) -> np.ndarray:
@@ -192,52 +192,47 @@ class _Words:
         np.cumsum(values * self.up[: self.length], axis=1, out=out[:, 1:])
         return out
 
-    def half(self, zone: np.uint64, shorter: int) -> np.ndarray:
-        """The original letters of the half that an edit in the other one leaves as it is.
+    def kept(self, zone: int, shorter: int) -> np.ndarray:
+        """The original letters that an edit in a part of the word leaves as they are.
 
-        ``shorter`` is the shorter length of a pair. A change at or behind place ``shorter // 2``
-        keeps as many first letters; one before it keeps the last ``shorter - shorter // 2 - 1``.
+        ``shorter`` is the shorter length of a pair; it says where the parts end for both words.
         """
-        middle = shorter // 2
-        if zone == _PREFIX:
-            kept = self.letters[:, middle]
-        else:
-            last = shorter - middle - 1
-            down = np.uint64(pow(int(_INVERSE), self.length - last, 2**64))
-            kept = (self.letters[:, -1] - self.letters[:, self.length - last]) * down
-        return mixed(kept * np.uint64(3) + zone + np.uint64(shorter))
-
-    def key(self, words: np.ndarray, zone: np.uint64, shorter: int, length: int) -> np.ndarray:
-        """Reduced words of ``length`` symbols, with their kept half, as one number."""
-        half = self.half(zone, shorter)
-        return mixed(mixed(words * np.uint64(5) + np.uint64(length)) ^ (half if words.ndim == 1 else half[:, None]))
+        head, tail = zone * shorter // ZONES, shorter - (zone + 1) * shorter // ZONES
+        down = np.uint64(pow(int(_INVERSE), self.length - tail, 2**64))
+        last = (self.letters[:, -1] - self.letters[:, self.length - tail]) * down
+        return mixed(mixed(self.letters[:, head]) + last * np.uint64(3) + np.uint64(ZONES * shorter + zone))
+
+    def key(self, words: np.ndarray, zone: int, shorter: int, length: int) -> np.ndarray:
+        """Reduced words of ``length`` symbols, with the letters kept, as one number."""
+        kept = self.kept(zone, shorter)
+        return mixed(mixed(words * np.uint64(5) + np.uint64(length)) ^ (kept if words.ndim == 1 else kept[:, None]))
 
     def published(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word numbers, keys) under which a word is found, by any partner's length."""
+        """(word numbers, keys) under which a word is found, by its partner's length."""
         everyone = np.arange(self.count)
         for shorter in (self.length - 1, self.length):
-            for zone in (_PREFIX, _SUFFIX):
+            for zone in range(ZONES):
                 yield everyone, self.key(self.whole, zone, shorter, self.length)
 
     def neighbourhood(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word numbers, keys) of the reduced words within one edit, each once a zone."""
         everyone = np.arange(self.count)
-        for zone in (_PREFIX, _SUFFIX):
+        for zone in range(ZONES):
             yield everyone, self.key(self.whole, zone, self.length, self.length)
             yield from self._replaced(zone)
             yield from self._deleted(zone)
             yield from self._inserted(zone)
 
-    def _places(self, zone: np.uint64, shorter: int, end: int) -> np.ndarray:
-        middle = shorter // 2
-        return np.arange(middle, end) if zone == _PREFIX else np.arange(middle)
+    def _places(self, zone: int, shorter: int, end: int) -> np.ndarray:
+        last = end if zone == ZONES - 1 else (zone + 1) * shorter // ZONES
+        return np.arange(zone * shorter // ZONES, last)
 
     def _rows(self, keys: np.ndarray, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Keys by word and place as rows; only those that no earlier place of the zone gave."""
         number = np.repeat(np.arange(self.count), keys.shape[1])
         if new is None:
             return number, keys.ravel()
-        new[:, 0] = True
+        new[:, :1] = True
         return number[new.ravel()], keys[new]
 
     def _replaced(self, zone):

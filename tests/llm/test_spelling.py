@@ -102,8 +102,8 @@ def test_full_neighbourhood_of_a_word():
     for i in range(6):
         every |= {(6, (*symbols[:i], s, *symbols[i:])) for s in range(1, k + 1)}
     per_zone = sum(len(keys) for _, keys in words.neighbourhood())
-    # The halves overlap where an edit within a run of symbols may lie in either of them.
-    assert len(every) <= per_zone <= len(every) + 1 + 2 * k + 1
+    # Zones overlap where an edit within a run of symbols may lie in either of two.
+    assert len(every) <= per_zone <= len(every) + (spelling.ZONES - 1) * (1 + 2 * k)
 
 
 @pytest.mark.parametrize("seed", [0, 1])
