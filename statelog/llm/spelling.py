@@ -19,14 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelog.llm import windows
 from statelog.llm.checksum_sql import crc32
 from statelog.llm.common import as_bytes, batched, stored, worker_cache
-from statelog.llm.windows import PIECE, Powers, mixed
+from statelog.llm.windows import Powers, mixed, segment_hashes
 
 SYMBOLS = 3
 ZONES = 5
@@ -88,30 +86,14 @@ def run_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A hash of each run, equal for equal bytes."""
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        base = starts[at]
-        stop = int(np.searchsorted(ends, base + PIECE, side="right"))
-        if stop == at:
-            # A run longer than a piece, wherever it stands.
-            out[at] = xxhash.xxh3_64_intdigest(data[base : ends[at]].tobytes())
-            at += 1
-            continue
-        sums = windows.prefix(data[base : ends[stop - 1]], powers)
-        out[at:stop] = windows.hashes(sums, starts[at:stop] - base, ends[at:stop] - base, powers)
-        at = stop
-    return out
-
-
 def _count(ids: list, texts: list[bytes], counts: dict[bytes, int], powers: Powers, sums: _Checksums) -> None:
     """Add the words of some texts to ``counts``, faults applied."""
     data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
     starts, ends = run_bounds(data)
     if not len(starts):
         return
-    _, first, which = np.unique(_hashes(data, starts, ends, powers), return_index=True, return_inverse=True)
+    _, first, which = np.unique(
+        segment_hashes(data, starts, ends, powers), return_index=True, return_inverse=True)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     lengths = (ends - starts).astype(np.int64)

@@ -9,6 +9,7 @@ where its bytes repeat as a whole.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WINDOW = 200
 GRAM = 32
@@ -58,6 +59,23 @@ def hashes(sums: np.ndarray, starts, ends, powers: Powers) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * powers.down[starts])
 
 
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of each segment of data of any length, equal for equal bytes; segments are in order."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        stop = int(np.searchsorted(ends, base + PIECE, side="right"))
+        if stop == at:
+            # A segment longer than a piece, wherever it stands.
+            out[at] = xxhash.xxh3_64_intdigest(data[base : ends[at]].tobytes())
+            at += 1
+            continue
+        sums = prefix(data[base : ends[stop - 1]], powers)
+        out[at:stop] = hashes(sums, starts[at:stop] - base, ends[at:stop] - base, powers)
+        at = stop
+    return out
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     reach = 1

@@ -74,8 +74,15 @@ def test_ids_of_both_libraries_on_the_given_texts(spark, own):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     tokens = lexical_packing.Tokens(
         public_tokenizers.path(lexical_packing.VOCABULARY), public_tokenizers.path(lexical_packing.RANKS))
-    for text, found in zip(texts, own.encode_batch(texts, add_special_tokens=False)):
-        assert tokens.ids(text).tolist() == found.ids + [1]
+    odd = ["", " ", "  ", "a ", "a  ", " a", "  a\n b", "x \u00a0 y", "x\u2003 y z", "\u3000 a", "a \u3000b", "é è  ö",
+           "it's we'll 'S a'b", "1 22  333 4a", "\t a\x1c b\x85 c", "日本 語 \U0001f600 x", "a" * 200_000, "b " * 90_000,
+           " <|endoftext|> x", "\n\n \n a", "- -- ---  ----", "\ufeff a \u200b b"]
+    texts = odd + texts[:400] + [t[1:] for t in texts[:50]]
+    got = tokens.ids([t.encode() for t in texts])
+    for text, ids, found in zip(texts, got, own.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == found.ids + [1], text[:80]
+    # Once more, with every piece known.
+    assert all((a == b).all() for a, b in zip(tokens.ids([t.encode() for t in texts]), got))
 
 
 def test_scores_by_the_formula():
@@ -105,15 +112,25 @@ def test_fill_takes_the_best_that_fit():
 
 def test_statistics_cover_all_documents(spark):
     rows = [(i, "alpha beta" if i % 3 else "gamma") for i in range(90)]
-    frame = documents(spark, rows)
     tokens = lexical_packing.Tokens(
         public_tokenizers.path(lexical_packing.VOCABULARY), public_tokenizers.path(lexical_packing.RANKS))
-    packed = [(i, lexical_packing._packed(tokens.ids(t))) for i, t in rows]
-    corpus = lexical_packing.statistics(spark.createDataFrame(packed, "doc_id long, ids binary").repartition(5))
-    assert corpus.documents == 90 and corpus.tokens == sum(len(tokens.ids(t)) for _, t in rows)
-    for term in set(tokens.ids("alpha beta")[:-1].tolist()):
+    paths = [public_tokenizers.path(p) for p in (lexical_packing.VOCABULARY, lexical_packing.RANKS)]
+    kind = "part int, doc_id long, ids binary, first int, second int, third int"
+    counted = documents(spark, rows).repartition(5).select("doc_id", "text").mapInArrow(
+        lambda batches: lexical_packing._tokenised(batches, *paths), kind)
+    corpus = lexical_packing.statistics(counted.where("part = 1").repartition(3))
+    ids = tokens.ids([t.encode() for _, t in rows])
+    assert corpus.documents == 90 and corpus.tokens == sum(map(len, ids))
+    for term in set(ids[1][:-1].tolist()):
         assert corpus.frequency[term] == 60
-    assert frame.count() == 90
+    assert corpus.frequency.sum() == sum(len(set(i[:-1].tolist())) for i in ids)
+
+
+def test_routes():
+    assert lexical_packing.route(np.array([], int), np.array([], int)).tolist() == [-1, -1, -1]
+    assert lexical_packing.route(np.array([10, 9000]), np.array([1, 1])).tolist() == [9000, 10, -1]
+    # Frequent in the document, then late in the vocabulary.
+    assert lexical_packing.route(np.array([8000, 9000, 9001, 30]), np.array([9, 1, 1, 50])).tolist()[:2] == [8000, 9001]
 
 
 def test_neighbours_share_their_window(spark, own):
