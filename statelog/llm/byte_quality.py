@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelog.llm.common import as_bytes, batched
-from statelog.llm.training import Adam, labelled_sample, remainder, sigmoid
+from statelog.llm.training import Adam, labelled_sample, remainder, row_products, sigmoid
 
 CHUNK, STEP = 512, 384
 WIDTH = 8
@@ -65,7 +65,7 @@ class Network:
 
     def tables(self) -> list[np.ndarray]:
         """What a byte adds to each filter at each of its places."""
-        return [self.parameters["bytes"] @ f for f in self.parameters["filters"]]
+        return [row_products(self.parameters["bytes"], f) for f in self.parameters["filters"]]
 
     def pair_tables(self) -> list[np.ndarray]:
         """The same for two bytes at once."""
@@ -74,7 +74,7 @@ class Network:
 
     def _top(self, pooled: np.ndarray, first: np.ndarray):
         p = self.parameters
-        hidden = np.maximum(pooled @ p["hidden"] + p["hidden_shift"], 0)
+        hidden = np.maximum(row_products(pooled, p["hidden"]) + p["hidden_shift"], 0)
         size = np.diff(np.concatenate((first, [len(hidden)])))
         most = np.maximum.reduceat(hidden, first, axis=0)
         mean = np.add.reduceat(hidden, first, axis=0) / size[:, None]
@@ -93,7 +93,8 @@ class Network:
             pooled[at : at + 256] = value.max(axis=1)
         pooled = np.maximum(pooled + self.parameters["shift"], 0)
         top = self._top(pooled, first)[2]
-        return sigmoid((top @ self.parameters["out"]).astype(np.float64) + float(self.parameters["bias"][0]))
+        logits = row_products(top, self.parameters["out"][:, None])[:, 0]
+        return sigmoid(logits.astype(np.float64) + float(self.parameters["bias"][0]))
 
     def gradients(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
         p, tables = self.parameters, self.tables()

@@ -21,7 +21,8 @@ def labelled_sample(
     ``longest`` code points, so that the driver holds a bounded sample.
 
     The documents are the first ones in the order of a hash of their ids; held-out ones and those
-    without an id, a text or a label are not among them.
+    without an id, a text or a label are not among them. Of rows that share an id, the smallest text
+    counts, so that an id brings one row to the driver however often it is repeated.
     """
     known = labels.where(F.col(label).isin(0, 1) & (remainder(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -29,13 +30,25 @@ def labelled_sample(
         known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         for value in (0, 1)
     ]
-    # Twice ``per_label`` rows at most.
+    # One row for each of the chosen ids, twice ``per_label`` at most.
     rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(
         F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     share = known.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]
-    found = {(r.doc_id, r.text): r.label for r in rows.collect()}
-    keys = sorted(found)
-    return [text.encode() for _, text in keys], np.array([found[k] for k in keys], np.float64), float(share)
+    found = sorted((r.doc_id, r.text, r.label) for r in rows.collect())
+    return [text.encode() for _, text, _ in found], np.array([y for _, _, y in found], np.float64), float(share)
+
+
+def row_products(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``rows @ matrix``, each row's products added one after another.
+
+    A row's result depends on the row alone. A library's product may add in another order for other
+    numbers of rows, and equal texts would then differ in their last bits from batch to batch.
+    """
+    out = np.zeros((len(rows), matrix.shape[1]), np.result_type(rows, matrix))
+    for k, weights in enumerate(matrix):
+        out += rows[:, k, None] * weights
+    return out
 
 
 class Adam:

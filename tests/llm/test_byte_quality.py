@@ -88,3 +88,38 @@ def test_gradients_equal_differences():
             flat[i] = before
             # Largest values are computed in 32 bits.
             assert abs((high - low) / 2e-5 - slope[i]) < 0.02 * abs(slope[i]) + 5e-3, name
+
+
+def test_one_text_has_one_score_in_any_batch():
+    rows, labels = corpus(120)
+    network = byte_quality.train([t.encode() for _, t in rows], np.array([y for _, y in labels], float))
+    pairs, text = network.pair_tables(), (" ".join(words(3, 700))).encode()
+    pick = np.random.default_rng(6)
+    found = set()
+    for size in (1, 2, 3, 7, 16, 33, 100):
+        others = [rows[i][1].encode() for i in pick.integers(0, len(rows), size)]
+        at = int(pick.integers(0, size))
+        found.add(network.scores([*others[:at], text, *others[at:]], pairs)[at])
+    assert len(found) == 1
+
+
+def test_scores_by_a_plain_forward_pass():
+    rows, labels = corpus(60)
+    network = byte_quality.train([t.encode() for _, t in rows], np.array([y for _, y in labels], float), epochs=2)
+    p = {k: v.astype(float) for k, v in network.parameters.items()}
+
+    def plain(text):
+        hidden = []
+        for start in byte_quality.chunk_starts(len(text)):
+            chunk = text[start : start + byte_quality.CHUNK].ljust(byte_quality.CHUNK, b"\0")
+            most = np.full(byte_quality.FILTERS, -np.inf)
+            for at in range(0, byte_quality.CHUNK - byte_quality.WIDTH + 1, byte_quality.STRIDE):
+                response = sum(p["bytes"][chunk[at + o]] @ p["filters"][o] for o in range(byte_quality.WIDTH))
+                most = np.maximum(most, response)
+            hidden.append(np.maximum(np.maximum(most + p["shift"], 0) @ p["hidden"] + p["hidden_shift"], 0))
+        top = np.concatenate((np.max(hidden, 0), np.mean(hidden, 0)))
+        return 1 / (1 + np.exp(-(top @ p["out"] + p["bias"][0])))
+
+    texts = [b"", b"a", *(t.encode() for _, t in rows[:6]), ("xy%% " * 400).encode()]
+    for text, score in zip(texts, network.scores(texts, network.pair_tables())):
+        assert abs(plain(text) - score) < 1e-4
