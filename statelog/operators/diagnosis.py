@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statelog.functions.clock import utc_hour_number
 from statelog.functions.rules import NOT_NULL, WARN, diagnosis_rules
 from statelog.operators.reads import page_order
 
@@ -133,6 +135,37 @@ def _side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(n, ignorenulls=True).alias(n) for n in stacked.columns])
 
 
+def presence(rows: DataFrame, silence: timedelta) -> DataFrame:
+    """When each aircraft was there: ``icao24, first_seen, last_seen, n_rows`` for every stay.
+
+    A stay ends where an aircraft is silent for longer than ``silence``, an hour or more. Rows combine
+    by aircraft and hour in each map task first, so an aircraft with a large share of all rows is
+    as many rows as it has hours; stays are islands of those. NULL is no aircraft.
+    """
+    if silence < timedelta(hours=1):
+        raise ValueError("silence must be an hour or more")
+    seen = rows.where("icao24 is not null and event_time is not null")
+    hours = seen.groupBy("icao24", utc_hour_number(F.col("event_time")).alias("_hour")).agg(
+        F.min("event_time").alias("_first"), F.max("event_time").alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+    in_time = Window.partitionBy("icao24").orderBy("_hour")
+    away = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(in_time))
+    starts = hours.withColumn("_new", (away > silence // timedelta(microseconds=1)).cast("int"))
+    stays = starts.withColumn("_stay", F.coalesce(F.sum("_new").over(in_time), F.lit(0)))
+    return stays.groupBy("icao24", "_stay").agg(
+        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"), F.sum("_n").alias("n_rows")
+    ).drop("_stay")
+
+
+def still_present(rows: DataFrame, silence: timedelta) -> DataFrame:
+    """``icao24`` of the aircraft whose last stay goes on: not silent for longer than ``silence``
+    before the newest event of all rows."""
+    stays = presence(rows, silence)
+    newest = rows.agg(F.max(F.unix_micros("event_time"))).scalar()
+    quiet = newest - F.unix_micros("last_seen")
+    return stays.where(quiet <= silence // timedelta(microseconds=1)).select("icao24")
+
+
 def missing_aircraft(current: DataFrame, older: DataFrame) -> DataFrame:
     """Aircraft of the older rows that the current rows lack; NULL is no aircraft."""
     seen = older.where("icao24 is not null").select("icao24").distinct()

@@ -170,23 +170,33 @@ def bounding_box(
     return page(rows.where(inside), limit, offset)
 
 
-def newest_per_aircraft(rows: DataFrame) -> DataFrame:
-    """The newest row of each aircraft, by contact, then event, then ingest time.
+def newest_per(rows: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each key, by contact, then event, then ingest time, then the other columns.
 
-    NULL is an aircraft of its own. The rank filter is applied within each map task first, so an
-    aircraft with a large share of all rows sends one row per task.
+    NULL is a key of its own. The rank filter is applied within each map task first, so a key with a
+    large share of all rows sends one row per task.
     """
-    order = [F.col(n).desc_nulls_last() for n in (*LATEST_KEY, *_rest(rows, LATEST_KEY))]
-    window = Window.partitionBy("icao24").orderBy(*order)
+    names = [*LATEST_KEY, *_rest(rows, LATEST_KEY)]
+    names += [n for n in rows.columns if n not in names and n not in keys]
+    window = Window.partitionBy(*keys).orderBy(*[F.col(n).desc_nulls_last() for n in names])
     return rows.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
+def newest_per_aircraft(rows: DataFrame) -> DataFrame:
+    """The newest row of each aircraft; NULL is an aircraft of its own."""
+    return newest_per(rows, "icao24")
+
+
 def latest_state(
     rows: DataFrame, icao24: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0
 ) -> DataFrame:
     """A page, by aircraft, of each aircraft's newest row."""
+    return latest_page(newest_per_aircraft(rows.where(row_filter(icao24=icao24))), limit, offset)
+
+
+def latest_page(newest: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """A page, by aircraft, of rows of which each aircraft has one."""
     check_page(limit, offset)
-    newest = newest_per_aircraft(rows.where(row_filter(icao24=icao24)))
     return newest.orderBy(F.col("icao24").asc_nulls_last()).offset(offset).limit(limit)
 
 
@@ -207,14 +217,23 @@ def stats_per_interval(
         bucket = F.timestamp_seconds(F.unix_date("event_day").cast("bigint") * INTERVALS["day"])
     else:
         bucket = utc_bucket(F.col("event_time"), interval)
+    counted = rows.where(row_filter(start=start, end=end))
+    return _counts(counted, bucket, group_by, F.count(F.lit(1)))
+
+
+def stats_of_hours(hours: DataFrame, interval: str = "hour", group_by: str | None = None) -> DataFrame:
+    """The same from counts ``event_hour, origin_country, n``, which may hold a key more than once."""
+    check_stats(interval, group_by)
+    seconds = INTERVALS[interval]
+    start = F.floor(F.col("event_hour") * INTERVALS["hour"] / seconds) * seconds
+    return _counts(hours, F.timestamp_seconds(start), group_by, F.sum("n"))
+
+
+def _counts(rows: DataFrame, bucket: Column, group_by: str | None, count: Column) -> DataFrame:
     keys = [bucket.alias("bucket_start")]
     if group_by is not None:
         keys.append(F.col(group_by).alias("group"))
-    counts = (
-        rows.where(row_filter(start=start, end=end))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counts = rows.groupBy(*keys).agg(count.alias("count"))
     if group_by is None:
         counts = counts.select("bucket_start", F.lit(None).cast("string").alias("group"), "count")
     return counts.orderBy(

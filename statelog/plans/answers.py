@@ -67,8 +67,7 @@ def bounding_box(
     reads.check_page(limit, offset)
     reads.check_box(min_lat, max_lat, min_lon, max_lon)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
-    inside = reads.box_filter(min_lat, max_lat, min_lon, max_lon)
-    rows = snapshot.scan(start=start, end=end).where(inside)
+    rows = snapshot.scan(start=start, end=end, box=(min_lat, max_lat, min_lon, max_lon))
     return Answer(snapshot.snapshot_id, reads.page(rows, limit, offset, after), limit)
 
 
@@ -81,11 +80,11 @@ def latest_state(
     as_of_timestamp: datetime | None = None,
     maximum: int = reads.MAX_LIMIT,
 ) -> Answer:
-    """A page, by aircraft, of each aircraft's newest row."""
+    """A page, by aircraft, of each aircraft's newest row, from the log's reduced rows."""
     limit = reads.clamp_limit(limit, maximum=maximum)
     reads.check_page(limit, offset)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
-    newest = reads.latest_state(snapshot.scan(icao24), limit=limit, offset=offset)
+    newest = reads.latest_page(snapshot.newest(icao24), limit, offset)
     return Answer(snapshot.snapshot_id, newest, limit)
 
 
@@ -98,11 +97,10 @@ def stats_per_interval(
     as_of_snapshot_id: int | None = None,
     as_of_timestamp: datetime | None = None,
 ) -> Answer:
-    """Row counts per UTC hour or day, optionally per country."""
+    """Row counts per UTC hour or day, optionally per country, from the log's hourly counts."""
     reads.check_stats(interval, group_by)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
-    rows = snapshot.scan(start=start, end=end)
-    return Answer(snapshot.snapshot_id, reads.stats_per_interval(rows, interval, group_by=group_by))
+    return Answer(snapshot.snapshot_id, snapshot.interval_counts(interval, start, end, group_by))
 
 
 def diagnose_flights(

@@ -14,14 +14,15 @@ snapshot of its own through ``commit_seq``.
 
 A write id is the newest committed one plus one, and its folder is overwritten. What a failed write
 left behind therefore always lies above every committed id, and no read looks there. One writer per
-log is assumed.
+log is assumed; it keeps in mind what it has committed and looks it up again only if it finds that
+another object has written since.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 from functools import reduce
 from operator import or_
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statelog.functions.clock import epoch_micros, to_utc, utc_day, utc_hour_number, utc_literal
+from statelog.functions.place import cell, cell_ranges, in_ranges
 from statelog.operators.quality import batch_report
-from statelog.operators.reads import row_filter
+from statelog.operators.reads import box_filter, newest_per_aircraft, row_filter, stats_of_hours
+from statelog.plans import rollups
 from statelog.schema import FACT_TYPES, SPARK_TYPES, bronze_schema
 
 APPENDED, SKIPPED, ABORTED = "appended", "skipped_empty", "dq_aborted"
@@ -41,6 +44,9 @@ APPENDED, SKIPPED, ABORTED = "appended", "skipped_empty", "dq_aborted"
 MISSING = "missing_documents"
 
 BATCH_ID = "ingest_batch_id"
+HOUR_MILLIS = 3_600_000
+#: Stored with each row for the scan, like ``commit_seq``, and never shown.
+CELL = "_cell"
 
 # Rows of a few short columns each; beyond this many, Spark chooses the join.
 BROADCAST_BATCHES = 50_000
@@ -89,6 +95,19 @@ class SnapshotNotFoundError(LookupError):
     """No snapshot has the id, or none is as old as the timestamp."""
 
 
+@dataclass(frozen=True)
+class Head:
+    """What a writer has to know of a log: numbers of its last files, and its newest snapshot."""
+
+    settings: Row
+    entry: int
+    expired_run: int
+    n_commits: int
+    n_expired: int
+    #: ``write_id, commit_seq, total_rows, timestamp_ms, layout`` of the newest commit, if any.
+    newest: dict | None
+
+
 @dataclass(frozen=True)
 class Transform:
     """A partition layout: the column it adds, its type and how it follows from event time."""
@@ -125,6 +144,30 @@ def snapshot_at(snapshots: DataFrame, moment: datetime) -> DataFrame:
     return snapshots.where(F.col("timestamp_ms") <= at_ms).orderBy(*newest_first()).limit(1)
 
 
+def snapshots_at(snapshots: DataFrame, moments: DataFrame, moment: str) -> DataFrame:
+    """Each row of ``moments`` with ``snapshot_id``, the newest snapshot at or before its ``moment``.
+
+    The id is NULL where no snapshot is as old, and for a NULL moment. Snapshots are gathered hour by
+    hour, each hour with the last snapshot before it; rows meet those of their hour in one equality
+    join, which Spark may split where many rows share an hour. One task handles a row for each hour.
+    """
+    millis = F.floor(F.unix_micros(F.col(moment)) / 1000)
+    placed = moments.withColumns({"_at_ms": millis, "_at_hour": F.floor(millis / HOUR_MILLIS)})
+    held = F.struct("timestamp_ms", F.coalesce("sequence_number", F.lit(-1)).alias("seq"), "snapshot_id")
+    hours = snapshots.groupBy(F.floor(F.col("timestamp_ms") / HOUR_MILLIS).alias("_hour")).agg(
+        F.array_sort(F.collect_list(held)).alias("_held"))
+    asked = placed.select(F.col("_at_hour").alias("_hour")).where("_hour is not null").distinct()
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.element_at("_held", -1)
+    each = hours.join(asked, "_hour", "full").select(
+        "_hour", "_held", F.last(newest, ignorenulls=True).over(before).alias("_before"))
+    found = placed.join(each, F.col("_at_hour") == F.col("_hour"), "left")
+    # Both are in order, so the last one that fits is the newest.
+    here = F.filter("_held", lambda s: s["timestamp_ms"] <= F.col("_at_ms"))
+    last = F.coalesce(F.when(F.size(here) > 0, F.element_at(here, -1)), F.col("_before"))
+    return found.select(*moments.columns, last["snapshot_id"].alias("snapshot_id"))
+
+
 def expirable(snapshots: DataFrame, retain_last: int, protected: DataFrame | None = None) -> DataFrame:
     """The snapshots older than the newest ``retain_last``, newest first.
 
@@ -167,6 +210,7 @@ class StateLog:
         self.spark = spark
         self.root = root.rstrip("/")
         self.identifier = identifier
+        self._known: Head | None = None
 
     # ------------------------------------------------------------------ metadata tables
 
@@ -327,6 +371,10 @@ class StateLog:
             return found
         return self.commits().orderBy(F.col("sequence_number").desc()).limit(1).first()
 
+    def resolve_many(self, moments: DataFrame, moment: str) -> DataFrame:
+        """A table of moments with the snapshot each is answered from, see :func:`snapshots_at`."""
+        return snapshots_at(self.snapshots(), moments, moment)
+
     def at(
         self, as_of_snapshot_id: int | None = None, as_of_timestamp: datetime | None = None
     ) -> Snapshot:
@@ -358,15 +406,43 @@ class StateLog:
         """Offer a scan to SQL under a name."""
         self.scan(**selector).createOrReplaceTempView(name)
 
-    def _head(self):
-        """Last entry of the batch log, number of commits and the newest of them, in one lookup."""
+    def _holds(self, folder: str) -> bool:
+        """Whether a folder is there; no job runs for it."""
+        try:
+            self.spark.read.schema("_ int").parquet(f"{self.root}/{folder}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    def _head(self) -> Head:
+        """The head as this writer left it, or looked up if it has none or others wrote since."""
+        known = self._known
+        if known is None or any(
+            self._holds(folder)
+            for folder in (
+                f"ledger/entry={known.entry + 1}",
+                f"settings/version={known.settings['version'] + 1}",
+                f"expired/run={known.expired_run + 1}",
+            )
+        ):
+            self._known = self._looked_up()
+        return self._known
+
+    def _looked_up(self) -> Head:
         committed = F.when(F.col("status") == APPENDED, F.col("sequence_number"))
         carried = F.struct("write_id", "commit_seq", "total_rows", "timestamp_ms", "layout")
-        return self.batch_log().agg(
+        head = self.batch_log().agg(
             F.coalesce(F.max("entry"), F.lit(0)).alias("entry"),
             F.count(committed).alias("n_commits"),
             F.max_by(carried, committed).alias("newest"),
         ).first()
+        gone = self.expired().agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.max("run"), F.lit(0)).alias("run")
+        ).first()
+        newest = head["newest"].asDict() if head["newest"] is not None else None
+        return Head(self._settings(), head["entry"], gone["run"], head["n_commits"], gone["n"], newest)
 
     # ------------------------------------------------------------------ writes
 
@@ -412,10 +488,10 @@ class StateLog:
             rows.unpersist()
 
     def _ingest(self, rows, batches, deduplicated, stream_batch, gate) -> DataFrame:
-        settings, head = self._settings(), self._head()
+        head = self._head()
+        settings, newest, entry = head.settings, head.newest, head.entry + 1
         schema = _schema_of(settings["schema_json"])
-        newest, entry = head["newest"], head["entry"] + 1
-        snapshots_before = head["n_commits"] - self.expired().count()
+        snapshots_before = head.n_commits - head.n_expired
         write_id = newest["write_id"] + 1 if newest else 1
         last_commit = newest["commit_seq"] if newest else 0
         rows_before = newest["total_rows"] if newest else 0
@@ -440,16 +516,28 @@ class StateLog:
             .persist()
         )
         try:
-            accepted = judged.where(appended).select(F.col("batch_id").alias(BATCH_ID), "commit_seq")
-            n_accepted = accepted.count()
-            if n_accepted:
-                accepted = broadcast_if_few(accepted, n_accepted)
-                self._write_rows(rows.join(accepted, BATCH_ID), schema, settings, write_id)
+            # A row per batch is computed once for all of this; one row comes back.
+            taken = judged.agg(
+                F.count_if(appended).alias("n"), F.coalesce(F.sum("rows_written"), F.lit(0)).alias("rows"),
+                F.max(F.when(appended, F.col("timestamp_ms"))).alias("timestamp_ms"),
+            ).first()
+            if taken["n"]:
+                accepted = judged.where(appended).select(F.col("batch_id").alias(BATCH_ID), "commit_seq")
+                accepted = broadcast_if_few(accepted, taken["n"])
+                written = self._write_rows(rows.join(accepted, BATCH_ID), schema, settings, write_id)
+                rollups.extend(self.spark, self.root, written, schema, write_id)
             layout = _extended(newest["layout"] if newest else [], settings, write_id)
-            ledger = _ledger_rows(judged, settings, layout, write_id, stream_batch)
+            ledger = _ledger_rows(judged, settings, _layout_literal(layout), write_id, stream_batch)
             _overwrite(ledger.coalesce(1)).parquet(f"{self.root}/ledger/entry={entry}")
         finally:
             judged.unpersist()
+        if taken["n"]:
+            newest = {
+                "write_id": write_id, "commit_seq": last_commit + taken["n"],
+                "total_rows": rows_before + taken["rows"], "timestamp_ms": taken["timestamp_ms"],
+                "layout": layout,
+            }
+        self._known = replace(head, entry=entry, n_commits=head.n_commits + taken["n"], newest=newest)
         return self.batch_log().where(F.col("entry") == entry)
 
     def _judge(self, rows, batches, deduplicated, gate) -> DataFrame:
@@ -479,12 +567,13 @@ class StateLog:
             "lag_seconds",
         )
 
-    def _write_rows(self, rows, schema, settings, write_id) -> None:
-        """Write one write's rows, spread by partition value.
+    def _write_rows(self, rows, schema, settings, write_id) -> DataFrame:
+        """Write one write's rows, spread by partition value; returns them as they are in the files.
 
         The rebalance hint lets Spark split the partition of a crowded day over several tasks and
-        join small ones. Files are sorted by aircraft for row-group skipping. A NULL in a required
-        column fails the write, and with it the batch.
+        join small ones. Files are sorted by place and, within a cell of the globe, by aircraft, so
+        that a box and an aircraft both skip pages. A NULL in a required column fails the write, and
+        with it the batch.
         """
         transform = TRANSFORMS[settings["transform"]]
 
@@ -498,12 +587,19 @@ class StateLog:
         partition = transform.of(F.col("event_time")).cast(transform.type_name)
         ready = (
             rows.select(*[stored(field) for field in schema.fields], "commit_seq")
+            .withColumn(CELL, cell(F.col("latitude"), F.col("longitude")))
             .withColumn(transform.column, partition)
             .hint("rebalance", transform.column)
-            .sortWithinPartitions(transform.column, "icao24", "event_time")
+            .sortWithinPartitions(transform.column, CELL, "icao24", "event_time")
         )
         folder = f"{self.root}/data/spec_id={settings['spec_id']}/write_id={write_id}"
-        _overwrite(ready).partitionBy(transform.column).parquet(folder)
+        writer = _overwrite(ready).partitionBy(transform.column)
+        # Callsigns are in no order within a file; a filter of the size that each row group needs
+        # tells which groups lack one.
+        writer = writer.option("parquet.bloom.filter.enabled#callsign", "true")
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(folder)
+        stored = _nullable(schema).add("commit_seq", T.LongType())
+        return self.spark.read.schema(stored).parquet(folder)
 
     def append(
         self,
@@ -531,7 +627,7 @@ class StateLog:
         Only ids are recorded. Rows stay, and stay part of every later snapshot.
         """
         gone = expirable(self.snapshots(), retain_last, protected)
-        run = self.expired().agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+        run = self._head().expired_run + 1
         expired_at = utc_literal(now or datetime.now(UTC))
         _overwrite(gone.withColumn("expired_at", expired_at).coalesce(1)).parquet(
             f"{self.root}/expired/run={run}"
@@ -552,31 +648,70 @@ class Snapshot:
         self.snapshot_id = row["snapshot_id"] if row is not None else None
         self.total_rows = row["total_rows"] if row is not None else 0
         self._layout = row["layout"] if row is not None else []
+        self._write_id = row["write_id"] if row is not None else 0
         # All rows of a committed write belong to the current state.
         self._last_commit = None if current else row["commit_seq"]
 
+    def _rollup(self, rollup: rollups.Rollup) -> DataFrame:
+        return rollups.as_of(self.spark, self.root, rollup, self.schema, self._write_id, self._last_commit)
+
+    def newest(self, icao24: str | None = None) -> DataFrame:
+        """The newest row of each aircraft; no data file is read."""
+        return newest_per_aircraft(self._rollup(rollups.NEWEST).where(row_filter(icao24=icao24)))
+
+    def interval_counts(
+        self,
+        interval: str = "hour",
+        start: datetime | None = None,
+        end: datetime | None = None,
+        group_by: str | None = None,
+    ) -> DataFrame:
+        """Row counts per UTC hour or day; data files are read for parts of an hour only."""
+        first, last = rollups.full_hours(start, end)
+        whole = F.lit(True)
+        if first is not None:
+            whole = whole & (F.col("event_hour") >= first)
+        if last is not None:
+            whole = whole & (F.col("event_hour") <= last)
+        hours = self._rollup(rollups.HOURS).where(whole)
+        for low, high in rollups.edges(start, end):
+            hour = utc_hour_number(F.col("event_time")).alias("event_hour")
+            hours = hours.unionByName(
+                self.scan(start=low, end=high).select(hour, "origin_country", F.lit(1).cast("bigint").alias("n"))
+            )
+        return stats_of_hours(hours, interval, group_by)
+
     def scan(
         self,
         icao24: str | None = None,
         callsign: str | None = None,
         start: datetime | None = None,
         end: datetime | None = None,
+        box: tuple[float, float, float, float] | None = None,
     ) -> DataFrame:
         """Rows that pass the filters, plus ``event_day`` from the partition.
 
-        The filters go to the Parquet scan, and a time window also to the partition column.
+        The filters go to the Parquet scan, and a time window also to the partition column. ``box``
+        is least and largest latitude, least and largest longitude; the scan also compares the cells
+        that cover it.
         """
-        wanted = row_filter(icao24, callsign, start, end)
-        parts = [self._scan_layout(piece, start, end).where(wanted) for piece in self._layout]
+        wanted, covered = row_filter(icao24, callsign, start, end), None
+        if box is not None:
+            wanted, covered = wanted & box_filter(*box), in_ranges(CELL, cell_ranges(*box))
+        parts = [self._scan_layout(piece, start, end, covered).where(wanted) for piece in self._layout]
         if not parts:
             with_day = T.StructType(list(self.schema.fields)).add("event_day", T.DateType())
             return self.spark.createDataFrame([], _nullable(with_day))
         return reduce(DataFrame.unionByName, parts)
 
-    def _scan_layout(self, piece, start: datetime | None, end: datetime | None) -> DataFrame:
+    def _scan_layout(
+        self, piece, start: datetime | None, end: datetime | None, covered: Column | None = None
+    ) -> DataFrame:
         """Committed rows of one partition layout. Each layout is a folder read on its own."""
         transform = TRANSFORMS[piece["transform"]]
         stored = _nullable(self.schema).add("commit_seq", T.LongType()).add("write_id", T.LongType())
+        if covered is not None:
+            stored = stored.add(CELL, T.LongType())
         stored = stored.add(transform.column, SPARK_TYPES[transform.type_name])
         rows = (
             self.spark.read.schema(stored)
@@ -584,6 +719,8 @@ class Snapshot:
             .where(F.col("write_id").between(piece["first_write"], piece["last_write"]))
             .where(transform.prune(start, end))
         )
+        if covered is not None:
+            rows = rows.where(covered)
         if self._last_commit is not None:
             rows = rows.where(F.col("commit_seq") <= self._last_commit)
         if transform.column == "event_day":
@@ -638,20 +775,27 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _extended(layout: list, settings, write_id: int) -> Column:
-    """The write ids per layout after one more write, as a literal array."""
+def _extended(layout: list, settings, write_id: int) -> list[Row]:
+    """The write ids per layout after one more write."""
     pieces = {p["spec_id"]: (p["transform"], p["first_write"]) for p in layout}
     last = {p["spec_id"]: p["last_write"] for p in layout}
     pieces.setdefault(settings["spec_id"], (settings["transform"], write_id))
     last[settings["spec_id"]] = write_id
+    return [
+        Row(spec_id=spec_id, transform=transform, first_write=first, last_write=last[spec_id])
+        for spec_id, (transform, first) in pieces.items()
+    ]
+
+
+def _layout_literal(layout: list[Row]) -> Column:
     return F.array(
         *[
             F.struct(
-                F.lit(spec_id).alias("spec_id"),
-                F.lit(transform).alias("transform"),
-                F.lit(first).cast("bigint").alias("first_write"),
-                F.lit(last[spec_id]).cast("bigint").alias("last_write"),
+                F.lit(piece["spec_id"]).alias("spec_id"),
+                F.lit(piece["transform"]).alias("transform"),
+                F.lit(piece["first_write"]).cast("bigint").alias("first_write"),
+                F.lit(piece["last_write"]).cast("bigint").alias("last_write"),
             )
-            for spec_id, (transform, first) in pieces.items()
+            for piece in layout
         ]
     )

@@ -57,6 +57,16 @@ def read_landed(spark: SparkSession, folder: str, whole_files: bool = False) ->
         return spark.createDataFrame([], LANDING_SCHEMA)
 
 
+def read_landed_stream(
+    spark: SparkSession, folder: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """Stream of the documents of landed polls, announced or not, in the order their files appear."""
+    reader = spark.readStream.schema(LANDING_SCHEMA)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(folder)
+
+
 def read_arrivals_stream(
     spark: SparkSession, folder: str, polls_per_trigger: int | None = None
 ) -> DataFrame:

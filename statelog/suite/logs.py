@@ -11,6 +11,7 @@ from statelog.plans.log import StateLog
 from statelog.plans.scratch import new_folder
 from statelog.schema import BRONZE_COLUMNS
 from statelog.streaming.ingest import start_ingest_stream
+from statelog.streaming.windows import read_window_counts, start_window_counts
 from statelog.suite import view
 
 PARTS = 3
@@ -164,3 +165,32 @@ def _build_hourly_log(spark: SparkSession, sf_dir: str) -> StateLog:
 def hourly_log(spark: SparkSession, sf_dir: str) -> StateLog:
     """A poll for every hour that has events, of one feed."""
     return _on(spark, _once(spark, sf_dir, "hourly", _build_hourly_log))
+
+
+#: A landed hour comes late where this divides its number.
+LATE_HOURS = 23
+WAVES = 4
+
+
+def _build_window_counts(spark: SparkSession, sf_dir: str) -> str:
+    folder = new_folder(spark, "window-counts")
+    documents = view.hourly(spark, sf_dir)
+    first, last = documents.agg(F.min("poll_id"), F.max("poll_id")).first()
+    wave = F.floor((F.col("poll_id") - first) * WAVES / (last - first + 1))
+    # The last hours of a wave that are late come with the next one, after the watermark has moved.
+    ends = F.floor((F.col("poll_id") + 30 - first) * WAVES / (last - first + 1))
+    late = (F.col("poll_id") % LATE_HOURS == 0) & (ends < WAVES)
+    turn = F.when(late, F.greatest(wave, ends)).otherwise(wave)
+    for number in range(WAVES):
+        documents.where(turn == number).write.mode("append").partitionBy("source_name", "poll_id").text(
+            f"{folder}/landing")
+        start_window_counts(
+            spark, f"{folder}/landing", f"{folder}/counts", f"{folder}/checkpoint", delay="2 days",
+            group_by="origin_country",
+        ).awaitTermination()
+    return f"{folder}/counts"
+
+
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by country of a stream to which some hours came a day late."""
+    return read_window_counts(spark, _once(spark, sf_dir, "window-counts", _build_window_counts))

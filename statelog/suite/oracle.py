@@ -286,9 +286,17 @@ def _finding_examples() -> str:
 
 MISSING = (
     f"select distinct icao24 from log where {AS_OF_TIME} and icao24 is not null and icao24 not in "
-    "(select icao24 from log where event_time >= timestamp '2024-01-30' and icao24 is not null)"
+    "(select icao24 from log where icao24 is not null group by icao24 "
+    "having max(event_time) >= (select max(event_time) from log) - interval 18 hours)"
 )
 
+_PRESENCE = """select icao24, min(event_time) as first_seen, max(event_time) as last_seen, count(*) as n_rows
+  from (select *, sum(cast(away as integer)) over (partition by icao24 order by event_time
+      rows unbounded preceding) as stay
+    from (select icao24, event_time, coalesce(event_time - lag(event_time) over (partition by icao24
+        order by event_time) > interval 18 hours, false) as away from log where icao24 is not null))
+  group by icao24, stay"""
+
 
 def _proposals() -> str:
     actions = " union all ".join(f"select '{k}' as key, '{a}' as action" for k, a in ACTIONS.items())
@@ -469,6 +477,10 @@ ORACLE_SQL: dict[str, str] = {
     "as_of_timestamp": _log(
         f"select max(commit_seq) as snapshot_id, count(*) as n_rows from log where {AS_OF_TIME}"
     ),
+    "as_of_many": _with(
+        LATE,
+        "select event_id, max(seq) as snapshot_id from ev left join late on at_ms <= epoch_ms(ts) group by event_id",
+    ),
     "flights_as_of": _log(
         f"select {COLUMNS} from log where {AS_OF_TIME} and {FROM_START} and event_time <= "
         f"timestamp '2024-01-30' order by {PAGE_ORDER} limit 200 offset 150"
@@ -517,6 +529,7 @@ ORACLE_SQL: dict[str, str] = {
         "having count(*) > 0"
     ),
     "missing_aircraft": _log(MISSING),
+    "aircraft_presence": _log(_PRESENCE),
     "remediation_proposals": _log(_proposals()),
     "diagnose_snapshot": _log(_diagnosis("log", "(select max(commit_seq) from commits)", "the whole snapshot")),
     "diagnose_sample": _with(
@@ -541,5 +554,6 @@ sample as (select * from log where {AS_OF_ID} and {FROM_START} order by {PAGE_OR
     ),
     "stream_bronze": _with(STREAM, f"select {COLUMNS} from log"),
     "stream_interval_counts": _with(STREAM, _stats("log", "hour")),
+    "stream_window_counts": _with(BRONZE, _stats("bronze", "hour", country=True, where="event_time is not null")),
     "stream_latest_state": _with(STREAM, _newest("log")),
 }

@@ -6,7 +6,7 @@ Instants come out as zone-less UTC timestamps, the type the SQL side has.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from statelog.operators import diagnosis, quality, reads
 from statelog.operators.bronze import to_bronze
 from statelog.operators.dedupe import first_per_state_key
 from statelog.plans import answers
-from statelog.plans.log import expirable, snapshot_at
+from statelog.plans.log import StateLog, expirable, snapshot_at
 from statelog.schema import BRONZE_COLUMNS
 from statelog.sources.payload import RECORD_ORDER, decode_states
 from statelog.streaming.ingest import batch_name
@@ -34,6 +34,8 @@ AS_OF_TIME = datetime(2024, 1, 17, 12, tzinfo=UTC)
 LAST_DAY = datetime(2024, 1, 30, tzinfo=UTC)
 AFTER_ALL = datetime(2024, 6, 1, tzinfo=UTC)
 SAMPLE_LIMIT = 500
+#: An aircraft that is not heard of for longer is away.
+SILENCE = timedelta(hours=18)
 
 BATCH = ("poll_id",)
 
@@ -186,12 +188,11 @@ def bbox_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan()
-    return _bronze_only(rows.where(reads.box_filter(**BOX)))
+    return _bronze_only(logs.batch_log(spark, sf_dir).scan(box=tuple(BOX.values())))
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bronze_only(reads.newest_per_aircraft(logs.batch_log(spark, sf_dir).scan()))
+    return _bronze_only(logs.batch_log(spark, sf_dir).at().newest())
 
 
 def latest_state_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,11 +210,11 @@ def latest_state_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(logs.batch_log(spark, sf_dir).scan(), "hour")
+    return _stats(logs.batch_log(spark, sf_dir), "hour")
 
 
 def stats_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(logs.batch_log(spark, sf_dir).scan(), "day")
+    return _stats(logs.batch_log(spark, sf_dir), "day")
 
 
 def stats_day_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +231,8 @@ def stats_hour_by_country_in_window(spark: SparkSession, sf_dir: str) -> DataFra
     return _counts(found.rows)
 
 
-def _stats(rows: DataFrame, interval: str, group_by: str | None = None) -> DataFrame:
-    return _counts(reads.stats_per_interval(rows, interval, group_by=group_by))
+def _stats(log: StateLog, interval: str, **arguments) -> DataFrame:
+    return _counts(answers.stats_per_interval(log, interval, **arguments).rows)
 
 
 def _counts(counts: DataFrame) -> DataFrame:
@@ -310,6 +311,13 @@ def as_of_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.row_count(snapshot.scan()).select(answered.alias("snapshot_id"), "n_rows")
 
 
+def as_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot that answered at the time of every event, late polls and all."""
+    moments = view.moments(spark, sf_dir)
+    found = logs.late_log(spark, sf_dir).resolve_many(moments, "moment")
+    return found.select("event_id", "snapshot_id")
+
+
 def flights_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = answers.flights(
         logs.batch_log(spark, sf_dir),
@@ -319,18 +327,17 @@ def flights_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(as_of_snapshot_id=AS_OF_SNAPSHOT)
-    return _bronze_only(rows.where(reads.box_filter(**BOX)))
+    log = logs.batch_log(spark, sf_dir)
+    return _bronze_only(log.scan(as_of_snapshot_id=AS_OF_SNAPSHOT, box=tuple(BOX.values())))
 
 
 def latest_state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(as_of_timestamp=AS_OF_TIME)
-    return _bronze_only(reads.newest_per_aircraft(rows))
+    return _bronze_only(logs.batch_log(spark, sf_dir).at(as_of_timestamp=AS_OF_TIME).newest())
 
 
 def stats_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan(as_of_snapshot_id=AS_OF_SNAPSHOT)
-    return _stats(rows, "day", group_by="origin_country")
+    log = logs.batch_log(spark, sf_dir)
+    return _stats(log, "day", group_by="origin_country", as_of_snapshot_id=AS_OF_SNAPSHOT)
 
 
 def expire_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +351,7 @@ def expire_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows_after_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs.expired_log(spark, sf_dir)
-    return _stats(log.scan(), "day")
+    return _stats(log, "day")
 
 
 # ------------------------------------------------------------------ late batches
@@ -409,7 +416,7 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolved_window_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, _ = logs.evolved_log(spark, sf_dir)
-    return _stats(log.scan(start=WINDOW_START, end=LAST_DAY), "hour")
+    return _stats(log, "hour", start=WINDOW_START, end=LAST_DAY)
 
 
 # ------------------------------------------------------------------ diagnosis
@@ -439,10 +446,18 @@ def duplicate_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.duplicate_surplus(view.bronze(spark, sf_dir))
 
 
-def latest_state_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aircraft_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zoneless(diagnosis.presence(logs.batch_log(spark, sf_dir).scan(), SILENCE))
+
+
+def _present_and_older(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Aircraft that the whole log still hears of, and those of an earlier snapshot."""
     log = logs.batch_log(spark, sf_dir)
-    older = log.scan(as_of_timestamp=AS_OF_TIME)
-    gap = diagnosis.latest_state_gap(log.scan(start=LAST_DAY), older)
+    return diagnosis.still_present(log.scan(), SILENCE), log.scan(as_of_timestamp=AS_OF_TIME)
+
+
+def latest_state_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = diagnosis.latest_state_gap(*_present_and_older(spark, sf_dir))
     return gap.select(
         "kind", "severity", F.col("count").alias("n"),
         F.array_join(F.transform("examples", lambda e: e["icao24"]), ",").alias("first_missing"),
@@ -450,17 +465,11 @@ def latest_state_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.batch_log(spark, sf_dir)
-    return diagnosis.missing_aircraft(
-        log.scan(start=LAST_DAY), log.scan(as_of_timestamp=AS_OF_TIME)
-    )
+    return diagnosis.missing_aircraft(*_present_and_older(spark, sf_dir))
 
 
 def remediation_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.batch_log(spark, sf_dir)
-    gap = diagnosis.latest_state_gap(
-        log.scan(start=LAST_DAY), log.scan(as_of_timestamp=AS_OF_TIME)
-    )
+    gap = diagnosis.latest_state_gap(*_present_and_older(spark, sf_dir))
     found = diagnosis.detect_anomalies(view.bronze(spark, sf_dir)).unionByName(gap)
     return diagnosis.propose_remediations(found)
 
@@ -514,11 +523,16 @@ def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_interval_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(logs.stream_log(spark, sf_dir).scan(), "hour")
+    return _stats(logs.stream_log(spark, sf_dir), "hour")
+
+
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of event time, kept by a stream to which some hours came late."""
+    return _counts(logs.window_counts(spark, sf_dir))
 
 
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bronze_only(reads.newest_per_aircraft(logs.stream_log(spark, sf_dir).scan()))
+    return _bronze_only(logs.stream_log(spark, sf_dir).at().newest())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -563,6 +577,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_facts,
         as_of_snapshot,
         as_of_timestamp,
+        as_of_many,
         flights_as_of,
         bbox_as_of,
         latest_state_as_of,
@@ -578,6 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_findings,
         finding_examples,
         duplicate_surplus,
+        aircraft_presence,
         latest_state_gap,
         missing_aircraft,
         remediation_proposals,
@@ -588,6 +604,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_many_polls,
         stream_bronze,
         stream_interval_counts,
+        stream_window_counts,
         stream_latest_state,
     )
 }

@@ -153,3 +153,9 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = _empty(full.select("poll_id")).withColumn("value", F.lit('{"states": null}'))
     source, _ = provenance("poll_id")
     return full.unionByName(empty).select(source, "poll_id", "value")
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of every event: ``event_id, moment``."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("moment"))

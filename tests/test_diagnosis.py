@@ -1,7 +1,9 @@
 import math
+import random
+from datetime import timedelta
 
 import pytest
-from rows import at, frame, row
+from rows import T0, at, frame, row
 
 from statelog.operators import diagnosis as d
 
@@ -97,3 +99,46 @@ def test_sample_limit():
     assert d.sample_limit(0, 1000) == 1000
     assert d.sample_limit(50, 1000) == 50
     assert d.sample_limit(5000, 1000) == 1000
+
+
+def stays(spark, silence, *rows):
+    found = d.presence(frame(spark, list(rows)), silence).collect()
+    zero = T0.replace(tzinfo=None)
+    minutes = lambda moment: int((moment.replace(tzinfo=None) - zero).total_seconds() // 60)
+    return sorted((r["icao24"], minutes(r["first_seen"]), minutes(r["last_seen"]), r["n_rows"]) for r in found)
+
+
+def test_presence_is_stays_parted_by_silence(spark, zone):
+    zone("UTC")
+    rows = [at(60 * m, icao24="a") for m in (0, 59, 60, 121, 182, 182)] + [at(60 * m, icao24="b") for m in (5, 125, 126)]
+    rows += [at(0, icao24=None), row(icao24="c", event_time=None)]
+    assert stays(spark, timedelta(minutes=61), *rows) == [("a", 0, 182, 6), ("b", 5, 5, 1), ("b", 125, 126, 2)]
+    # Silence of exactly the given length is no end.
+    assert stays(spark, timedelta(minutes=120), *rows)[1:] == [("b", 5, 126, 3)]
+    with pytest.raises(ValueError):
+        d.presence(frame(spark, []), timedelta(minutes=59))
+
+
+def test_presence_against_plain_stays(spark, zone):
+    zone("UTC")
+    pick = random.Random(8)
+    minutes = {a: sorted(pick.randrange(6000) for _ in range(60)) for a in "abc"}
+    for hours in (1, 2, 5):
+        want = []
+        for a, times in minutes.items():
+            parts = [[times[0]]]
+            for m in times[1:]:
+                if m - parts[-1][-1] > 60 * hours:
+                    parts.append([])
+                parts[-1].append(m)
+            want += [(a, p[0], p[-1], len(p)) for p in parts]
+        rows = [at(60 * m, icao24=a) for a, times in minutes.items() for m in times]
+        assert stays(spark, timedelta(hours=hours), *rows) == sorted(want)
+
+
+def test_aircraft_that_went_silent_are_missing(spark):
+    rows = frame(spark, [at(0, icao24="a"), at(7200, icao24="a"), at(0, icao24="gone"), at(4000, icao24="b"), at(10, icao24=None)])
+    here = d.still_present(rows, timedelta(hours=1))
+    assert sorted(r["icao24"] for r in here.collect()) == ["a", "b"]
+    assert [r["icao24"] for r in d.missing_aircraft(here, rows).collect()] == ["gone"]
+    assert d.still_present(rows.limit(0), timedelta(hours=1)).count() == 0

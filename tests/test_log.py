@@ -9,7 +9,7 @@ from rows import T0, announce, at, frame, row
 from statelog import AsOfConflictError, SnapshotNotFoundError, StateLog
 from statelog.operators import reads
 from statelog.plans import answers
-from statelog.plans.log import ABORTED, APPENDED, SKIPPED, expirable, snapshot_at
+from statelog.plans.log import ABORTED, APPENDED, SKIPPED, expirable, snapshot_at, snapshots_at
 
 
 def plan_of(frame_):
@@ -88,6 +88,48 @@ def test_a_missing_sequence_number_loses_a_tie(spark):
     assert snapshot_at(snapshots, moment).first()["snapshot_id"] == 2
 
 
+def test_many_moments_equal_one_lookup_each(spark):
+    base = 1_700_000_000_000
+    times = [base, base, base + 5, base + 3_600_000, base + 3_600_000 * 30, base + 3_600_000 * 30 + 1]
+    snapshots = spark.createDataFrame(
+        [(100 + n, t, n if n != 2 else None) for n, t in enumerate(times)],
+        "snapshot_id bigint, timestamp_ms bigint, sequence_number bigint")
+    asked = [base - 1, base, base + 4, base + 5, base + 6, base + 3_599_999, base + 3_600_000,
+             base + 3_600_000 * 29, base + 3_600_000 * 30, base + 3_600_000 * 900]
+    moments = spark.createDataFrame(
+        [(i, datetime.fromtimestamp(t / 1000, tz=UTC), "x") for i, t in enumerate(asked)] + [(99, None, "x")] * 2,
+        "id bigint, moment timestamp, timestamp_ms string")
+    found = snapshots_at(snapshots, moments, "moment")
+    assert found.columns == ["id", "moment", "timestamp_ms", "snapshot_id"]
+    got = sorted((r["id"], r["snapshot_id"]) for r in found.collect())
+    want = []
+    for i, t in enumerate(asked):
+        one = snapshot_at(snapshots, datetime.fromtimestamp(t / 1000, tz=UTC)).first()
+        want.append((i, one and one["snapshot_id"]))
+    assert got == [*want, (99, None), (99, None)]
+    assert snapshots_at(snapshots.limit(0), moments, "moment").where("snapshot_id is not null").count() == 0
+    assert snapshots_at(snapshots, moments.limit(0), "moment").count() == 0
+
+
+def test_row_groups_without_a_callsign_are_skipped(spark, log, compiled):
+    rows = [at(i % 3000, icao24=f"a{i:05}", callsign=f"CS{i * 7919 % 10007}", ingest_batch_id="b") for i in range(12_000)]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", str(64 << 10))
+    try:
+        log.ingest(frame(spark, rows), announce(spark, ("b", 1)), gate=False)
+    finally:
+        conf.unset("parquet.block.size")
+    found = log.scan(callsign="CS7919")
+    assert [r["icao24"] for r in found.collect()] == ["a00001", "a10008"]
+    nodes, read = [found._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan"):
+            read += node.metrics().get("numOutputRows").get().value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert 2 <= read <= 6_000
+
+
 def five(spark):
     return spark.createDataFrame(
         [(n, 1000 + n // 2, n) for n in range(1, 6)],
