@@ -39,10 +39,19 @@ def flights(
     after=None,
 ) -> Answer:
     """A page of the rows that pass the filters, of ``maximum`` rows at most; for ``after`` see
-    :func:`statelog.operators.reads.page`."""
+    :func:`statelog.operators.reads.page`.
+
+    Where only time limits the rows, the log's hourly counts tell which hours hold the page, however
+    deep it is, and no other hour is read.
+    """
     limit = reads.clamp_limit(limit, maximum=maximum)
     reads.check_page(limit, offset)
     snapshot = log.at(as_of_snapshot_id, as_of_timestamp)
+    if icao24 is None and callsign is None and after is None:
+        part = snapshot.page_window(offset, limit, start, end)
+        if part is None:
+            return Answer(snapshot.snapshot_id, snapshot.scan().limit(0), limit)
+        start, end, offset = part
     rows = snapshot.scan(icao24, callsign, start, end)
     return Answer(snapshot.snapshot_id, reads.page(rows, limit, offset, after), limit)
 

@@ -681,6 +681,29 @@ class Snapshot:
             )
         return stats_of_hours(hours, interval, group_by)
 
+    def page_window(
+        self, offset: int, limit: int, start: datetime | None = None, end: datetime | None = None
+    ) -> tuple[datetime, datetime, int] | None:
+        """The part of a window that holds the rows from ``offset`` on in order of event time, and how
+        many of its rows come before them; None where no row is that far.
+
+        Ranks follow from the counts per hour: one lookup over a row for each hour of the window.
+        """
+        in_time = Window.orderBy("bucket_start")
+        ranked = self.interval_counts("hour", start, end).select(
+            "bucket_start", "count", (F.sum("count").over(in_time) - F.col("count")).alias("before"))
+        held = ranked.where((F.col("before") < offset + limit) & (F.col("before") + F.col("count") > offset))
+        found = held.agg(
+            F.unix_micros(F.min("bucket_start")).alias("first"), F.unix_micros(F.max("bucket_start")).alias("last"),
+            F.min("before").alias("before"),
+        ).first()
+        if found["first"] is None:
+            return None
+        low, high = rollups.hour_bounds(found["first"], found["last"])
+        low = low if start is None else max(low, to_utc(start))
+        high = high if end is None else min(high, to_utc(end))
+        return low, high, offset - found["before"]
+
     def scan(
         self,
         icao24: str | None = None,

@@ -133,5 +133,10 @@ def edges(start: datetime | None, end: datetime | None) -> list[tuple[datetime,
     return out
 
 
+def hour_bounds(first: int, last: int) -> tuple[datetime, datetime]:
+    """The first and the last instant of the hours that start at these microseconds."""
+    return _moment(first), _moment(last + _HOUR_MICROS - 1)
+
+
 def _moment(micros: int) -> datetime:
     return _EPOCH + timedelta(microseconds=micros)

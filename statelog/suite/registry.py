@@ -165,8 +165,8 @@ def flights_page_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs.batch_log(spark, sf_dir).scan()
-    return _bronze_only(reads.page(rows, limit=300, offset=500))
+    found = answers.flights(logs.batch_log(spark, sf_dir), limit=300, offset=500)
+    return _bronze_only(found.rows)
 
 
 def flights_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -134,6 +135,28 @@ def test_another_writer_is_noticed(spark, log):
     assert "grade" not in log.at(3).newest().columns
 
 
+def test_pages_by_rank_equal_pages_of_all_rows(spark, log):
+    filled(spark, log, 4)
+    rows = log.scan()
+    low, high = T0 + timedelta(minutes=40), T0 + timedelta(hours=3, minutes=20)
+    for window in ({}, {"start": low}, {"end": high}, {"start": low, "end": high}):
+        for limit, offset in ((5, 0), (7, 9), (1, 31), (100, 3), (4, 500)):
+            want = reads.flights(rows, limit=limit, offset=offset, **window).collect()
+            assert answers.flights(log, limit=limit, offset=offset, **window).rows.collect() == want
+    earlier = answers.flights(log, limit=6, offset=5, as_of_snapshot_id=3).rows.collect()
+    assert earlier == reads.page(log.scan(3), 6, 5).collect()
+    assert answers.flights(log, start=high, end=low).rows.count() == 0
+
+
+def test_a_deep_page_reads_its_hours_only(spark, log):
+    filled(spark, log, 4)
+    low, high, skip = log.at().page_window(20, 2)
+    assert high - low < timedelta(hours=2) and 0 <= skip < 20
+    plan = answers.flights(log, limit=2, offset=20).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"event_day#\d+ >= ", plan) and re.search(r"event_day#\d+ <= ", plan)
+    assert log.at().page_window(10_000, 5) is None
+
+
 def test_an_empty_log_has_no_results(spark, log):
     assert log.at().newest().count() == 0 and log.at().interval_counts().count() == 0
     assert answers.latest_state(log).rows.count() == 0
