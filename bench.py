@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+from statelog.plans import rollups  # noqa: E402
 from statelog.suite import logs, view  # noqa: E402
 from statelog.suite.registry import QUERIES  # noqa: E402
 
@@ -41,6 +42,9 @@ HEADLINE = (
     "duplicate_surplus",
     "missing_aircraft",
     "stream_interval_counts",
+    "flights_deep_page",
+    "aircraft_presence",
+    "as_of_many",
 )
 RUNS = 3
 
@@ -76,6 +80,13 @@ def main() -> None:
 
         run()
         seconds[name] = statistics.median(timed(run) for _ in range(RUNS))
+    snapshot = logs.batch_log(spark, sf_dir).at()
+    # What the latest state and the interval counts read, beside all rows of the log.
+    rows_read = {
+        "latest_state": snapshot.rollup(rollups.NEWEST).count(),
+        "stats": snapshot.rollup(rollups.HOURS).count(),
+        "log": snapshot.total_rows,
+    }
     print(
         json.dumps(
             {
@@ -85,6 +96,7 @@ def main() -> None:
                 "queries": {name: round(value, 3) for name, value in seconds.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "input_rows": input_rows,
+                "rows_read": rows_read,
             }
         )
     )

@@ -652,12 +652,12 @@ class Snapshot:
         # All rows of a committed write belong to the current state.
         self._last_commit = None if current else row["commit_seq"]
 
-    def _rollup(self, rollup: rollups.Rollup) -> DataFrame:
+    def rollup(self, rollup: rollups.Rollup) -> DataFrame:
         return rollups.as_of(self.spark, self.root, rollup, self.schema, self._write_id, self._last_commit)
 
     def newest(self, icao24: str | None = None) -> DataFrame:
         """The newest row of each aircraft; no data file is read."""
-        return newest_per_aircraft(self._rollup(rollups.NEWEST).where(row_filter(icao24=icao24)))
+        return newest_per_aircraft(self.rollup(rollups.NEWEST).where(row_filter(icao24=icao24)))
 
     def interval_counts(
         self,
@@ -673,7 +673,7 @@ class Snapshot:
             whole = whole & (F.col("event_hour") >= first)
         if last is not None:
             whole = whole & (F.col("event_hour") <= last)
-        hours = self._rollup(rollups.HOURS).where(whole)
+        hours = self.rollup(rollups.HOURS).where(whole)
         for low, high in rollups.edges(start, end):
             hour = utc_hour_number(F.col("event_time")).alias("event_hour")
             hours = hours.unionByName(

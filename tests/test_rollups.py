@@ -91,7 +91,7 @@ def test_results_equal_those_of_all_rows_at_every_snapshot(spark, log, small_nod
 
 def test_rows_read_grow_with_aircraft_and_not_with_history(spark, log, small_nodes):
     filled(spark, log)
-    read = [log.at(s)._rollup(rollups.NEWEST).count() for s in (6, 14, 22)]
+    read = [log.at(s).rollup(rollups.NEWEST).count() for s in (6, 14, 22)]
     held = [log.scan(s).count() for s in (6, 14, 22)]
     assert held[2] == 88 and read[2] <= 24 and read[2] < 2 * read[0] < held[2]
 
