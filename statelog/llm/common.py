@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +42,41 @@ def column_or_null(frame: DataFrame, name: str, kind: str):
 
 
 def worker_cache(name: str, make: Callable[[], object]):
-    """One object for each Python worker and name, kept between the tasks the worker runs."""
+    """One object for each Python worker and name, kept between the tasks the worker runs.
+
+    A name begins with the operator that owns the object and a colon. A worker keeps the objects of
+    one owner at a time: those of another operator go when the first task of this one asks, so the
+    stages of a pipeline do not add up in memory.
+    """
     caches = vars(sys).setdefault("_statelog_llm_caches", {})
+    owner = name.partition(":")[0]
+    if caches.get("owner") != owner:
+        caches.clear()
+        caches["owner"] = owner
     if name not in caches:
         caches[name] = make()
     return caches[name]
 
 
+def release() -> None:
+    """Hand memory that is free back to the system, so that a worker without a task stays small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of a task's batches, after which the worker gives its free memory back."""
+
+    @functools.wraps(rows)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        release()
+
+    return wrapped
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -57,7 +88,8 @@ def batched(
 ) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``size`` bytes of a column, one row at least."""
     for batch in batches:
-        lengths = [len(x) if x else 0 for x in as_bytes(batch.column(column))]
+        # Offsets tell this; no text is copied.
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, length in enumerate(lengths):
             if i > start and total + length > size:
@@ -66,3 +98,4 @@ def batched(
             total += length
         if len(lengths) > start:
             yield batch.slice(start)
+    release()

@@ -143,7 +143,7 @@ def _verdict(text: bytes, lang: str | None, words: np.ndarray, tokens: np.ndarra
 
 def _judge(path: str):
     def verdicts(texts: pa.Array, langs: pa.Array) -> list[tuple]:
-        pieces = worker_cache(f"pieces:{path}", lambda: Pieces(path))
+        pieces = worker_cache(f"fertility: {path}", lambda: Pieces(path))
         whole = [t or b"" for t in as_bytes(texts)]
         found = pieces.lookup(whole)
         return [
@@ -181,7 +181,11 @@ def quality_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The documents that are kept, with all their columns; see ``quality_report``."""
+    """The documents that are kept, with all their columns; see ``quality_report``.
+
+    Repeated rows are kept or go alike, an empty table stays empty, and other columns, NULL or not,
+    stay as they are.
+    """
     judge = _judge(vocabulary or public_tokenizers.path(VOCABULARY))
     has_lang = "lang" in docs.columns
 

@@ -113,7 +113,7 @@ def _read(doc_type: pa.DataType):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        powers = worker_cache("powers", windows.Powers)
+        powers = worker_cache("hmm: powers", windows.Powers)
         number, docs, total = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             held, trained = batch.column("held_out").to_pylist(), batch.column("trained").to_pylist()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.llm import windows
-from statelog.llm.common import as_bytes, stored, worker_cache
+from statelog.llm.common import as_bytes, batched, releasing, stored, worker_cache
 from statelog.llm.components import components
 from statelog.llm.decontaminate import sql_words
 from statelog.llm.shingles import shingle_set, word_hashes
@@ -69,13 +69,14 @@ def bit_map(shingles: np.ndarray) -> np.ndarray:
 
 
 def _shingles(text: bytes | None) -> np.ndarray:
-    powers = worker_cache("powers", windows.Powers)
+    powers = worker_cache("near duplicates: powers", windows.Powers)
     return shingle_set(word_hashes(text or b"", powers), SHINGLE)
 
 
+@releasing
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, two hashes and signature of each document's set."""
-    for batch in batches:
+    for batch in batched(batches, "text"):
         sizes, one, two, signatures, maps = [], [], [], [], []
         for text in as_bytes(batch.column("text")):
             found = _shingles(text)
@@ -95,6 +96,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint16).reshape(-1, POSITIONS).astype(np.uint64)
 
 
+@releasing
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A key for each chunk and each position of it that may differ, with what is held there."""
     for batch in batches:
@@ -118,6 +120,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["key", "rep", "slot", "held"])
 
 
+@releasing
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of each key's group with the group's smallest; single members only at the edges."""
     from pyspark import TaskContext
@@ -150,14 +153,16 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+@releasing
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in batched(batches, "text"):
         texts = [squeeze(x or b"") for x in as_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(texts, pa.binary())], names=["rep", "text"])
 
 
+@releasing
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     expand = zstandard.ZstdDecompressor().decompress

@@ -31,7 +31,7 @@ SLACK = 8
 FAN_IN = 8
 CARRIED = 4096
 #: Parts of words that a worker keeps, at most; then it starts anew.
-CACHED_PARTS = 300_000
+CACHED_PARTS = 60_000
 
 _PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokeniser's parts of an ASCII word without an apostrophe.
@@ -108,7 +108,7 @@ class Words(WordTable):
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The pieces of each document: places and a checksum of the ids."""
-    words = worker_cache(f"words:{path}", lambda: Words(path))
+    words = worker_cache(f"packing: {path}", lambda: Words(path))
     for batch in batched(batches, "text"):
         owner, rows = [], []
         for i, ids in enumerate(words.ids([t or b"" for t in as_bytes(batch.column("text"))])):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.llm import windows
-from statelog.llm.common import as_bytes, stored, worker_cache
+from statelog.llm.common import as_bytes, batched, releasing, stored, worker_cache
 from statelog.llm.windows import GRAM, PIECE, REACH, WINDOW
 
 BLOCK = 16
@@ -99,6 +99,7 @@ def _whole_bucket(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(rows).combine_chunks() if rows else None
 
 
+@releasing
 def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -189,10 +190,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(new) - 1]))]
 
 
+@releasing
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of step 1. Runs that a text repeats itself come once, with the bytes they cover."""
-    powers = worker_cache("powers", windows.Powers)
-    for batch in batches:
+    powers = worker_cache("suffixes: powers", windows.Powers)
+    for batch in batched(batches, "text"):
         columns, known, count = [], [], 0
         for number, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text"))):
             if text is None or len(text) < WINDOW:
@@ -269,8 +271,9 @@ def _blocks_of(data: np.ndarray, runs: np.ndarray, powers) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+@releasing
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = worker_cache("powers", windows.Powers)
+    powers = worker_cache("suffixes: powers", windows.Powers)
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         columns, count = [], 0
@@ -320,6 +323,7 @@ def _window_keys(core: np.ndarray, margin: np.ndarray, i: int) -> np.ndarray:
     return windows.mixed(key)
 
 
+@releasing
 def _block_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a bucket with the bits of their repeated windows; others are left out."""
     from pyspark import TaskContext
@@ -478,6 +482,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_packed, schema).join(spans, "id", "left").drop("id")
 
 
+@releasing
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -507,9 +512,10 @@ def removal_report(docs: DataFrame) -> DataFrame:
     )
 
 
+@releasing
 def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in batched(batches, "text", 1 << 18):
         texts = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             parts = None if text is None else cut(expand(text), spans)[0]

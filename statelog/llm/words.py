@@ -12,7 +12,7 @@ from statelog.llm import windows
 from statelog.llm.shingles import word_bounds, word_hashes
 
 #: Distinct words that a worker keeps, at most; then it starts anew.
-CACHED_WORDS = 4_000_000
+CACHED_WORDS = 400_000
 
 
 @dataclass(frozen=True)
