@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,54 @@ def labelled_sample(
     return [text.encode() for _, text, _ in found], np.array([y for _, _, y in found], np.float64), float(share)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(doc_id, label, text) of all documents that may be learnt from, and how many labels say so.
+
+    Held-out documents and those without an id, a text or a label are not among them. Of rows that
+    share an id, the smallest text counts.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & (remainder(F.col("doc_id")) != 0))
+    known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
+    return rows.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), known.count()
+
+
+#: Numbers in a row of a vector, and rows of sums that one task of a first step adds up.
+_CHUNK, _NEAR = 8_192, 16
+_SUMS = "chunk int, salt int, sums binary"
+
+
+def total(rows: DataFrame, vector: Callable[[pa.RecordBatch, int], np.ndarray]) -> np.ndarray | None:
+    """The sum of a vector over all rows, None without rows. Vectors are added across partitions, in
+    two steps; only the sum reaches the driver."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        out = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = vector(batch, i)
+                out = found if out is None else out + found
+        if out is not None:
+            parts = range(0, len(out), _CHUNK)
+            salt = TaskContext.get().partitionId() % _NEAR
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p // _CHUNK for p in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()),
+                 pa.array([out[p : p + _CHUNK].astype("<f8").tobytes() for p in parts], pa.binary())],
+                names=["chunk", "salt", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        # In the order of their bytes, whatever order they come in.
+        out = sum(np.frombuffer(x, "<f8") for x in sorted(table.column("sums").to_pylist()))
+        return pa.table({"chunk": table.column("chunk")[:1], "salt": table.column("salt")[:1],
+                         "sums": pa.array([out.tobytes()], pa.binary())})
+
+    near = rows.mapInArrow(vectors, _SUMS).groupBy("chunk", "salt").applyInArrow(add, _SUMS)
+    found = sorted(near.groupBy("chunk").applyInArrow(add, _SUMS).collect(), key=lambda r: r.chunk)
+    return np.concatenate([np.frombuffer(r.sums, "<f8") for r in found]) if found else None
+
+
 def row_products(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """``rows @ matrix``, each row's products added one after another.
 

@@ -172,3 +172,40 @@ def test_an_id_brings_one_row(spark):
     texts, known, _ = training.labelled_sample(docs, labels, "toxic", 10, 100)
     want = [(i, t) for i, t in ((1, b"text 0"), (2, b"b"), (3, b"c")) if i in learnt]
     assert texts == [t for _, t in want] and known.tolist() == [i % 2 for i, _ in want]
+
+
+def test_all_labelled_texts_teach(spark, monkeypatch):
+    """Texts of any length, in several shards; a word that only long texts hold is learnt."""
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    rows, labels = corpus(200)
+    rows = [(i, t.replace("grumful", "zarkon") + " " + "aa bb cc dd " * (3_500 if i % 4 == 0 else 10)) for i, t in rows]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(documents(spark, rows), known).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(found[i].predicted == int(i % 4 == 0) for i in held) >= 0.9 * len(held)
+
+
+def test_shards_hold_every_document_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    rows, labels = corpus(400)
+    seen = []
+    monkeypatch.setattr(toxicity, "total", lambda shards, vector: seen.append(
+        sorted((k, int(y), s.pairs(i).tobytes()) for r in shards.collect() for s in [toxicity.Shard(r.__getitem__)]
+               for i, (k, y) in enumerate(zip(s.keys, s.labels)))))
+    for parts in (1, 5):
+        toxicity.train_shards(documents(spark, rows + rows[:9]).repartition(parts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learnt = [(t, y) for (i, t), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5]
+    words = lambda t: toxicity.buckets(toxicity._hashes(t.encode(), windows.Powers())).astype("<u2").tobytes()
+    assert seen[0] == seen[1] and len({k for k, _, _ in seen[0]}) == len(seen[0])
+    assert sorted((y, w) for _, y, w in seen[0]) == sorted((y, words(t)) for t, y in learnt)
+
+
+def test_gradients_in_pieces(monkeypatch):
+    pick = np.random.default_rng(0)
+    network = toxicity.Network(pick.standard_normal(toxicity.BUCKETS))
+    texts = [pick.integers(1, 50, (n, 2)).astype(np.int32) for n in (0, 1, 7, 30, 2)]
+    whole = network.gradients(texts, np.array([1.0, 0, 1, 0, 1]), np.ones(5))
+    for piece in (1, 3, 8):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        for name, value in network.gradients(texts, np.array([1.0, 0, 1, 0, 1]), np.ones(5)).items():
+            np.testing.assert_allclose(value, whole[name], rtol=1e-4, atol=1e-6, err_msg=name)
