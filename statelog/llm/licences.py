@@ -3,9 +3,9 @@
 A paragraph is a line. Its features are the word unigrams and bigrams that occur in the templates;
 those of function words alone are no features. A multinomial logistic regression learns the
 families from the templates and from parts of them, and an unknown class from ordinary sentences
-about licences and rights and from lines of the corpus that share words with templates but do not
-resemble one. A family counts only above its threshold, which is set on lines of the corpus that the
-model has not learnt from. A prediction is confirmed by the share of bigrams that the paragraph and
+about licences and rights and from all different lines of the corpus that share words with templates but
+do not resemble one. A family counts only above its threshold, which is set on the fifth of these lines
+that the model has not learnt from. A prediction is confirmed by the share of bigrams that the paragraph and
 a template of the family have in common.
 
 A line without a template word has no feature and is unknown by construction, so it is not scored.
@@ -89,10 +89,9 @@ FUNCTION_WORDS: tuple[str, ...] = tuple(
     "a an the of and or to in on at by for from with without into under as is are be was were been has have this that "
     "these it its any all no not you we they he she his her may can must will his their or so if than then but".split())
 
-#: Lines of the corpus for the unknown class, at most; every fifth one sets the thresholds alone.
-SAMPLED_LINES = 2_000
 LIKENESS = 0.6
-#: A sampled line shares less than this with every template.
+#: A line of the unknown class shares less than this with every template; of the different ones every
+#: fifth sets the thresholds alone.
 UNLIKE = 0.3
 LEAST_PROBABILITY = 0.5
 #: Words of a template's part, and the step from one part to the next.
@@ -156,14 +155,13 @@ def _likeness(one: Column, two: Column) -> Column:
 
 
 def _unlike(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """A bounded sample of the distinct lines that resemble no template."""
+    """All different lines that resemble no template, with a hash of each."""
     grams = templates(spark).agg(F.collect_list("bigrams").alias("all_bigrams"))
     distinct = lines.select("words").distinct().withColumn("bigrams", _bigrams(F.col("words")))
     # One row of templates, broadcast.
     both = distinct.withColumn("one", F.lit(1)).join(F.broadcast(grams.withColumn("one", F.lit(1))), "one")
     most = F.array_max(F.transform("all_bigrams", lambda t: _likeness(F.col("bigrams"), t)))
-    order = F.xxhash64("words")
-    return both.where(most < UNLIKE).select("words", order.alias("hash")).orderBy("hash").limit(SAMPLED_LINES)
+    return both.where(most < UNLIKE).select("words", F.xxhash64("words").alias("hash"))
 
 
 @dataclass(frozen=True)
@@ -177,9 +175,19 @@ class Model:
     anchors: list[str]
 
 
+def _candidates(docs: DataFrame) -> DataFrame:
+    """The lines of ``_lines``, read from the texts once."""
+    _, anchors = _vocabulary(docs.sparkSession)
+    return stored(_lines(docs, anchors), "licence-candidates")
+
+
 def train(docs: DataFrame) -> Model:
     """The regression and its thresholds; ``docs`` gives lines of the unknown class."""
-    spark = docs.sparkSession
+    return _trained(_candidates(docs))
+
+
+def _trained(lines: DataFrame) -> Model:
+    spark = lines.sparkSession
     features, anchors = _vocabulary(spark)
     families = [UNKNOWN, *sorted({f for f, _, _ in TEMPLATES})]
     whole = templates(spark).select("family", "words")
@@ -190,10 +198,9 @@ def train(docs: DataFrame) -> Model:
     ordinary = _literal(spark, [{"text": t} for t in ORDINARY], "text: string").select(
         F.lit(UNKNOWN).alias("family"), _words(F.col("text")).alias("words"))
     empty = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"))
-    sampled = stored(_unlike(spark, _lines(docs, anchors)), "licence-lines").withColumn(
-        "held", F.pmod("hash", F.lit(5)) == 0)
+    unlike = stored(_unlike(spark, lines), "licence-lines").withColumn("held", F.pmod("hash", F.lit(5)) == 0)
     rows = whole.union(parts).union(ordinary).union(empty).union(
-        sampled.where("not held").select(F.lit(UNKNOWN), "words"))
+        unlike.where("not held").select(F.lit(UNKNOWN), "words"))
     label = F.array_position(F.array(*(F.lit(f) for f in families)), F.col("family")) - 1
     rows = stored(rows.select("family", label.cast("double").alias("label"), _grams(F.col("words")).alias("grams")),
                   "licence-rows")
@@ -209,7 +216,7 @@ def train(docs: DataFrame) -> Model:
     intercepts[0] = max(intercepts[0], intercepts[1:].max() + 1.0)
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(features)}
     model = Model(families, [float(x) for x in intercepts], weights, {}, anchors)
-    held = sampled.where("held").select(F.monotonically_increasing_id().alias("id"), F.lit(0).alias("paragraph"), "words")
+    held = unlike.where("held").select(F.monotonically_increasing_id().alias("id"), F.lit(0).alias("paragraph"), "words")
     wrong = _scored(held, model).groupBy("family").agg(F.max("probability").alias("most")).collect()
     most = {r.family: r.most for r in wrong}
     thresholds = {f: max(LEAST_PROBABILITY, min(0.99, 1.02 * most.get(f, 0.0))) for f in families[1:]}
@@ -242,8 +249,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     in the same order whenever it is read, as a table in files does.
     """
     docs = docs.select("doc_id", "text")
-    model = model or train(docs)
-    lines = stored(_lines(docs, model.anchors), "licence-candidates")
+    lines = _candidates(docs) if model is None else stored(_lines(docs, model.anchors), "licence-candidates")
+    model = model or _trained(lines)
     least = F.element_at(
         F.create_map(*(F.lit(x) for f, t in model.thresholds.items() for x in (f, t))), F.col("family"))
     found = _scored(lines, model).where(F.col("probability") >= least)

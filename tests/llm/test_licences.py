@@ -80,3 +80,13 @@ def test_families(spark, corpus):
 
 def test_empty_table(spark, corpus):
     assert licences.scan(documents(spark, corpus).limit(0)).count() == 0
+
+
+def test_every_unlike_line_teaches(spark):
+    """Different lines with template words, many of them, each once."""
+    rows = [(i, f"public work number{i} of the village\nno such line") for i in range(3_000)]
+    rows += [(5_000, rows[0][1]), (5_001, licences.TEMPLATES[0][2]), (5_002, None)]
+    _, anchors = licences._vocabulary(spark)
+    lines = licences._lines(documents(spark, rows).select("doc_id", "text"), anchors)
+    found = [" ".join(r.words) for r in licences._unlike(spark, lines).collect()]
+    assert sorted(found) == sorted(f"public work number{i} of the village" for i in range(3_000))
