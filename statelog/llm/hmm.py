@@ -1,7 +1,8 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents.
 
-Documents are read once, as blocks of word numbers with the words of the block. Counts of words are
-summed over all blocks. The most frequent words, ``TOP`` at most, are classes of their own; all others fall
+Documents are read once, as blocks of word numbers with the words of the block. Words are dealt into
+slots by their hash; a block's words of a slot are one packed row, and counts are summed over all blocks
+slot by slot. The most frequent words, ``TOP`` at most, are classes of their own; all others fall
 into ``ENDINGS`` classes by their last bytes, and unseen words are one class. Rounds learn the classes;
 a last one gathers the expected count of every word of an ending class in each state, as a table that
 grows with the corpus. The probability of a word is that of its class in the state times its share of
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelog.llm import windows
@@ -86,29 +87,20 @@ def _block(number: int, docs: list[tuple]) -> tuple[tuple, tuple]:
     return row, (found[order].view(np.int64), ending[first[order]], used)
 
 
+_BLOCK = ["block", "doc_ids", "held_out", "trained", "lengths", "tokens", "words", "endings", "used"]
+
+
 def _read(doc_type: pa.DataType):
-    """A function from documents to blocks (``words`` NULL) and their words (``lengths`` NULL)."""
+    """A function from documents to blocks, with the packed words of each."""
 
-    def batches_of(number: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def block(number: int, docs: list[tuple]) -> pa.RecordBatch:
         row, (word, ending, used) = _block(number, docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([number], pa.int64()),
-             pa.array([row[1]], pa.list_(doc_type)), pa.array([row[2]], pa.list_(pa.bool_())),
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([row[1]], pa.list_(doc_type)),
+             pa.array([row[2]], pa.list_(pa.bool_())), pa.array([row[4]], pa.list_(pa.bool_())),
              pa.array([row[3]], pa.list_(pa.int64())), pa.array([row[5]], pa.binary()),
-             pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())],
-            names=names)
-        for at in range(0, len(word), 50_000):
-            part = slice(at, at + 50_000)
-            size = len(word[part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(size, np.int32)), pa.array(np.full(size, number)),
-                 pa.nulls(size, pa.list_(doc_type)), pa.nulls(size, pa.list_(pa.bool_())),
-                 pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary()),
-                 pa.array(word[part]), pa.array(np.arange(at, at + size, dtype=np.int32)),
-                 pa.array(ending[part].astype(np.int32)), pa.array(used[part])],
-                names=names)
-
-    names = ["part", "block", "doc_ids", "held_out", "lengths", "tokens", "word", "place", "ending", "used"]
+             pa.array([_squeezed(word)], pa.binary()), pa.array([_planes(ending.astype("<u2"))], pa.binary()),
+             pa.array([_planes(used)], pa.binary())], names=_BLOCK)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -121,24 +113,137 @@ def _read(doc_type: pa.DataType):
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 words = np.append(word_hashes(text or b"", powers), END)
                 if docs and total + len(words) > BLOCK_TOKENS:
-                    yield from batches_of(number, docs)
+                    yield block(number, docs)
                     number, docs, total = number + 1, [], 0
                 docs.append((ids[i], held[i], words, np.append(_endings(text or b""), np.int16(0)), trained[i]))
                 total += len(words)
         if docs:
-            yield from batches_of(number, docs)
+            yield block(number, docs)
 
     return read
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One row of a block's words: their counts and classes, by place."""
-    place = table.column("place").to_numpy()
-    count, kind, word = np.empty(len(place), np.int64), np.empty(len(place), np.uint16), np.empty(len(place), np.int64)
-    count[place], kind[place] = table.column("total").to_numpy(), table.column("kind").to_numpy()
-    word[place] = table.column("word").to_numpy()
-    return pa.table({"block": table.column("block")[:1], "counts": pa.array([_squeezed(count)], pa.binary()),
-                     "kinds": pa.array([_squeezed(kind)], pa.binary()), "words": pa.array([_squeezed(word)], pa.binary())})
+def _planes(values: np.ndarray) -> bytes:
+    """Integers packed by the planes of their bytes: small ones leave the high planes empty."""
+    size = values.dtype.itemsize
+    return _squeezed(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T)
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_expanded(data, "u1").reshape(size, -1).T).view(kind).ravel()
+
+
+def _slots(word: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by slot and word, and where each slot begins in it, with the end."""
+    slot = windows.mixed(word.view(np.uint64)) % np.uint64(slots)
+    order = np.lexsort((word, slot))
+    return order, np.searchsorted(slot[order], np.arange(slots + 1))
+
+
+def _slotted(slots: int):
+    """The words of each block in packed rows by slot: a few rows a block, which Spark deals out."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                word = _expanded(batch.column("words")[i].as_py(), "<i8")
+                columns = (word, _from_planes(batch.column("endings")[i].as_py(), "<u2"),
+                           _from_planes(batch.column("used")[i].as_py(), "<i8"))
+                order, bounds = _slots(word, slots)
+                parts = [order[a:b] for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(slots, batch.column("block")[i].as_py(), np.int64)),
+                     pa.array(np.arange(slots, dtype=np.int32)),
+                     *(pa.array([pack(c[p]) for p in parts], pa.binary())
+                       for c, pack in zip(columns, (_squeezed, _planes, _planes)))],
+                    names=["block", "slot", "words", "endings", "used"])
+
+    return pieces
+
+
+_TOTALS = "block long, slot int, totals binary, index binary, words binary, endings binary"
+
+
+def _totalled(table: pa.Table) -> pa.Table:
+    """For the words of a slot, their counts over all blocks: a row for each block, in its order, with the
+    word's number in the slot, 0 if no other block has it; and a row without a block of all words."""
+    blocks = table.column("block").to_pylist()
+    lists = [_expanded(x, "<i8") for x in table.column("words").to_pylist()]
+    word, first, inverse, holders = np.unique(
+        np.concatenate(lists), return_index=True, return_inverse=True, return_counts=True)
+    used = np.concatenate([_from_planes(x, "<i8") for x in table.column("used").to_pylist()])
+    ending = np.concatenate([_from_planes(x, "<u2") for x in table.column("endings").to_pylist()])[first]
+    total = np.zeros(len(word), np.int64)
+    np.add.at(total, inverse, used)
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    mine = np.split(inverse, cuts)
+    known = total > 0
+    size = len(blocks)
+    return pa.table({
+        "block": pa.array([*blocks, None], pa.int64()),
+        "slot": pa.array(table.column("slot").to_pylist() + [table.column("slot")[0].as_py()], pa.int32()),
+        "totals": pa.array([*(_planes(total[k]) for k in mine), _planes(total[known])], pa.binary()),
+        "index": pa.array([*(_planes(np.where(holders[k] > 1, k + 1, 0)) for k in mine), None], pa.binary()),
+        "words": pa.array([None] * size + [_squeezed(word[known])], pa.binary()),
+        "endings": pa.array([None] * size + [_planes(ending[known])], pa.binary())})
+
+
+def _steps(total: np.ndarray) -> np.ndarray:
+    """Steps of a sixteenth of a power of two."""
+    return np.floor(np.log2(total) * 16).astype(np.int32)
+
+
+def _counted_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and tokens by step of the count, of each slot."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            total = _from_planes(batch.column("totals")[i].as_py(), "<i8")
+            step, inverse = np.unique(_steps(total), return_inverse=True)
+            tokens = np.zeros(len(step), np.int64)
+            np.add.at(tokens, inverse, total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(step, pa.int32()), pa.array(np.bincount(inverse, minlength=len(step)).astype(np.int64)), pa.array(tokens)],
+                names=["step", "types", "tokens"])
+
+
+def _top_words(least: int):
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total = _from_planes(batch.column("totals")[i].as_py(), "<i8")
+                found = _expanded(batch.column("words")[i].as_py(), "<i8")[_steps(total) >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["word"])
+
+    return words
+
+
+def _kinds(word: np.ndarray, ending: np.ndarray, total: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The class of each word; ``top`` holds the frequent words in order."""
+    at = np.searchsorted(top, word)
+    frequent = np.zeros(len(word), bool)
+    if len(top):
+        frequent = top[np.minimum(at, len(top) - 1)] == word
+    return np.where(total == 0, 0, np.where(frequent, at + 1 + ENDINGS, ending.astype(np.int64) + 1)).astype(np.uint16)
+
+
+def _class_mass(top: np.ndarray):
+    """Words and tokens by class, of each slot."""
+
+    def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total = _from_planes(batch.column("totals")[i].as_py(), "<i8")
+                kind, inverse = np.unique(_kinds(
+                    _expanded(batch.column("words")[i].as_py(), "<i8"),
+                    _from_planes(batch.column("endings")[i].as_py(), "<u2"), total, top), return_inverse=True)
+                tokens = np.zeros(len(kind), np.int64)
+                np.add.at(tokens, inverse, total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind.astype(np.int32)), pa.array(np.bincount(inverse, minlength=len(kind)).astype(np.int64)),
+                     pa.array(tokens)], names=["kind", "types", "tokens"])
+
+    return mass
 
 
 def _by_ending(kind: np.ndarray) -> np.ndarray:
@@ -155,24 +260,34 @@ class Unigrams:
         self.share = mass / self.total
 
 
-def _classified(unigrams: Unigrams):
-    """Blocks with the base score of each document and its number of known words."""
-
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known, base = [], []
-            for i in range(batch.num_rows):
-                token = _expanded(batch.column("tokens")[i].as_py(), "<u4")
-                count = _expanded(batch.column("counts")[i].as_py(), "<i8")
-                lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                share = np.log10((count + SMOOTH) / unigrams.total)
-                known.append(np.add.reduceat((count > 0)[token].astype(np.int64), starts))
-                base.append(np.add.reduceat(share[token], starts))
-            columns = {c: batch.column(c) for c in (
-                "block", "doc_ids", "held_out", "lengths", "tokens", "counts", "kinds", "words")}
-            columns |= {"known": pa.array(known, pa.list_(pa.int64())), "base": pa.array(base, pa.list_(pa.float64()))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _classified(unigrams: Unigrams, top: np.ndarray, slots: int):
+    """A block with counts and classes of its words, and known words and base score of its documents.
+    Words of ending classes that other blocks hold have their numbers in the slot in ``index``, by slot."""
+
+    def classify(blocks: pa.Table, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by("slot")
+        one = lambda name: blocks.column(name)[0].as_py()
+        word = _expanded(one("words"), "<i8")
+        order, _ = _slots(word, slots)
+        count, index = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+        count[order] = np.concatenate([_from_planes(x, "<i8") for x in pieces.column("totals").to_pylist()])
+        index[order] = np.concatenate([_from_planes(x, "<i8") for x in pieces.column("index").to_pylist()])
+        kind = _kinds(word, _from_planes(one("endings"), "<u2"), count, top)
+        index[~_by_ending(kind)] = 0
+        token, lengths = _expanded(one("tokens"), "<u4"), np.array(one("lengths"), np.int64)
+        starts = np.cumsum(lengths) - lengths
+        known = np.add.reduceat((count > 0)[token].astype(np.int64), starts)
+        base = np.add.reduceat(np.log10((count + SMOOTH) / unigrams.total)[token], starts)
+        # The places of words that others hold, by slot and word.
+        shared = order[index[order] > 0]
+        slot = (windows.mixed(word.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+        columns = {c: blocks.column(c) for c in ("block", "doc_ids", "held_out", "trained", "lengths", "tokens")}
+        columns |= {
+            "counts": pa.array([_planes(count)], pa.binary()), "kinds": pa.array([_planes(kind)], pa.binary()),
+            "index": pa.array([_planes(slot[shared] << 32 | index[shared] - 1)], pa.binary()),
+            "order": pa.array([_planes(shared.astype("<u4"))], pa.binary()),
+            "known": pa.array([known], pa.list_(pa.int64())), "base": pa.array([base], pa.list_(pa.float64()))}
+        return pa.table(columns)
 
     return classify
 
@@ -308,7 +423,7 @@ def _counted(model: Model):
             for i in range(batch.num_rows):
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
                 trained = np.array(batch.column("trained")[i].as_py(), bool)
-                tokens = _expanded(batch.column("kinds")[i].as_py(), "<u2")[
+                tokens = _from_planes(batch.column("kinds")[i].as_py(), "<u2")[
                     _expanded(batch.column("tokens")[i].as_py(), "<u4")]
                 begin, size, opening = _segments(lengths)
                 mine = np.repeat(trained, -(-lengths // SEGMENT))
@@ -353,14 +468,15 @@ def _trained(sequences: DataFrame, share: np.ndarray, rounds: int) -> Model:
     return model
 
 
-_BY_STATE = [f"s{i}" for i in range(STATES)]
+#: Expected counts by word are whole numbers of this part, so that any order of adding gives the same sum.
+UNIT = 2.0**-20
 
 
 def _by_place(model: Model, batch: pa.RecordBatch, i: int) -> np.ndarray:
     """Expected counts by state of the words of a block in its training documents."""
     lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
     trained = np.array(batch.column("trained")[i].as_py(), bool)
-    kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
+    kind = _from_planes(batch.column("kinds")[i].as_py(), "<u2")
     begin, size, opening = _segments(lengths)
     mine = np.repeat(trained, -(-lengths // SEGMENT))
     if not mine.any():
@@ -370,56 +486,67 @@ def _by_place(model: Model, batch: pa.RecordBatch, i: int) -> np.ndarray:
     return expected(local, token, begin[mine], size[mine], opening[mine])[3].astype(np.float32)
 
 
-def _by_word(model: Model):
-    """Expected counts by state in each block: of every word of an ending class that other blocks
-    hold as well, and, without a word, of its classes of endings."""
+_STATES = "block long, slot int, index binary, states binary, classes binary"
 
-    def rows(block: int, place, word, kind, sums) -> pa.RecordBatch:
-        size = len(kind)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, block, np.int64)), pa.array(place.astype(np.int32)) if word is not None else pa.nulls(size, pa.int32()),
-             pa.array(word) if word is not None else pa.nulls(size, pa.int64()), pa.array(kind.astype(np.int32)),
-             *(pa.array(sums[:, s].astype(np.float32)) for s in range(STATES))],
-            names=["block", "place", "word", "kind", *_BY_STATE])
+
+def _by_word(model: Model, slots: int):
+    """Expected counts by state in each block, in units: of every word of an ending class that other
+    blocks hold as well, packed by slot, and, without a slot, of its classes of endings."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
-                word = _expanded(batch.column("words")[i].as_py(), "<i8")
-                sums, block = _by_place(model, batch, i), batch.column("block")[i].as_py()
+                block = batch.column("block")[i].as_py()
+                kind = _from_planes(batch.column("kinds")[i].as_py(), "<u2")
+                sums = np.rint(_by_place(model, batch, i).astype(float) / UNIT).astype(np.int64)
                 tail = np.flatnonzero(_by_ending(kind))
-                classes = np.stack([np.bincount(kind[tail], sums[tail, s], 1 + ENDINGS) for s in range(STATES)], 1)
-                found = np.flatnonzero(classes.any(1))
-                yield rows(block, None, None, found, classes[found])
-                place = np.flatnonzero(word)
-                for at in range(0, len(place), 50_000):
-                    part = place[at : at + 50_000]
-                    yield rows(block, part, word[part], kind[part], sums[part])
+                classes = np.zeros((1 + ENDINGS, STATES), np.int64)
+                np.add.at(classes, kind[tail], sums[tail])
+                index = _from_planes(batch.column("index")[i].as_py(), "<i8")
+                place = _from_planes(batch.column("order")[i].as_py(), "<u4")
+                bounds = np.searchsorted(index >> 32, np.arange(slots + 1))
+                parts = [slice(a, b) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * (slots + 1), pa.int64()), pa.array([*range(slots), None], pa.int32()),
+                     pa.array([*(_planes(index[p] & 0xFFFFFFFF) for p in parts), None], pa.binary()),
+                     pa.array([*(_planes(sums[place[p]].T.ravel()) for p in parts), None], pa.binary()),
+                     pa.array([None] * slots + [_planes(classes.ravel())], pa.binary())],
+                    names=["block", "slot", "index", "states", "classes"])
 
     return count
 
 
-def _gather_states(table: pa.Table) -> pa.Table:
-    """One row of a block's expected counts by word, in the order of places, and state."""
-    order = np.argsort(table.column("place").to_numpy())
-    sums = np.stack([table.column(s).to_numpy() for s in _BY_STATE], 1)[order]
-    return pa.table({"block": table.column("block")[:1], "states": pa.array([_squeezed(sums)], pa.binary())})
+def _states_totalled(table: pa.Table) -> pa.Table:
+    """For the words of a slot, their counts by state over all blocks: a row for each block, in its order."""
+    index = [_from_planes(x, "<i8") for x in table.column("index").to_pylist()]
+    total = np.zeros((max((int(x[-1]) + 1 for x in index if len(x)), default=0), STATES), np.int64)
+    for x, states in zip(index, table.column("states").to_pylist()):
+        total[x] += _from_planes(states, "<i8").reshape(STATES, -1).T
+    return pa.table({"block": table.column("block"), "slot": table.column("slot"),
+                     "states": pa.array([_planes(total[x].T.ravel()) for x in index], pa.binary())})
 
 
-def _word_counts(sequences: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
+def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of classes, by state, of a task's blocks."""
+    total = np.zeros((1 + ENDINGS) * STATES, np.int64)
+    for batch in batches:
+        for x in batch.column("classes").to_pylist():
+            total += _from_planes(x, "<i8")
+    place = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "sum"])
+
+
+def _word_counts(sequences: DataFrame, model: Model, slots: int) -> tuple[DataFrame, np.ndarray]:
     """The expected counts over all training documents, by state, of each block's words that others
-    hold as well, and the sums by class."""
-    shape = "block long, place int, word long, kind int, " + ", ".join(f"{s} float" for s in _BY_STATE)
-    rows = stored(sequences.select("block", "lengths", "trained", "tokens", "kinds", "words").mapInArrow(
-        _by_word(model), shape), "hmm-states")
+    hold as well, by slot, and the sums by class."""
+    rows = stored(sequences.select("block", "lengths", "trained", "tokens", "kinds", "index", "order").mapInArrow(
+        _by_word(model, slots), _STATES), "hmm-states")
     sums = np.zeros((_WORD_CLASSES, STATES))
-    for row in rows.where("word is null").groupBy("kind").agg(*(F.sum(s).alias(s) for s in _BY_STATE)).collect():
-        sums[row.kind] = [row[s] for s in _BY_STATE]
-    # A block lists a word once, so no word has more rows than there are blocks.
-    by_word = Window.partitionBy("word")
-    totals = rows.where("word is not null").select("block", "place", *(F.sum(s).over(by_word).cast("float").alias(s) for s in _BY_STATE))
-    return totals.groupBy("block").applyInArrow(_gather_states, "block long, states binary"), sums
+    found = rows.where("slot is null").select("classes").mapInArrow(_class_sums, "place long, sum long")
+    for row in found.groupBy("place").agg(F.sum("sum").alias("sum")).collect():
+        sums[divmod(row.place, STATES)] = row.sum * UNIT
+    totals = rows.where("slot is not null").select("block", "slot", "index", "states")
+    return totals.groupBy("slot").applyInArrow(_states_totalled, "block long, slot int, states binary"), sums
 
 
 def word_emissions(model: Model, unigrams: Unigrams, sums, kind, count, states) -> np.ndarray:
@@ -432,32 +559,36 @@ def word_emissions(model: Model, unigrams: Unigrams, sums, kind, count, states)
 
 
 def _scored(model: Model, unigrams: Unigrams, sums: np.ndarray, doc_type: pa.DataType, tokens: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
-                token = _expanded(batch.column("tokens")[i].as_py(), "<u4")
-                kind = _expanded(batch.column("kinds")[i].as_py(), "<u2")
-                count = _expanded(batch.column("counts")[i].as_py(), "<i8")
-                states, packed = _by_place(model, batch, i), batch.column("states")[i].as_py()
-                if packed:
-                    shared = _expanded(batch.column("words")[i].as_py(), "<i8") != 0
-                    states[shared] = _expanded(packed, "<f4").reshape(-1, STATES)
-                states = states[_by_ending(kind)]
-                emit = word_emissions(model, unigrams, sums, kind, count, states)
-                found = log_likelihood(
-                    Model(model.start, model.mean, model.move, emit), token, np.cumsum(lengths) - lengths, lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column("doc_ids")[i].as_py(), doc_type),
-                     pa.array(batch.column("held_out")[i].as_py(), pa.bool_()), pa.array(lengths),
-                     pa.array(batch.column("known")[i].as_py(), pa.int64()),
-                     pa.array(np.full(len(lengths), tokens, np.int64)),
-                     pa.array(batch.column("base")[i].as_py(), pa.float64()), pa.array(found)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def score(blocks: pa.Table, pieces: pa.Table) -> pa.Table:
+        batch, pieces = blocks.to_batches()[0], pieces.sort_by("slot")
+        lengths = np.array(batch.column("lengths")[0].as_py(), np.int64)
+        token = _expanded(batch.column("tokens")[0].as_py(), "<u4")
+        kind = _from_planes(batch.column("kinds")[0].as_py(), "<u2")
+        count = _from_planes(batch.column("counts")[0].as_py(), "<i8")
+        place = _from_planes(batch.column("order")[0].as_py(), "<u4")
+        states = np.rint(_by_place(model, batch, 0).astype(float) / UNIT)
+        parts = [_from_planes(x, "<i8").reshape(STATES, -1).T for x in pieces.column("states").to_pylist()]
+        if parts:
+            states[place] = np.concatenate(parts)
+        states = states[_by_ending(kind)] * UNIT
+        emit = word_emissions(model, unigrams, sums, kind, count, states)
+        found = log_likelihood(
+            Model(model.start, model.mean, model.move, emit), token, np.cumsum(lengths) - lengths, lengths)
+        return pa.table(
+            [pa.array(batch.column("doc_ids")[0].as_py(), doc_type),
+             pa.array(batch.column("held_out")[0].as_py(), pa.bool_()), pa.array(lengths),
+             pa.array(batch.column("known")[0].as_py(), pa.int64()),
+             pa.array(np.full(len(lengths), tokens, np.int64)),
+             pa.array(batch.column("base")[0].as_py(), pa.float64()), pa.array(found)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
 
+#: Slots that words are dealt into, at least, and blocks whose words one slot may hold a part of, a slot.
+SLOTS, BLOCKS_A_SLOT = 32, 16
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Base score and model score (log10 probability) of every whole text.
 
@@ -472,56 +603,40 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.coalesce(rest != 0, F.lit(False)).alias("trained"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc_type = docs.limit(0).select("doc_id").toArrow().schema.field(0).type
-    shape = (f"part int, block long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<long>, "
-             "tokens binary, word long, place int, ending int, used long")
-    read = stored(marked.mapInArrow(_read(doc_type), shape), "hmm-read", partitioned="part")
-    blocks = read.where("part = 0").select("block", "doc_ids", "held_out", "lengths", "tokens")
-    # A block lists a word once, so no word has more rows than there are blocks.
-    by_word = Window.partitionBy("word")
-    totals = read.where("part = 1").select(
-        "block", "place", "ending", "word", F.sum("used").over(by_word).alias("total"),
-        (F.count("*").over(by_word) > 1).alias("shared"),
-        (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    totals = stored(totals, "hmm-words")
-    types = totals.where("first and total > 0")
-    tokens, distinct = types.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    ids = f"block long, doc_ids array<{kind}>, held_out array<boolean>, trained array<boolean>, lengths array<long>, tokens binary"
+    blocks = stored(marked.mapInArrow(_read(doc_type), f"{ids}, words binary, endings binary, used binary"), "hmm-read")
+    slots = max(SLOTS, -(-blocks.count() // BLOCKS_A_SLOT))
+    pieces = blocks.select("block", "words", "endings", "used").mapInArrow(
+        _slotted(slots), "block long, slot int, words binary, endings binary, used binary")
+    totals = stored(pieces.groupBy("slot").applyInArrow(_totalled, _TOTALS), "hmm-words")
+    types = totals.where("block is null").select("totals", "words", "endings")
+    rows = types.mapInArrow(_counted_types, "step int, types long, tokens long").groupBy("step").agg(
+        F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
+    tokens, distinct = sum(r.tokens for r in rows), sum(r.types for r in rows)
     # The words above a count that at most TOP words exceed, by steps of a sixteenth of a power of two.
-    step = F.floor(F.log2("total") * 16).cast("int")
     top, least = 0, 0
-    for row in sorted(types.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        top += row["count"]
+    for row in sorted(rows, key=lambda r: -r.step):
+        top += row.types
         if top > TOP:
             least = row.step + 1
             break
-    top = types.where(step >= least).select("word")
-    order = Window.orderBy("word")
-    top = F.broadcast(stored(top, "hmm-top").withColumn("rank", F.row_number().over(order)))
-    classed = totals.join(top, "word", "left").select(
-        "block", "place", "word", "total", "first", "shared",
-        F.when(F.col("total") == 0, 0)
-        .otherwise(F.coalesce(F.col("rank") + ENDINGS, F.col("ending") + 1)).cast("int").alias("kind"))
+    # TOP words at most.
+    top = np.array(sorted(r.word for r in types.mapInArrow(_top_words(least), "word long").collect()), np.int64)
     mass = np.zeros(_WORD_CLASSES)
-    sums = classed.where("first and total > 0").groupBy("kind").agg(F.sum(F.col("total") + SMOOTH).alias("mass"))
-    for row in sums.collect():
-        mass[row.kind] = row.mass
+    found = types.mapInArrow(_class_mass(top), "kind int, types long, tokens long").groupBy("kind").agg(
+        F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
+    for row in found.collect():
+        mass[row.kind] = row.tokens + SMOOTH * row.types
     mass[0] = SMOOTH
     unigrams = Unigrams(tokens, distinct, mass)
-    # Words of ending classes that other blocks hold as well are looked for by name; 0 stands for the others.
-    words = classed.select(
-        "block", "place", F.when(F.col("shared") & F.col("kind").between(1, ENDINGS), F.col("word")).otherwise(0).alias("word"),
-        "total", "kind").groupBy("block").applyInArrow(
-        _gather, "block long, counts binary, kinds binary, words binary")
-    sequences = blocks.join(words, "block").mapInArrow(
-        _classified(unigrams),
-        f"block long, doc_ids array<{kind}>, held_out array<boolean>, lengths array<long>, "
-        "tokens binary, counts binary, kinds binary, words binary, known array<long>, base array<double>")
+    sequences = blocks.drop("used").groupBy("block").cogroup(
+        totals.where("block is not null").select("block", "slot", "totals", "index").groupBy("block")).applyInArrow(
+        _classified(unigrams, top, slots),
+        f"{ids}, counts binary, kinds binary, index binary, order binary, known array<long>, base array<double>")
     sequences = stored(sequences, "hmm-sequences")
-    learnt = sequences.withColumn("trained", F.transform(
-        F.arrays_zip("doc_ids", "held_out"),
-        lambda d: d["doc_ids"].isNotNull() & ~d["held_out"]))
-    model = _trained(learnt, unigrams.share, rounds)
-    states, sums = _word_counts(learnt, model)
-    return learnt.join(states, "block", "left").mapInArrow(
+    model = _trained(sequences, unigrams.share, rounds)
+    states, sums = _word_counts(sequences, model, slots)
+    return sequences.drop("index").groupBy("block").cogroup(states.groupBy("block")).applyInArrow(
         _scored(model, unigrams, sums, doc_type, int(tokens)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")

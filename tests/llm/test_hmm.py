@@ -140,3 +140,19 @@ def test_odd_tables(spark):
     assert hmm.score_texts(documents(spark, rows=[(1, "x")]).limit(0), 1).count() == 0
     only = hmm.score_texts(documents(spark, [(None, "a b")]), 1).collect()
     assert only[0].train_tokens == 0 and only[0].n_known == 0 and only[0].base_score == 0
+
+
+def test_words_are_packed_and_blocks_add_up(spark, monkeypatch):
+    """A few rows a block instead of one for each word, and the same scores from one block and many."""
+    monkeypatch.setattr(hmm, "TOP", 40)
+    monkeypatch.setattr(hmm, "_WORD_CLASSES", 1 + hmm.ENDINGS + 40)
+    written, keep, found = {}, hmm.stored, []
+    monkeypatch.setattr(hmm, "stored", lambda frame, name: written.setdefault(name, keep(frame, name)))
+    for tokens in (10**6, 2_000):
+        monkeypatch.setattr(hmm, "BLOCK_TOKENS", tokens)
+        written.clear()
+        found.append({r.doc_id: r.score for r in hmm.score_texts(documents(spark, corpus()).coalesce(1), 2).collect()})
+    blocks = written["hmm-read"].count()
+    assert blocks > 5 and max(written[n].count() for n in ("hmm-words", "hmm-states")) <= (blocks + 1) * (hmm.SLOTS + 1)
+    for i, score in found[0].items():
+        assert math.isclose(score, found[1][i], rel_tol=1e-4), i
