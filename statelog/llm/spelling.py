@@ -267,6 +267,15 @@ def _keyed(wanted: str):
 # ------------------------------------------------------------------ pairs and forms
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle, whatever size Spark expects.
+
+    Both sides grow with the vocabulary. Spark takes the bytes of the compressed files for their size,
+    also for the keys made of them, many rows a word; by that it would broadcast them from the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near, near_n): every word with each word one edit away; ``words`` holds (id, word, n)."""
     few = words.select("word", "id")
@@ -274,9 +283,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     around = few.mapInArrow(_keyed("neighbourhood"), "key long, id long")
     near = vocabulary.withColumnRenamed("id", "near_id")
     # A pair may meet under several keys; ids are compared before any string is read.
-    met = around.join(near, "key").where("id != near_id").select("id", "near_id").distinct()
+    met = _joined(around, near, "key").where("id != near_id").select("id", "near_id").distinct()
     other = words.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    both = met.join(words.select("id", "word"), "id").join(other, "near_id")
+    both = _joined(_joined(met, words.select("id", "word"), "id"), other, "near_id")
     return both.where(F.levenshtein("word", "near") == 1).select("word", "near", "near_n")
 
 
@@ -288,7 +297,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     steps = forms.select("word", F.col("form").alias("root"))
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = stored(steps.join(ahead, "root", "left").select("word", "root", "further"), "spelling-steps")
+        moved = stored(_joined(steps, ahead, "root", "left").select("word", "root", "further"), "spelling-steps")
         steps = moved.select("word", F.coalesce("further", "root").alias("root"))
         if moved.where("further is not null").isEmpty():
             return steps
@@ -307,14 +316,14 @@ def variants(docs: DataFrame) -> DataFrame:
     words = stored(words.withColumn("id", F.monotonically_increasing_id()), "spelling-words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     found = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    joined = words.drop("id").join(found, "word", "left")
+    joined = _joined(words.drop("id"), found, "word", "left")
     most = -F.col("best.less")
     is_form = most >= FORM_RATIO * F.col("n")
     judged = stored(joined.select(
         "word", F.when(is_form, F.col("best.near")).alias("form"), "n",
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, most).alias("form_n")), "spelling-forms")
     roots = _roots(judged.where("form is not null"))
-    return judged.join(roots, "word", "left").select(
+    return _joined(judged, roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

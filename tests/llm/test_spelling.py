@@ -142,3 +142,22 @@ def test_long_runs_chains_and_empty_tables(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "apples apples apples", 5, "w")], "doc_id int, text string, n int, word string")
     assert found(spelling.variants(docs)) == expected([(1, "apples apples apples")])
+
+
+def test_nothing_of_the_vocabulary_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(frame):
+        # The plan that ran, with what Spark changed on the way.
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    stored = spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda frame, purpose: stored(planned(frame), purpose))
+    # Chains of forms; all tables are far below the size that Spark broadcasts.
+    words = ["lantern", "lanterns", "lanternst", "lanternsta", "marble", "marbles"]
+    rows = [(k, " ".join([word] * (4 * 2**k))) for k, word in enumerate(words)]
+    assert found(planned(spelling.variants(documents(spark, rows)))) == expected(rows)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4
+    assert not any("Broadcast" in plan for plan in plans)
